@@ -99,12 +99,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget_share: float = 1.0, max_epochs:
     placed = materialise(placed, "placed")
 
     # the global order: all copies on the virtual clock, cut into equal slices of its time;
-    # copies that would end after all budget is surely used are left out before the sort
+    # slices that begin after the budget is used need no sort
     copies = (
         placed.where("size > 0")
         .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))))
         .withColumn("finish", (F.col("epoch") * F.col("source_size") + F.col("cumulative")) / F.col("weight"))
-        .where(F.col("finish") <= F.col("level") * 1.01 + F.col("size") / F.col("weight"))
         .withColumn("tick", F.floor(F.least(F.col("finish") / F.greatest(F.col("level"), F.lit(1e-9)), F.lit(2.0)) * slices).cast("long"))
         .select("row_no", "shuffle", "doc_id", "source", "size", "epoch", "finish", "tick", "budget")
     )
@@ -115,7 +114,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget_share: float = 1.0, max_epochs:
         "ticks",
     )
     by_tick = W.partitionBy("tick").orderBy("finish", "shuffle", "doc_id", "source", "size", "epoch", "row_no").rowsBetween(*up_to_here)
-    taken = copies.join(served, "tick").withColumn("end", F.col("served") + F.sum("size").over(by_tick)).where("end <= budget").groupBy("row_no").agg(F.count(F.lit(1)).alias("copies"))
+    taken = copies.join(served, "tick").where("served < budget").withColumn("end", F.col("served") + F.sum("size").over(by_tick)).where("end <= budget").groupBy("row_no").agg(F.count(F.lit(1)).alias("copies"))
     return placed.join(taken, "row_no", "left").select(
         "row_no",
         "doc_id",

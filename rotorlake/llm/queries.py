@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, url_filter
+from . import license_scan, mixing, quality, token_files, url_filter
 
 QUERIES = {
     "op2_quality_rules": quality.op2_quality_rules,
+    "op3_license_scan": license_scan.op3_license_scan,
     "op4_mixing": mixing.op4_mixing,
+    "op6_token_files": token_files.op6_token_files,
     "op9_url_filter": url_filter.op9_url_filter,
 }
 
