@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from . import license_scan, mixing, quality, token_files, url_filter
+from . import decontaminate, license_scan, mixing, near_join, quality, token_files, toxicity, url_filter, warc
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_license_scan": license_scan.op3_license_scan,
     "op4_mixing": mixing.op4_mixing,
+    "op5_warc": warc.op5_warc,
     "op6_token_files": token_files.op6_token_files,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op9_url_filter": url_filter.op9_url_filter,
+    "op10_near_join": near_join.op10_near_join,
 }
 
 ORACLES = {
     "op4_mixing": mixing.OP4_SQL,
+    "op5_warc": warc.OP5_SQL,
     "op9_url_filter": url_filter.OP9_SQL,
 }
