@@ -29,8 +29,11 @@ from .textkernels import ALNUM, LOWER, mix, span_hashes, texts
 
 BITS = 18
 MAX_TRAIN = 6000
-EPOCHS, RATE, L2 = 40, 0.35, 2e-5
-BIAS = -6.0
+EPOCHS, RATE, L2 = 40, 0.1, 2e-5
+#: Where the fit starts: sentences are clean, features weigh SCALE times their log-odds beyond MARGIN.
+BIAS, MARGIN, SCALE = -9.5, 2.0, 1.75
+#: Training documents that must hold a feature for it to count, and the assumed share of toxic documents.
+MIN_DOCS, TOXIC_SHARE = 5, 0.25
 
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".!?\n")] = True
@@ -61,26 +64,36 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit(slots: np.ndarray, sentence: np.ndarray, first_sentence: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights and bias that maximise the likelihood of noisy-or bags (full batch, Adagrad)."""
-    w, b = np.zeros(1 << BITS), BIAS
-    if not len(slots) or len(set(y.tolist())) < 2:
-        return w.astype(np.float32), -30.0
-    sq, sq_b = np.full(1 << BITS, 1e-4), 1e-4
-    n_sentences = int(first_sentence[-1])
-    doc = np.repeat(np.arange(len(y)), np.diff(first_sentence))
-    flat, f_sentence = slots.reshape(-1), np.repeat(sentence, 3)
+    """Weights and bias that maximise the likelihood of noisy-or bags (full batch, Adagrad).
+
+    The fit starts from each feature's log-odds between toxic and clean documents, so that words seen in toxic
+    documents only lead from the first step; few toxic documents lower ``MIN_DOCS``.
+    """
+    size, n = 1 << BITS, len(y)
+    n_toxic = int((y == 1).sum())
+    if not len(slots) or n_toxic in (0, n):
+        return np.zeros(size, np.float32), -30.0
+    doc = np.repeat(np.arange(n), np.diff(first_sentence))
+    flat, f_sentence = slots.reshape(-1).astype(np.int64), np.repeat(sentence, slots.shape[1])
+    seen = np.unique(flat * n + doc[f_sentence])
+    toxic = np.bincount(seen // n, (y == 1)[seen % n], size)
+    clean = np.bincount(seen // n, (y != 1)[seen % n], size)
+    used = toxic + clean >= min(MIN_DOCS, 2 + n_toxic // 20)
+    odds = np.log((toxic + 0.5) / (clean + 0.5) * (n - n_toxic) / n_toxic)
+    w, b = np.where(used, np.maximum(0, odds - MARGIN) * SCALE, 0.0), BIAS
+    sq, sq_b = np.full(size, 1e-3), 1e-3
+    share = np.where(y == 1, TOXIC_SHARE * n / n_toxic, (1 - TOXIC_SHARE) * n / (n - n_toxic))
     for _ in range(EPOCHS):
-        p = sigmoid(b + np.bincount(f_sentence, w[flat], n_sentences))
-        clean = np.exp(np.bincount(doc, np.log1p(-p), len(y)))
-        # d log-likelihood / d logit: -p for clean documents, p * clean / (1 - clean) for toxic ones
-        factor = np.where(y == 1, clean / np.maximum(1 - clean, 1e-6), -1.0)
-        g = p * factor[doc]
-        grad = np.bincount(flat, g[f_sentence], 1 << BITS) / len(y) - L2 * w
-        grad_b = g.sum() / len(y)
+        p = sigmoid(b + np.bincount(f_sentence, w[flat], len(doc)))
+        none = np.exp(np.bincount(doc, np.log1p(-p), n))
+        # d log-likelihood / d logit: -p for clean documents, p * none / (1 - none) for toxic ones
+        g = p * (np.where(y == 1, none / np.maximum(1 - none, 1e-6), -1.0) * share)[doc]
+        grad = (np.bincount(flat, g[f_sentence], size) / n - L2 * w) * used
+        grad_b = g.sum() / n
         sq += grad**2
         sq_b += grad_b**2
         w += RATE * grad / np.sqrt(sq)
-        b += 0.1 * grad_b / np.sqrt(sq_b)
+        b += RATE * grad_b / np.sqrt(sq_b)
     return w.astype(np.float32), float(b)
 
 

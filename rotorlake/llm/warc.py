@@ -202,7 +202,7 @@ OP5_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
 g AS (SELECT h, max(page_id) AS last_id FROM p GROUP BY h)
 SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
-  array_to_string(list_transform(range(32), i ->
+  array_to_string(list_transform(range(32), lambda i:
     substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
       ((('0x' || substr(p.h, (i // 8 * 10 + 1)::BIGINT, 10))::BIGINT >> ((7 - i % 8) * 5)::BIGINT) & 31)::BIGINT + 1, 1)), '') AS payload_digest,
   CASE WHEN page_id < last_id THEN 'revisit' ELSE 'response' END AS record_type,
