@@ -39,17 +39,44 @@ BLOCK = 4096
 PERCENTILE = 90
 END_ID = 2
 NULL_ID = -(1 << 63)
-#: Chunks whose ids a worker remembers before it starts anew.
-MEMO = 400_000
+#: Pieces of text whose ids a worker remembers in each of two generations.
+MEMO = 500_000
 #: Bytes of text that are tokenised at a time.
 STEP = 4 << 20
 
 
+#: Letters, digits and white space among the first 592 code points; the same in all versions of Unicode.
+_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+
+
+class Memo(dict):
+    """Ids of pieces as little-endian u16 (u32 for large vocabularies); two generations of bounded size."""
+
+    def __init__(self, model, kind: str):
+        self.model, self.kind, self.old = model, kind, {}
+        printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        rest = [b for b in range(256) if b not in set(printable)]
+        # byte-level vocabularies write each byte as one visible character
+        self.visible = {b: b for b in printable} | {b: 256 + i for i, b in enumerate(rest)}
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= MEMO:
+            self.old = dict(self)
+            self.clear()
+        ids = self.old.get(piece)
+        if ids is None:
+            found = self.model.tokenize(piece.encode().decode("latin-1").translate(self.visible))
+            ids = np.array([t.id for t in found], self.kind).tobytes()
+        self[piece] = ids
+        return ids
+
+
 class Encoder:
-    """Token ids of whole texts with the tokenizers library, remembering the ids of recurring chunks.
+    """Token ids of whole texts with the tokenizers library, which is asked once for each piece it remembers.
 
-    Byte-level BPE never joins across a space that follows any character and precedes a non-space one, so
-    a text's ids are those of its chunks cut there.  Texts that hold a special token's string are encoded whole.
+    The byte-level pre-tokeniser cuts a text into pieces that the model encodes one by one.  Texts of the code
+    points up to U+024F are cut here by the same rule, written with the classes above; all other texts, and
+    texts that hold the string of a special token, go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -60,32 +87,26 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.cut = re.compile(r" (?=\S)")
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-
-    def _learn(self, memo: dict[str, bytes], chunks: set[str], lead: str) -> None:
-        new = [c for c in chunks if c not in memo]
-        if new:
-            for c, e in zip(new, self.tokenizer.encode_batch([lead + c for c in new], add_special_tokens=False)):
-                memo[c] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian u32 ids of each text."""
-        if len(self.first) + len(self.later) > MEMO:
-            self.first.clear()
-            self.later.clear()
-        split = [None if self.special and self.special.search(t) else self.cut.split(t) for t in texts]
-        self._learn(self.first, {s[0] for s in split if s}, "")
-        self._learn(self.later, {c for s in split if s for c in s[1:]}, " ")
-        later, out = self.later, []
-        for t, s in zip(texts, split):
-            if s is None:
-                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
-            else:
-                out.append(self.first[s[0]] + b"".join([later[c] for c in s[1:]]))
-        return out
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.whole = re.compile("|".join(["[\u0250-\U0010ffff]", *map(re.escape, special)]))
+        self.cut = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+        self.memo = Memo(self.tokenizer.model, self.kind)
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a text, little-endian, of the type ``kind``."""
+        if self.whole.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        return b"".join(map(self.memo.__getitem__, self.cut.findall(text)))
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """This worker's encoder; it stays between tasks."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def pack(values: np.ndarray, width: int) -> bytes:
@@ -204,21 +225,17 @@ def write_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int =
     half of the bytes of the text.
     """
     rows = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).cast("long").alias("doc_id"), "text")
-    end = np.array([end_id], "<u4").tobytes()
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path)
+        e = encoder(tokenizer_path)
+        end = np.array([end_id], e.kind).tobytes()
         for b in batches:
             texts, doc_ids, at = b.column("text"), b.column("doc_id"), 0
             sizes = np.cumsum(np.array(pa.compute.fill_null(pa.compute.binary_length(texts), 0), np.int64))
             while at < len(texts):
                 to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + STEP, "right")))
-                ids = [x + end for x in encoder.encode([t or "" for t in texts.slice(at, to - at).to_pylist()])]
-                packed = []
-                for x in ids:
-                    v = np.frombuffer(x, "<u4")
-                    packed.append(b"\0" + v.astype("<u2").tobytes() if not len(v) or v.max() < 1 << 16 else b"\1" + x)
-                yield pa.RecordBatch.from_arrays([doc_ids.slice(at, to - at), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "tie", "ids"])
+                ids = [e.encode(t or "") + end for t in texts.slice(at, to - at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([doc_ids.slice(at, to - at), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "tie", "ids"])
                 at = to
 
     # bounds come from the ids alone: a range partitioner would tokenise everything once more to sample it
@@ -230,7 +247,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int =
     dealt = tokenised.repartitionById(n, F.col("part")).sortWithinPartitions("doc_id", "tie").drop("part")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, out = TaskContext.get().partitionId(), None
+        part, kind = TaskContext.get().partitionId(), encoder(tokenizer_path).kind
         path = f"{folder}/part-{part:06d}.pfor"
         batches = (b for b in batches if b.num_rows)
         head = next(batches, None)
@@ -240,8 +257,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int =
             w = Writer(out)
             while head is not None:
                 for doc_id, raw in zip(head.column("doc_id").to_pylist(), head.column("ids")):
-                    raw = raw.as_buffer()
-                    w.add(doc_id, np.frombuffer(raw, "<u2" if raw[0] == 0 else "<u4", offset=1).astype(np.uint32) if len(raw) > 1 else np.zeros(0, np.uint32))
+                    w.add(doc_id, np.frombuffer(raw.as_buffer(), kind).astype(np.uint32))
                 head = next(batches, None)
             w.close()
         yield pa.RecordBatch.from_pylist([{"part": part, "path": path, "n_docs": len(w.docs), "n_tokens": w.tokens}], schema=pa.schema([("part", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
