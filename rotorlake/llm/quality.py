@@ -22,6 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialise, read
 from .textkernels import NON_SPACE, mix as mix64, owners, shingle_hashes, span_hashes, texts
@@ -91,10 +92,11 @@ def figures(column: pa.Array) -> Iterator[dict[str, np.ndarray]]:
         yield out
 
 
-def measure(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
-    """The columns named in ``keep`` and the figures of each row's text."""
+def measure(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang"), with_text: bool = False) -> DataFrame:
+    """The columns named in ``keep`` and the figures of each row's text; the text itself only if asked for."""
     names = [x.split()[0] for x in FIGURES.split(", ")]
-    rows = docs.select(*keep, "text")
+    keep = tuple(k for k in keep if with_text or k != "text")
+    rows = docs.select(*dict.fromkeys([*keep, "text"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -102,10 +104,7 @@ def measure(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang")) -> Data
             new = [pa.array(np.concatenate([x[n] for x in chunks]) if chunks else np.zeros(0, np.int64)) for n in names]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), *new], names=[*keep, *names])
 
-    schema = rows.drop("text").schema
-    for n in names:
-        schema = schema.add(n, "long")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, T.StructType([*(rows.schema[k] for k in keep), *(T.StructField(n, T.LongType()) for n in names)]))
 
 
 def rule_figures() -> dict:
@@ -183,6 +182,12 @@ def judge(measured: DataFrame, cutoffs: DataFrame, rules=RULES) -> DataFrame:
     )
 
 
+def filter_documents(docs: DataFrame, cutoffs: DataFrame, rules=RULES) -> DataFrame:
+    """The rows of docs that are kept; figures are made again beside each text, so that no text is shuffled."""
+    measured = measure(docs, tuple(docs.columns), with_text=True)
+    return judge(measured, cutoffs, rules).where("kept").select(*docs.columns)
+
+
 def good_documents(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
 

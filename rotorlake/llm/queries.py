@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, mixing, near_join, quality, token_files, toxicity, url_filter, warc
+from . import decontaminate, license_scan, mixing, near_join, quality, secrets_scan, token_files, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_warc": warc.op5_warc,
     "op6_token_files": token_files.op6_token_files,
     "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op8_secret_scan": secrets_scan.op8_secret_scan,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_near_join": near_join.op10_near_join,
 }
