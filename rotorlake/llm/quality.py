@@ -196,3 +196,36 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = materialise(measure(read(spark, sf_dir, "documents")), "figures")
     cutoffs = materialise(thresholds(measured, good_documents(read(spark, sf_dir, "labels"))), "cutoffs")
     return judge(measured, cutoffs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
+
+
+def _sql() -> str:
+    figs = {"symbols_per_100_words": ("n_symbols", "n_words"), "bangs_per_100_words": ("n_bangs", "n_words"), "repeats_per_100_words": ("n_repeat_words", "n_words"), "dup_lines_per_100_lines": ("n_dup_lines", "n_lines"), "upper_per_100_letters": ("n_upper", "n_letters")}
+    pairs = ", ".join(f"{{'r': '{r}', 'o': {k}, 'x': {a} * 100.0::DOUBLE / greatest({b}, 1)}}" for k, (r, (a, b)) in enumerate(figs.items()))
+    cuts = ", ".join(f"('{r}', {list(c)})" for r, c in RULES.items())
+    share = LIMIT / len(RULES)
+    return f"""
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM documents),
+win AS (SELECT doc_id, i, ws[i:i + 4] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)),
+rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1), (SELECT unnest(range(5)) AS j) GROUP BY doc_id),
+m AS (
+  SELECT w.doc_id, stratum, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
+         len(ls) AS n_lines, len(regexp_extract_all(t, '[!?]')) AS n_bangs, len(regexp_extract_all(t, '[A-Z]')) AS n_upper, len(regexp_extract_all(t, '[A-Za-z]')) AS n_letters
+  FROM w LEFT JOIN rep ON w.doc_id = rep.doc_id),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
+f AS (SELECT doc_id, stratum, base_failed, unnest([{pairs}], recursive := true) FROM b),
+cuts AS (SELECT r, unnest(c) AS cut, generate_subscripts(c, 1) AS i FROM (VALUES {cuts}) AS v(r, c)),
+good AS (SELECT f.* FROM f JOIN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1) g ON f.doc_id = g.doc_id WHERE NOT base_failed),
+k AS (SELECT stratum, good.r, i, cut, count(*) AS n, count(*) FILTER (x > cut) AS k FROM good JOIN cuts ON good.r = cuts.r GROUP BY ALL),
+tail AS (SELECT *, CASE WHEN k >= n THEN 1 ELSE list_sum(list_transform(range(k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({share}::DOUBLE) + (n - j) * ln(1 - {share}::DOUBLE)))) END AS p FROM k),
+ok AS (SELECT *, p <= {DELTA}::DOUBLE / ((SELECT count(DISTINCT stratum) FROM good) * {len(RULES)}) AS fine FROM tail),
+cut AS (SELECT stratum, r, min(cut) AS cut FROM (SELECT *, bool_and(fine) OVER (PARTITION BY stratum, r ORDER BY i ROWS UNBOUNDED PRECEDING) AS walked FROM ok) WHERE walked GROUP BY stratum, r),
+hit AS (SELECT doc_id, string_agg(f.r, ',' ORDER BY o) AS rejected_by FROM f JOIN cut ON f.stratum = cut.stratum AND f.r = cut.r WHERE x > cut GROUP BY doc_id)
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rejected_by IS NULL AS kept, coalesce(rejected_by, '') AS rejected_by
+FROM b LEFT JOIN hit ON b.doc_id = hit.doc_id
+"""
+
+
+OP2_SQL = _sql()

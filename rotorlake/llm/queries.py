@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_quality_rules": quality.OP2_SQL,
     "op4_mixing": mixing.OP4_SQL,
     "op5_warc": warc.OP5_SQL,
     "op9_url_filter": url_filter.OP9_SQL,
