@@ -32,12 +32,15 @@ from pyspark.sql import functions as F
 from .blocks import in_blocks, run_groups
 from .common import drop, materialise, read
 from .components import components
+from .decontaminate import bitmap_of
 from .textkernels import NON_SPACE, mix, shingle_hashes, span_hashes, texts
 
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, MAX_DEPTH, RECALL = 18, 8, 0.999
 #: Documents, and shingles, that a block holds on average at most.
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 1 << 20
+#: Bits of the map that spares unchosen texts the shuffle.
+BITS = 1 << 25
 
 
 def depth_for(recall: float = RECALL, trees: int = TREES, threshold: float = THRESHOLD, most: int = MAX_DEPTH) -> int:
@@ -241,12 +244,28 @@ def common_counts(sets: list[np.ndarray], step: int = 8192) -> np.ndarray:
 VERIFIED = pa.schema([("doc_id", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
 
+def maybe_chosen(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """doc_id, text of the rows whose id's hash is in the bitmap; some others pass too."""
+    mask = len(bitmap) * 8 - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            slot = b.column("hash").to_numpy() & mask
+            hit = (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text")], names=["doc_id", "text"]).filter(pa.array(hit.astype(bool)))
+
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.withColumn("hash", F.xxhash64("doc_id")).mapInArrow(run, "doc_id long, text string")
+
+
 def verified_links(docs: DataFrame, candidates: DataFrame, threshold: float) -> DataFrame:
     """doc_id, links (rows of other classes that it links to, in this block), root (smallest it is joined with here)."""
     sized = candidates.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("total"))
     sized = materialise(sized.where("m > 1"), "component-sizes")
     chosen = materialise(candidates.join(sized, "component"), "chosen")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen.select("doc_id", "component", "copies", "m", "total"), "doc_id")
+    # only texts that may be chosen are shuffled: a bitmap of fixed size tells most others where they lie
+    bitmap = bitmap_of(chosen.select(F.xxhash64("doc_id").alias("hash")), BITS)
+    rows = maybe_chosen(docs, bitmap).hint("merge").join(chosen.select("doc_id", "component", "copies", "m", "total"), "doc_id")
     # of rows with one id, all texts that the id stands for are alike in class keys; one is enough
     sets = shingle_sets(rows)
     blocks = F.ceil(F.greatest(F.col("m") / F.lit(float(BLOCK_DOCS)), F.col("total") / F.lit(float(BLOCK_SHINGLES))))
@@ -289,13 +308,10 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TRE
     # only classes of several rows need a join; all others stand for themselves
     several = materialise(classes.where("copies > 1"), "copies")
     members = materialise(worded.select("doc_id", "k1", "k2").join(several, ["k1", "k2"]).select("doc_id", "rep", "copies"), "members")
-    one = classes.where("copies = 1").select(F.col("rep").alias("doc_id"), F.col("copies"))
-    reps_of = several.select(F.col("rep").alias("doc_id"), "copies").union(one)
     reps = materialise(
         signed.where("n_shingles > 0").dropDuplicates(["doc_id", "k1", "k2"]).join(classes.select(F.col("rep").alias("doc_id"), "k1", "k2", "copies"), ["doc_id", "k1", "k2"]).select("doc_id", "copies", "n_shingles", "paths", "sig"),
         "representatives",
     )
-    del reps_of
     edges = candidate_edges(reps, trees * depth, threshold)
     grouped = components(edges)
     candidates = grouped.select(F.col("node").alias("doc_id"), "component").join(reps.select("doc_id", "copies", "n_shingles"), "doc_id")
