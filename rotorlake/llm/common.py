@@ -25,6 +25,17 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/rotorlake-{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Rows that an Arrow batch of texts holds at most.
+TEXT_BATCH = 2000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches small: texts are long, and every worker holds a batch twice."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= TEXT_BATCH:
+        spark.conf.set(key, TEXT_BATCH)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back; cuts lineage and survives lost executors."""
     spark = df.sparkSession

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, read
+from .common import materialise, read, text_batches
 from .textkernels import ALNUM, LOWER, mix, owners, span_hashes, texts
 
 MASKS = ("1110100110", "1101011001", "1011001101", "1100101110")
@@ -158,6 +158,7 @@ def least_words(n_words, min_words: int = MIN_WORDS):
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, min_words: int = MIN_WORDS, min_share: float = MIN_SHARE) -> DataFrame:
     """doc_id, item_id, matched, overlap_words, item_word, doc_word: one row per document and item found."""
+    text_batches(docs.sparkSession)
     items = materialise(item_seeds(benchmark, masks), "items")
     item_hashes = items.select("item_id", F.explode("seeds").alias("s")).select("item_id", F.col("s.pos").alias("item_pos"), "s.hash")
     facts = items.agg(F.max("n_words"), F.sum(F.size("seeds"))).head()

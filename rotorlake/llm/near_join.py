@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import in_blocks, run_groups
-from .common import drop, materialise, read
+from .common import drop, materialise, read, text_batches
 from .components import components
 from .decontaminate import bitmap_of
 from .textkernels import NON_SPACE, mix, shingle_hashes, span_hashes, texts
@@ -301,6 +301,7 @@ def verified_links(docs: DataFrame, candidates: DataFrame, threshold: float) ->
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES) -> DataFrame:
     """doc_id, class_id (smallest id it is linked to, directly or through others), n_links, for every row."""
     spark = docs.sparkSession
+    text_batches(spark)
     depth = depth_for(trees=trees, threshold=threshold)
     signed = materialise(signatures(docs, trees, depth), "signatures")
     worded = signed.where("n_words > 0")

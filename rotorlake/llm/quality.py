@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, read
+from .common import materialise, read, text_batches
 from .textkernels import NON_SPACE, mix as mix64, owners, shingle_hashes, span_hashes, texts
 
 #: Figure and cutoffs (laxest first); a document is rejected if the figure is above the cutoff.
@@ -95,6 +95,7 @@ def figures(column: pa.Array) -> Iterator[dict[str, np.ndarray]]:
 def measure(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang"), with_text: bool = False) -> DataFrame:
     """The columns named in ``keep`` and the figures of each row's text; the text itself only if asked for."""
     names = [x.split()[0] for x in FIGURES.split(", ")]
+    text_batches(docs.sparkSession)
     keep = tuple(k for k in keep if with_text or k != "text")
     rows = docs.select(*dict.fromkeys([*keep, "text"]))
 

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, new_folder, read
+from .common import materialise, new_folder, read, text_batches
 from .files import open_fs, written
 
 MAGIC = b"PFOR1\n"
@@ -40,7 +40,7 @@ PERCENTILE = 90
 END_ID = 2
 NULL_ID = -(1 << 63)
 #: Pieces of text whose ids a worker remembers in each of two generations.
-MEMO = 500_000
+MEMO = 200_000
 #: Bytes of text that are tokenised at a time.
 STEP = 4 << 20
 
@@ -224,6 +224,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int =
     Texts are tokenised where they lie and only packed ids are dealt by id range, so the shuffle moves about
     half of the bytes of the text.
     """
+    text_batches(docs.sparkSession)
     rows = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).cast("long").alias("doc_id"), "text")
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +236,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int =
             while at < len(texts):
                 to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + STEP, "right")))
                 ids = [e.encode(t or "") + end for t in texts.slice(at, to - at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([doc_ids.slice(at, to - at), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "tie", "ids"])
+                yield pa.RecordBatch.from_arrays([doc_ids.slice(at, to - at), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([e.kind] * len(ids))], names=["doc_id", "tie", "ids", "kind"])
                 at = to
 
     # bounds come from the ids alone: a range partitioner would tokenise everything once more to sample it
@@ -243,11 +244,11 @@ def write_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int =
     bounds = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 10_000)).head()[0] or []
     bounds = sorted(set(bounds))
     part = F.aggregate(F.array(*map(F.lit, bounds)), F.lit(0), lambda k, b: k + (F.col("doc_id") > b).cast("int")) if bounds else F.lit(0)
-    tokenised = rows.mapInArrow(tokenise, "doc_id long, tie long, ids binary").withColumn("part", part)
+    tokenised = rows.mapInArrow(tokenise, "doc_id long, tie long, ids binary, kind string").withColumn("part", part)
     dealt = tokenised.repartitionById(n, F.col("part")).sortWithinPartitions("doc_id", "tie").drop("part")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, kind = TaskContext.get().partitionId(), encoder(tokenizer_path).kind
+        part = TaskContext.get().partitionId()
         path = f"{folder}/part-{part:06d}.pfor"
         batches = (b for b in batches if b.num_rows)
         head = next(batches, None)
@@ -256,7 +257,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int =
         with written(path) as out:
             w = Writer(out)
             while head is not None:
-                for doc_id, raw in zip(head.column("doc_id").to_pylist(), head.column("ids")):
+                for doc_id, raw, kind in zip(head.column("doc_id").to_pylist(), head.column("ids"), head.column("kind").to_pylist()):
                     w.add(doc_id, np.frombuffer(raw.as_buffer(), kind).astype(np.uint32))
                 head = next(batches, None)
             w.close()
