@@ -52,7 +52,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     copies = mixing.mix(docs).groupBy("doc_id", "source").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
     copies = materialise(copies.select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.round(F.col("copies") / F.col("rows")).cast("int").alias("copies")).where("copies > 0"), "mix-copies")
-    rows = docs.select(*COLUMNS).join(copies, F.col("doc_id").eqNullSafe(F.col("m_id")) & F.col("source").eqNullSafe(F.col("m_source")))
+    # a row per document on both sides: always a shuffle join, as copies grow with the documents
+    rows = docs.select(*COLUMNS).join(copies.hint("merge"), F.col("doc_id").eqNullSafe(F.col("m_id")) & F.col("source").eqNullSafe(F.col("m_source")))
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
