@@ -9,6 +9,7 @@ from compare import same, tables
 
 import corpus_pipeline
 from rotorlake.llm import decontaminate, license_scan, mixing, near_join, queries, quality as q, token_files
+from rotorlake.llm.components import are_stars, components
 from rotorlake.llm.near_join import depth_for, least_agreement
 from rotorlake.llm.token_files import encoder
 
@@ -58,6 +59,25 @@ def test_large_group_in_blocks(spark, make, monkeypatch):
     assert sorted(tuple(r) for r in near_join.near_classes(make(rows)).collect()) == near([(d, t) for d, t, _, _ in rows])
 
 
+def test_components_of_paths_rings_and_stars(spark):
+    rng = random.Random(5)
+    path, ring, star = list(range(100, 140)), list(range(200, 221)), list(range(300, 340))
+    rng.shuffle(path)
+    edges = [*zip(path, path[1:]), *zip(ring, [*ring[1:], ring[0]]), *((320, x) for x in star if x != 320)]
+    edges += [(400 + rng.randrange(60), 400 + rng.randrange(60)) for _ in range(45)] + edges[:5]
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    joined = {x for a, b in edges if a != b for x in (a, b)}
+    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted(map(tuple, got)) == sorted((x, root[x]) for x in joined)
+    made = spark.createDataFrame([(5, 1), (4, 1), (9, 2)], "a long, b long")
+    assert are_stars(made) and sorted(map(tuple, components(made).collect())) == [(1, 1), (2, 2), (4, 1), (5, 1), (9, 2)]
+    assert not are_stars(spark.createDataFrame([(5, 4), (4, 1)], "a long, b long"))
+    assert not are_stars(spark.createDataFrame([(5, 4), (5, 1)], "a long, b long"))
+
+
 def test_decontamination_against_all_diagonals(spark, make):
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     rng = random.Random(4)
