@@ -3,9 +3,9 @@
 A seed is a fixed mask over consecutive words; the words at its zeros are ignored, so a substitution there
 leaves the seed's hash as it is.  Hashes of all seeds of the benchmark and of the documents are joined; every
 hit gives a diagonal (where in the document the item would begin), and along it document and item are
-compared word by word.  The stretch with the best score (match +1, other -2) is the overlap; a document is
-contaminated by an item if the stretch has at least ``MIN_WORDS`` matching words (for shorter items: all
-words of the item but one in ten) and at least ``MIN_SHARE`` of it matches.
+compared word by word.  Of all stretches of the diagonal of which at least ``MIN_SHARE`` matches, the one with
+most matching words is the overlap; a document is contaminated by an item if these are at least ``MIN_WORDS``
+(for shorter items: all words of the item but one in ten).
 
 Documents pass once: seeds are tested against a bitmap of fixed size made from the benchmark's seeds (and,
 while there are at most ``MAX_HASHES`` of them, against the hashes themselves), and only stretches of words
@@ -20,6 +20,7 @@ overlaps go to the longest, then the first in the document.  Empty tables give a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -139,17 +140,28 @@ def hit_stretches(docs: DataFrame, masks: tuple[str, ...], bitmap: np.ndarray, e
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, first long, words binary, hits array<struct<pos:long,hash:long>>")
 
 
-def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int]:
-    """(matching words, length, start in the item) of the best stretch along a diagonal."""
+def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int, min_share: float = MIN_SHARE) -> tuple[int, int, int]:
+    """(matching words, length, start in the item) of the stretch with most matches among those of enough share.
+
+    With a score of ``1 - share`` for a match and ``-share`` for another word (in whole numbers), a stretch has
+    the share exactly if the sum does not fall along it.  For each end, the first start whose sum is not above
+    the end's own gives most matches; that is found in the running minimum.
+    """
     a, z = max(0, -diagonal), min(len(item), len(doc) - diagonal)
     if z <= a:
         return 0, 0, 0
     same = doc[a + diagonal : z + diagonal] == item[a:z]
-    total = np.append(0, np.cumsum(np.where(same, 1, -2)))
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    start = int(np.flatnonzero(total[: end + 1] == low[end])[-1])
-    return int(same[start:end].sum()), end - start, a + start
+    at = np.flatnonzero(same)
+    if not len(at):
+        return 0, 0, 0
+    share = Fraction(str(min_share))
+    total = np.append(0, np.cumsum(same * share.denominator - share.numerator))
+    # stretches begin and end at a match: others only add words that do not match
+    low = np.minimum.accumulate(total[at])
+    first = np.searchsorted(-low, -total[at + 1])
+    matched, size = np.arange(len(at)) - first + 1, at - at[np.minimum(first, len(at) - 1)] + 1
+    k = int(np.lexsort((at - size, -size, -matched))[0])
+    return int(matched[k]), int(size[k]), a + int(at[k] - size[k]) + 1
 
 
 def least_words(n_words, min_words: int = MIN_WORDS):
@@ -182,8 +194,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
             cols = [b.column(n).to_pylist() for n in ("doc_id", "item_id", "diagonal", "first", "n_words")]
             out = []
             for doc_id, item_id, d, at, n, x, y in zip(*cols, b.column("doc_words"), b.column("item_words")):
-                m, size, start = overlap(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), d)
-                if m >= least_words(n, min_words) and m >= min_share * size:
+                m, size, start = overlap(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), d, min_share)
+                if m >= least_words(n, min_words):
                     out.append((doc_id, item_id, m, size, start, at + start + d))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [()] * 6)], names=["doc_id", "item_id", "matched", "overlap_words", "item_word", "doc_word"])
 
