@@ -18,11 +18,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the base test or a certified rule rejects.
 
-    Cutoffs are certified on the labelled rows of this stage's input; verdicts are by id and words, so rows
+    Cutoffs are certified together on the labelled rows of this stage's input; verdicts are by id and words, so rows
     that share an id are judged one by one.
     """
     measured = materialise(quality.measure(docs), "figures")
-    cutoffs = materialise(quality.thresholds(measured, quality.good_documents(read(spark, sf_dir, "labels"))), "cutoffs")
+    cutoffs = materialise(quality.joint_thresholds(measured, quality.good_documents(read(spark, sf_dir, "labels"))), "cutoffs")
     return quality.filter_documents(docs.select(*COLUMNS), cutoffs)
 
 
