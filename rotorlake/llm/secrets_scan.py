@@ -1,12 +1,14 @@
 """Operator 8: secret scans whose false positives a random forest removes.
 
-Candidates are runs of 16 or more of ``[A-Za-z0-9+/_-]``.  Each gets figures of its length, its character
+Candidates are runs of 16 or more of ``[A-Za-z0-9+/_-]``, such runs joined by dots, every value that follows an
+assignment name (quoted, or up to white space; any length and characters) and passwords in URLs; a span found
+twice counts once.  Each gets figures of its length, its character
 transitions, how much of it the corpus's own dictionary covers, its path (the source column) and its
 neighbouring words.  A random forest trained on labelled findings tells secrets from other long runs.
 
 The dictionary is a table of fixed size with the frequency of every four-letter piece (hashed) over all
 texts.  Labelled findings are a parameter: (doc_id, start, label).  Where none are given they are derived from
-the candidates themselves: published key formats and quoted or assigned values with digits are 1, other
+the candidates themselves: published key formats and assigned values or URL passwords with digits are 1, other
 candidates 0; of these only documents with crc32(doc_id) mod 5 other than 0 are learnt from.  At most
 ``MAX_TRAIN`` findings, the first by hash of each label, are fitted.
 
@@ -44,9 +46,28 @@ _LETTER = np.zeros(256, bool)
 _LETTER[0x61:0x7B] = True
 
 #: Published key formats, and names that values are assigned to.
-FORMATS = re.compile(r"AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|xox[baprs]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{35}")
+FORMATS = re.compile(r"AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|xox[baprs]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{35}|eyJ[0-9A-Za-z_-]+\.eyJ[0-9A-Za-z_-]+\.[0-9A-Za-z_-]*")
 ASSIGNED = re.compile(r"(?i)(?:pass(?:word|wd)?|token|secret|api[_-]?key|credential)s?[\"']?\s*[=:]\s*[\"']?$")
 
+#: Spans of any length: assigned values, passwords in URLs; and runs joined by dots.
+VALUES = re.compile(rb"""(?i)(?:pass(?:word|wd)?|token|secret|api[_-]?key|credential)s?["']?\s*[=:]\s*(?="((?:[^"\\\r\n]|\\.)+)"|'((?:[^'\\\r\n]|\\.)+)'|["']?([^\s"']+))""")
+LOGINS = re.compile(rb"://[^\s/:@\"']*:([^\s/\"']+)@")
+DOTTED = re.compile(rb"[A-Za-z0-9+/_-]+(?:\.[A-Za-z0-9+/_-]+)+")
+LOGIN = re.compile(r"://[^\s/:@\"']*:$")
+
+
+def spans(text: bytes) -> set[tuple[int, int]]:
+    """Start and end of the candidates of a text that are not plain runs."""
+    out = {m.span() for m in DOTTED.finditer(text) if m.end() - m.start() >= LEAST}
+    out |= {m.span(1) for m in LOGINS.finditer(text)}
+    for m in VALUES.finditer(text):
+        k = next(g for g in (1, 2, 3) if m.start(g) >= 0)
+        a, z = m.span(k)
+        if k == 3:  # the mark that ends a clause is not the value's
+            z = a + (len(m[k].rstrip(b".,;)]}>")) or z - a)
+        out.add((a, z))
+    return out
+
 
 def pieces(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bin of the four letters that begin at each byte, and whether there are four."""
@@ -98,7 +119,7 @@ def figures(run: str, covered: float, before: str, after: str, path: str) -> lis
     n = len(run)
     share = [kinds.count(k) / n for k in range(4)]
     moves = Counter(zip(kinds, kinds[1:]))
-    transitions = [moves[a, b] / (n - 1) for a in range(3) for b in range(3)]
+    transitions = [moves[a, b] / max(1, n - 1) for a in range(3) for b in range(3)]
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(run).values())
     hexed = sum(ch in "0123456789abcdefABCDEF" for ch in run) / n
     left, right = before.split(), after.split()
@@ -122,14 +143,18 @@ def candidates(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 long = np.flatnonzero(ends - starts >= LEAST)
                 owner = np.searchsorted(c.offs, starts[long], "right") - 1
                 raw = c.data
-                for k, s, e in zip(owner.tolist(), starts[long].tolist(), ends[long].tolist()):
+                raw_spans = set(zip(owner.tolist(), starts[long].tolist(), ends[long].tolist()))
+                for k in range(c.n):
+                    at = int(c.offs[k])
+                    raw_spans |= {(k, at + s, at + e) for s, e in spans(raw[at : int(c.offs[k + 1])].tobytes())}
+                for k, s, e in sorted(raw_spans):
                     lo, hi = int(c.offs[k]), int(c.offs[k + 1])
-                    text = raw[s:e].tobytes().decode()
+                    text = raw[s:e].tobytes().decode("utf-8", "replace")
                     before = raw[max(lo, s - 60) : s].tobytes().decode("utf-8", "ignore")
                     after = raw[e : min(hi, e + 40)].tobytes().decode("utf-8", "ignore")
                     bins, ok = pieces(raw[s:e])
                     covered = float(usual[bins[ok]].sum()) / max(1, e - s - 3)
-                    rule = bool(FORMATS.fullmatch(text)) or bool(ASSIGNED.search(before)) and any(ch.isdigit() for ch in text)
+                    rule = bool(FORMATS.fullmatch(text)) or bool(ASSIGNED.search(before) or LOGIN.search(before)) and any(ch.isdigit() for ch in text)
                     out.append((c.first + k, s - lo, e - s, int(rule), figures(text, covered, before, after, paths[c.first + k].as_py())))
             cols = list(zip(*out)) if out else [()] * 5
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.list_(pa.float64()))], names=["doc_id", "start", "length", "rule", "features"])
@@ -148,7 +173,7 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, most: int = MAX_TRA
         labelled = found.where(learnt).withColumn("label", F.col("rule").cast("double"))
     else:
         labelled = found.join(findings.select("doc_id", "start", F.col("label").cast("double").alias("label")), ["doc_id", "start"])
-    part = lambda v: labelled.where(F.col("label") == v).orderBy(F.xxhash64("doc_id", "start"), "doc_id", "start").limit(most // 2)
+    part = lambda v: labelled.where(F.col("label") == v).orderBy(F.xxhash64("doc_id", "start"), "doc_id", "start", "length").limit(most // 2)
     train = materialise(part(1.0).union(part(0.0)).select("label", "features"), "findings")
     seen = [r[0] for r in train.select("label").distinct().collect()]
     if len(seen) < 2:
