@@ -24,6 +24,25 @@ def in_blocks(rows: DataFrame, group: str, n_blocks: Column, item: str) -> DataF
     return rows.withColumn("met", F.explode(met)).select("*", "met.pair", "met.side", "met.alone").drop("met")
 
 
+def far_blocks(rows: DataFrame, item: str) -> DataFrame:
+    """Deals rows so that each pair meets in exactly one pair of blocks, but for pairs of two ``near`` rows.
+
+    ``far_blocks`` and ``near_blocks`` say into how many blocks a group's rows of either kind go.  Adds ``pair``,
+    ``side`` and ``alone`` as ``in_blocks`` does; pairs of a far and a near block have negative numbers.
+    """
+    far, near = F.col("far_blocks"), F.col("near_blocks")
+    own = F.pmod(F.xxhash64(item), F.greatest(F.lit(1), F.when(F.col("near"), near).otherwise(far))).cast("long")
+    shape = "array<struct<pair:long,side:int,alone:boolean>>"
+    none = F.array().cast(shape)
+    place = lambda pair, side, alone: F.struct(pair.cast("long").alias("pair"), side.cast("int").alias("side"), alone.alias("alone"))
+    over = lambda n, f: F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), f)).otherwise(none)
+    with_far = over(far, lambda k: place(F.least(k, own) * far + F.greatest(k, own), own > k, own == k))
+    with_near = over(near, lambda k: place(-1 - (own * near + k), F.lit(0), F.lit(False)))
+    from_near = over(far, lambda k: place(-1 - (k * near + own), F.lit(1), F.lit(False)))
+    met = F.when(F.col("near"), from_near).otherwise(F.concat(with_far, with_near))
+    return rows.withColumn("met", F.explode(met)).select("*", "met.pair", "met.side", "met.alone").drop("met")
+
+
 def run_groups(rows: DataFrame, keys: list[str], order: list[str], work: Callable[[list[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Calls ``work`` with stretches of whole groups (bounded batches sorted by the keys).
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,3 +57,13 @@ def drop(spark: SparkSession, *tables: DataFrame) -> None:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def text_keys() -> list[Column]:
+    """``t1``, ``t2``: two hashes of the text.  With the id they tell rows apart; rows equal in all three are repeated."""
+    return [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("second"), "text").alias("t2")]
+
+
+def same_row(other: str = "k_") -> Column:
+    """Join condition on id and text between docs with ``text_keys`` and a table whose keys begin with ``other``."""
+    return F.col("doc_id").eqNullSafe(F.col(f"{other}doc_id")) & (F.col("t1") == F.col(f"{other}t1")) & (F.col("t2") == F.col(f"{other}t2"))

@@ -9,12 +9,16 @@ most matching words is the overlap; a document is contaminated by an item if the
 
 Documents pass once: seeds are tested against a bitmap of fixed size made from the benchmark's seeds (and,
 while there are at most ``MAX_HASHES`` of them, against the hashes themselves), and only stretches of words
-around the hits go on to the joins.  The benchmark itself is joined, not broadcast by hand.
+around the hits go on to the joins.  The bitmap has about ``BITS_PER_SEED`` bits a seed, from ``BITS`` to
+``MOST_BITS``.  The benchmark itself is joined, not broadcast by hand.
 
 Words are runs of digits, letters and non-ASCII characters, with A-Z lower-cased.  Items shorter than the
 masks are sought by all their words.  Null and empty texts hit nothing; an item without words is never
-found; rows with null ids are not reported.  Repeated rows give one row per id and item; ties between
-overlaps go to the longest, then the first in the document.  Empty tables give an empty result.
+found; very long texts are searched whole, in stretches around their hits.  Results carry the columns named in
+``key``: with the default, rows with null ids are not reported and repeated rows give one row per id and item.
+Items are compared row by row, and items of null id are reported under null.  Ties between overlaps go to the
+longest, then the first in the document.  Extra columns are ignored, whatever their names.  Empty tables give an
+empty result.
 """
 
 from __future__ import annotations
@@ -26,13 +30,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialise, read, text_batches
 from .textkernels import ALNUM, LOWER, mix, owners, span_hashes, texts
 
 MASKS = ("1110100110", "1101011001", "1011001101", "1100101110")
 MIN_WORDS, MIN_SHARE = 13, 0.8
-BITS = 1 << 24
+BITS, MOST_BITS, BITS_PER_SEED = 1 << 24, 1 << 28, 32
 MAX_HASHES = 1 << 21
 
 
@@ -58,7 +63,7 @@ def seeds(words: np.ndarray, first: np.ndarray, masks: tuple[str, ...]) -> Itera
 
 
 def item_seeds(benchmark: DataFrame, masks: tuple[str, ...]) -> DataFrame:
-    """item_id, n_words, words (hashes as bytes), seeds(pos, hash); items shorter than the masks have one seed."""
+    """item_no, item_id, n_words, words (hashes as bytes), seeds(pos, hash); items shorter than the masks have one seed."""
     span = max(map(len, masks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +79,8 @@ def item_seeds(benchmark: DataFrame, masks: tuple[str, ...]) -> DataFrame:
                     rows.append({"item_id": b.column("item_id")[c.first + k].as_py(), "n_words": len(own), "words": own.tobytes(), "seeds": [{"pos": p, "hash": h} for p, h in found]})
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("item_id", pa.int64()), ("n_words", pa.int64()), ("words", pa.binary()), ("seeds", pa.list_(pa.struct([("pos", pa.int64()), ("hash", pa.int64())])))]))
 
-    return benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(run, "item_id long, n_words long, words binary, seeds array<struct<pos:long,hash:long>>")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(run, "item_id long, n_words long, words binary, seeds array<struct<pos:long,hash:long>>")
+    return items.withColumn("item_no", F.monotonically_increasing_id())
 
 
 def bitmap_of(hashes: DataFrame, bits: int = BITS) -> np.ndarray:
@@ -97,16 +103,21 @@ def bitmap_of(hashes: DataFrame, bits: int = BITS) -> np.ndarray:
     return np.frombuffer(hashes.coalesce(8).mapInArrow(part, "map binary").coalesce(1).mapInArrow(merge, "map binary").head()[0], np.uint8)
 
 
-HITS = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("words", pa.binary()), ("hits", pa.list_(pa.struct([("pos", pa.int64()), ("hash", pa.int64())])))])
+HITS = pa.schema([("first", pa.int64()), ("words", pa.binary()), ("hits", pa.list_(pa.struct([("pos", pa.int64()), ("hash", pa.int64())])))])
 
 
 def hit_stretches(docs: DataFrame, masks: tuple[str, ...], bitmap: np.ndarray, exact: np.ndarray | None, reach: int) -> DataFrame:
-    """doc_id, first (word), words (hashes as bytes) and hits of the stretches that may hold an overlap."""
+    """docs' other columns, first (word), words (hashes as bytes) and hits of the stretches that may hold an overlap."""
     bits = np.uint64(len(bitmap) * 8)
+    keep = [c for c in docs.columns if c != "text"]
+
+    def rows_of(b: pa.RecordBatch, owners_: list[int], rows: list[dict]) -> pa.RecordBatch:
+        own, found = pa.array(owners_, pa.int64()), pa.RecordBatch.from_pylist(rows, schema=HITS)
+        return pa.RecordBatch.from_arrays([*(b.column(k).take(own) for k in keep), *found.columns], names=[*keep, *HITS.names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
+            rows, of = [], []
             for c in texts(b.column("text")):
                 words, first = text_words(c)
                 pos, val = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
@@ -131,13 +142,15 @@ def hit_stretches(docs: DataFrame, masks: tuple[str, ...], bitmap: np.ndarray, e
                 for s, e in zip(edges[:-1], edges[1:]):
                     k = int(owner[s])
                     a, z = max(int(first[k]), int(pos[s]) - reach), min(int(first[k + 1]), int(pos[e - 1]) + reach + 1)
-                    rows.append({"doc_id": b.column("doc_id")[c.first + k].as_py(), "first": a - int(first[k]), "words": words[a:z].tobytes(), "hits": [{"pos": p - a, "hash": h} for p, h in zip(pos[s:e].tolist(), val[s:e].view(np.int64).tolist())]})
+                    of.append(c.first + k)
+                    rows.append({"first": a - int(first[k]), "words": words[a:z].tobytes(), "hits": [{"pos": p - a, "hash": h} for p, h in zip(pos[s:e].tolist(), val[s:e].view(np.int64).tolist())]})
                     if len(rows) == 2000:
-                        yield pa.RecordBatch.from_pylist(rows, schema=HITS)
-                        rows = []
-            yield pa.RecordBatch.from_pylist(rows, schema=HITS)
+                        yield rows_of(b, of, rows)
+                        rows, of = [], []
+            yield rows_of(b, of, rows)
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, first long, words binary, hits array<struct<pos:long,hash:long>>")
+    schema = T.StructType([*(docs.schema[k] for k in keep), *T.StructType.fromDDL("first long, words binary, hits array<struct<pos:long,hash:long>>").fields])
+    return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
 def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int, min_share: float = MIN_SHARE) -> tuple[int, int, int]:
@@ -168,40 +181,49 @@ def least_words(n_words, min_words: int = MIN_WORDS):
     return np.where(n_words < min_words, np.maximum(1, np.ceil(n_words * 0.9)), min_words)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, min_words: int = MIN_WORDS, min_share: float = MIN_SHARE) -> DataFrame:
-    """doc_id, item_id, matched, overlap_words, item_word, doc_word: one row per document and item found."""
+def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, min_words: int = MIN_WORDS, min_share: float = MIN_SHARE, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``key``, item_id, matched, overlap_words, item_word, doc_word: one row per key and item found."""
     text_batches(docs.sparkSession)
     items = materialise(item_seeds(benchmark, masks), "items")
-    item_hashes = items.select("item_id", F.explode("seeds").alias("s")).select("item_id", F.col("s.pos").alias("item_pos"), "s.hash")
+    item_hashes = items.select("item_no", F.explode("seeds").alias("s")).select("item_no", F.col("s.pos").alias("item_pos"), "s.hash")
     facts = items.agg(F.max("n_words"), F.sum(F.size("seeds"))).head()
     reach, n_hashes = int(facts[0] or 0), int(facts[1] or 0)
     span = max(map(len, masks))
     short = [r[0] for r in items.where((F.col("n_words") > 0) & (F.col("n_words") < span)).select("n_words").distinct().limit(span).collect()]
     all_masks = (*masks, *("1" * n for n in sorted(short)))
-    bitmap = bitmap_of(item_hashes.select("hash"))
+    bitmap = bitmap_of(item_hashes.select("hash"), min(MOST_BITS, max(BITS, 1 << (BITS_PER_SEED * n_hashes).bit_length())))
     exact = None
     if 0 < n_hashes <= MAX_HASHES:
         exact = np.unique(item_hashes.select("hash").distinct().toPandas()["hash"].to_numpy(np.int64).view(np.uint64))
-    stretches = materialise(hit_stretches(docs, all_masks, bitmap, exact, reach).withColumn("stretch", F.monotonically_increasing_id()), "stretches")
+    rows = docs.select(*[F.col(k).cast("long").alias(k) if k == "doc_id" else F.col(k) for k in key], "text")
+    rows = rows.where("doc_id is not null") if key == ("doc_id",) else rows
+    own = [f"d_{k}" for k in key]
+    found = hit_stretches(rows.toDF(*own, "text"), all_masks, bitmap, exact, reach)
+    stretches = materialise(found.withColumn("stretch", F.monotonically_increasing_id()), "stretches")
 
     hits = stretches.select("stretch", F.explode("hits").alias("h")).select("stretch", F.col("h.pos").alias("pos"), F.col("h.hash").alias("hash"))
-    diagonals = hits.join(item_hashes, "hash").select("stretch", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct()
+    diagonals = hits.join(item_hashes, "hash").select("stretch", "item_no", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct()
     diagonals = materialise(diagonals, "diagonals")
-    pairs = diagonals.join(stretches.select("stretch", "doc_id", "first", F.col("words").alias("doc_words")), "stretch").join(items.select("item_id", "n_words", F.col("words").alias("item_words")), "item_id")
+    pairs = diagonals.join(stretches.select("stretch", *own, "first", F.col("words").alias("doc_words")), "stretch").join(items.select("item_no", "item_id", "n_words", F.col("words").alias("item_words")), "item_no")
+    keep = [*own, "item_id"]
+    new = ["matched", "overlap_words", "item_word", "doc_word"]
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = [b.column(n).to_pylist() for n in ("doc_id", "item_id", "diagonal", "first", "n_words")]
-            out = []
-            for doc_id, item_id, d, at, n, x, y in zip(*cols, b.column("doc_words"), b.column("item_words")):
+            cols = [b.column(n).to_pylist() for n in ("diagonal", "first", "n_words")]
+            of, out = [], []
+            for k, (d, at, n, x, y) in enumerate(zip(*cols, b.column("doc_words"), b.column("item_words"))):
                 m, size, start = overlap(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), d, min_share)
                 if m >= least_words(n, min_words):
-                    out.append((doc_id, item_id, m, size, start, at + start + d))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [()] * 6)], names=["doc_id", "item_id", "matched", "overlap_words", "item_word", "doc_word"])
+                    of.append(k)
+                    out.append((m, size, start, at + start + d))
+            own_rows = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(own_rows) for k in keep), *(pa.array(c, pa.int64()) for c in (zip(*out) if out else [()] * 4))], names=[*keep, *new])
 
-    found = pairs.select("doc_id", "item_id", "diagonal", "first", "n_words", "doc_words", "item_words").mapInArrow(verify, "doc_id long, item_id long, matched long, overlap_words long, item_word long, doc_word long")
+    schema = T.StructType([*(pairs.schema[k] for k in keep), *(T.StructField(n, T.LongType()) for n in new)])
+    found = pairs.select(*keep, "diagonal", "first", "n_words", "doc_words", "item_words").mapInArrow(verify, schema)
     best = F.max(F.struct("matched", "overlap_words", (-F.col("doc_word")).alias("o"), "item_word", "doc_word")).alias("x")
-    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.matched", "x.overlap_words", "x.item_word", "x.doc_word")
+    return found.groupBy(*keep).agg(best).select(*[F.col(o).alias(k) for o, k in zip(own, key)], "item_id", *[f"x.{n}" for n in new])
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

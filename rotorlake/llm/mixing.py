@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, read
+from .common import materialise, read, text_keys
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
@@ -63,11 +63,15 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, budget_share: float = 1.0,
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, budget_share: float = 1.0, max_epochs: int = MAX_EPOCHS, slices: int = 4096) -> DataFrame:
-    """row_no, doc_id, source, size, source_size, target, copies, taken for every row of docs(doc_id, text, source)."""
+    """row_no, doc_id, source, t1, t2, size, source_size, target, copies, taken for every row of docs(doc_id, text, source).
+
+    ``t1`` and ``t2`` are hashes of the text, which tell rows of one id apart.
+    """
     sized = materialise(
         docs.select(
             "doc_id",
             "source",
+            *text_keys(),
             n_words(F.col("text")).alias("size"),
             F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("shuffle"),
             F.monotonically_increasing_id().alias("row_no"),
@@ -94,7 +98,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget_share: float = 1.0, max_epochs:
         sliced.join(before, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("slice") == F.col("b_slice")))
         .withColumn("cumulative", F.col("before") + F.sum("size").over(by_slice))
         .join(targets.withColumnRenamed("source", "t_source"), F.col("source").eqNullSafe(F.col("t_source")))
-        .select("row_no", "doc_id", "source", "size", "shuffle", "source_size", "weight", "target", "budget", "level", "cumulative")
+        .select("row_no", "doc_id", "source", "t1", "t2", "size", "shuffle", "source_size", "weight", "target", "budget", "level", "cumulative")
     )
     placed = materialise(placed, "placed")
 
@@ -119,6 +123,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget_share: float = 1.0, max_epochs:
         "row_no",
         "doc_id",
         "source",
+        "t1",
+        "t2",
         "size",
         "source_size",
         "target",

@@ -2,21 +2,29 @@
 
 Documents are sets of shingles of five words; links are pairs with a Jaccard similarity of 0.8 or more.
 
-1. One pass over the texts makes a signature per document and, for each of ``TREES`` tries, the path of
-   MinHash values that leads to it.  Paths start ``MAX_DEPTH`` values long and are shortened, one value at a
-   time, to the longest prefix with which a pair at the threshold meets in some trie with at least
-   ``RECALL``.
-2. Documents with the same words are one class (copies); only its smallest id goes on.
-3. Documents that share a prefix are candidates; those whose signatures agree in far fewer places than a
-   pair at the threshold would are set aside (chance below one in ten million for a true pair).  Candidates
-   are linked as stars, never as all pairs, and their connected components are found.
-4. Within each component all pairs are verified exactly, in blocks of bounded size; a block gives one row
-   per document (its links and the smallest document it is joined with), not one per pair.
+1. One pass over the texts makes a signature of ``TREES`` paths of ``MAX_DEPTH`` MinHash values, one path per
+   trie.  ``depth_for`` says how far a prefix must be shortened for a pair at the threshold to meet in some trie
+   with at least ``RECALL``.
+2. Documents with the same words are one class (copies); only its first row goes on.
+3. Each subtree (documents with that shortest prefix in one trie) is sorted by its full paths.  A document is
+   compared with the first of its run at full depth; only while it is not covered there (signatures within
+   ``RADIUS`` places) is its prefix shortened, value by value, down to the subtree.  What no one covers stands
+   for itself.  Then the covering documents alone are compared, with the limit widened by both radii: places
+   that differ obey the triangle inequality, so no pair is missed that a comparison of all with all would find.
+   Subtrees over ``BLOCK_DOCS`` are dealt into slices first, and the slices' covering documents meet afterwards.
+   Candidates are linked as stars; their connected components are found.
+4. Each component is verified exactly.  In one of more than a block, a pivot set (the shingles of more than half
+   of its documents) comes first: Jaccard distance is a metric, so documents within half the allowed distance of the
+   pivot are all linked and need no comparison; the others are compared with everything, in blocks of
+   bounded size.  A block gives one row per document (its links and the smallest document it is joined with).
 5. Components of the verified links are the final classes.
 
-Words are runs of other than white space.  A text of one to four words is a single shingle of all its
-words; null texts and texts without words, and rows with null ids, link to nothing and are classes of
-their own.  Repeated rows (same id and text) are copies of each other.  An empty table gives none.
+Rows are told apart by id and text, so one id may stand for several texts, and rows with null ids take part.
+Words are runs of other than white space.  A text of one to four words is a single shingle of all its words;
+null texts and texts without words link to nothing and are classes of their own.  Repeated rows (same id and
+text) are copies of each other.  A class is named by its smallest id; if all its ids are null, negative or stand
+for several texts, by a number of 2**62 or more (null for a row of null id alone).  Very long texts are whole
+sets, of a block of their own if need be.  Extra columns are ignored, whatever their names.  An empty table gives none.
 """
 
 from __future__ import annotations
@@ -29,8 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import in_blocks, run_groups
-from .common import drop, materialise, read, text_batches
+from .blocks import far_blocks, in_blocks, run_groups
+from .common import drop, materialise, read, text_batches, text_keys
 from .components import components
 from .decontaminate import bitmap_of
 from .textkernels import NON_SPACE, mix, shingle_hashes, span_hashes, texts
@@ -39,6 +47,10 @@ SHINGLE, THRESHOLD = 5, 0.8
 TREES, MAX_DEPTH, RECALL = 18, 8, 0.999
 #: Documents, and shingles, that a block holds on average at most.
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 1 << 20
+#: Places in which a signature may differ from the one that covers it; subtrees of so few are compared at once.
+RADIUS, FEW = 9, 32
+#: Rows that their id does not name alone are numbered from here on.
+UNNAMED = 1 << 62
 #: Bits of the map that spares unchosen texts the shuffle.
 BITS = 1 << 25
 
@@ -93,11 +105,12 @@ def _copy_keys(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
     return keys[0], keys[1]
 
 
-def signatures(docs: DataFrame, trees: int = TREES, depth: int | None = None) -> DataFrame:
-    """doc_id, k1, k2 (hash of the words), n_words, n_shingles, paths (one per trie), signature bytes."""
+def signatures(docs: DataFrame, trees: int = TREES, depth: int | None = None, most: int = MAX_DEPTH) -> DataFrame:
+    """doc_id, t1, t2, k1, k2 (hash of the words), n_words, n_shingles, paths (shortest prefix per trie), sig (a byte a value)."""
     depth = depth or depth_for(trees=trees)
-    n = trees * depth
+    n = trees * most
     factors = mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D)) | np.uint64(1)
+    keep = ["doc_id", "t1", "t2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -113,17 +126,18 @@ def signatures(docs: DataFrame, trees: int = TREES, depth: int | None = None) ->
                 for t in range(trees):
                     h = np.full(c.n, t + 1, np.uint64)
                     for d in range(depth):
-                        h = mix(h * np.uint64(31) + sig[t * depth + d])
+                        h = mix(h * np.uint64(31) + sig[t * most + d])
                     paths[t] = h
                 flat = paths.T.reshape(-1).view(np.int64)
                 places = pa.ListArray.from_arrays(pa.array(np.arange(c.n + 1, dtype=np.int32) * trees), pa.array(flat))
                 low = np.ascontiguousarray((mix(sig.T) & np.uint64(255)).astype(np.uint8))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(c.first, c.n), pa.array(k1), pa.array(k2), pa.array(np.diff(first)), pa.array(np.diff(s_first)), places, pa.array([r.tobytes() for r in low], pa.binary())],
-                    names=["doc_id", "k1", "k2", "n_words", "n_shingles", "paths", "sig"],
+                    [*(b.column(k).slice(c.first, c.n) for k in keep), pa.array(k1), pa.array(k2), pa.array(np.diff(first)), pa.array(np.diff(s_first)), places, pa.array([r.tobytes() for r in low], pa.binary())],
+                    names=[*keep, "k1", "k2", "n_words", "n_shingles", "paths", "sig"],
                 )
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, k1 long, k2 long, n_words long, n_shingles long, paths array<long>, sig binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_keys(), "text")
+    return rows.mapInArrow(run, "doc_id long, t1 long, t2 long, k1 long, k2 long, n_words long, n_shingles long, paths array<long>, sig binary")
 
 
 def mix_short(x: np.ndarray) -> np.ndarray:
@@ -159,45 +173,126 @@ def _groups(batches: list[pa.RecordBatch], keys: list[str]) -> tuple[pa.RecordBa
 
 
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+COVERED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("path", pa.int64()), ("radius", pa.int64()), ("sig", pa.binary())])
+
+
+def cover(sig: np.ndarray, tails: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of a slice sorted by ``tails`` the row that covers it, and how far its own covered rows are.
+
+    From full depth on, the first open row of a run of equal prefixes covers the open rows within ``radius``
+    places; rows that stay open go on with a prefix shorter by one value.  At the last one, rows that cover others
+    already come first, then each open row in turn.
+    """
+    m, n = sig.shape
+    by, reach, open_ = np.arange(m), np.zeros(m, np.int64), np.ones(m, bool)
+
+    def take(k: int, rows: np.ndarray) -> None:
+        apart = n - (sig[rows] == sig[k]).sum(axis=1)
+        hit = (apart <= radius) & (rows != k)
+        if hit.any():
+            by[rows[hit]] = k
+            open_[rows[hit]] = open_[k] = False
+            reach[k] = max(reach[k], int(apart[hit].max()))
+
+    for d in range(tails.shape[1], 0, -1):
+        new = np.append(True, (tails[1:, :d] != tails[:-1, :d]).any(axis=1))
+        edges = np.append(np.flatnonzero(new), m)
+        for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            rows = s + np.flatnonzero(open_[s:e])
+            if len(rows) > 1:
+                take(int(rows[0]), rows)
+    for k in [*np.unique(by[by != np.arange(m)]).tolist(), *np.flatnonzero(open_).tolist()]:
+        rows = np.flatnonzero(open_)
+        if not len(rows):
+            break
+        if by[k] == k:
+            take(k, rows)
+    return by, reach
+
+
+def close_pairs(sig: np.ndarray, radius: np.ndarray, least: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that agree in ``least`` places less both radii; of two sides only pairs across."""
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(len(sig) - 1):
+        hit = (sig[i + 1 :] == sig[i]).sum(axis=1) >= least - radius[i] - radius[i + 1 :]
+        if side is not None:
+            hit &= side[i + 1 :] != side[i]
+        j = np.flatnonzero(hit) + i + 1
+        left.append(np.full(len(j), i))
+        right.append(j)
+    return np.concatenate(left), np.concatenate(right)
+
 
+def _matrix(column: pa.Array, n: int) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_py() for x in column), np.uint8).reshape(len(column), n)
 
-def candidate_edges(reps: DataFrame, n: int, threshold: float) -> DataFrame:
-    """Star edges (a, b) between documents that share a trie prefix and whose signatures agree enough."""
+
+def candidate_edges(reps: DataFrame, trees: int, threshold: float, most: int = MAX_DEPTH) -> DataFrame:
+    """Star edges (a, b) between documents that share a prefix in some trie and whose signatures agree enough."""
+    n = trees * most
     least = least_agreement(n, threshold)
-    spread = reps.select("doc_id", F.explode("paths").alias("path"))
+    depth = depth_for(trees=trees, threshold=threshold, most=most)
+    spread = reps.select("node", F.posexplode("paths").alias("trie", "path"))
     shared = materialise(spread.groupBy("path").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "prefixes")
     members = materialise(spread.join(shared, "path"), "members")
-    members = in_blocks(members.join(reps.select("doc_id", "sig"), "doc_id"), "path", F.ceil(F.col("m") / F.lit(2.0 * BLOCK_DOCS)), "doc_id")
-
-    def work(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b, at = _groups(batches, ["path", "pair"])
-        ids = b.column("doc_id").to_numpy()
-        sig = np.frombuffer(b"".join(x.as_py() for x in b.column("sig")), np.uint8).reshape(b.num_rows, n)
-        side, alone = b.column("side").to_numpy(), b.column("alone").to_numpy(zero_copy_only=False)
+    slices = F.ceil(F.col("m") / F.lit(float(BLOCK_DOCS))).cast("long")
+    rest = F.substring("sig", F.col("trie") * most + depth + 1, F.lit(max(1, most - depth)))
+    dealt = members.join(reps.select("node", "sig"), "node").select("path", F.pmod(F.xxhash64("node"), slices).alias("slice"), (slices == 1).alias("alone"), rest.alias("rest"), "node", "sig")
+
+    def walk(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b, at = _groups(batches, ["path", "slice"])
+        ids, path = b.column("node").to_numpy(), b.column("path").to_numpy()
+        sig, tails = _matrix(b.column("sig"), n), _matrix(b.column("rest"), max(1, most - depth))
+        alone = b.column("alone").to_numpy(zero_copy_only=False)
         size = np.diff(at)
-        out_a, out_b = [], []
-        two = at[:-1][size == 2]
-        two = two[alone[two] | (side[two] != side[two + 1])]
+        two = at[:-1][(size == 2) & alone[at[:-1]]]
         near = two[(sig[two] == sig[two + 1]).sum(axis=1) >= least]
-        out_a.append(ids[near])
-        out_b.append(ids[near + 1])
-        for s, e in zip(at[:-1][size > 2], at[1:][size > 2]):
-            own, m, sd = sig[s:e], e - s, side[s:e]
-            left, right = [], []
-            for i in range(m - 1):
-                hit = (own[i + 1 :] == own[i]).sum(axis=1) >= least
-                if not alone[s]:
-                    hit &= sd[i + 1 :] != sd[i]
-                j = np.flatnonzero(hit) + i + 1
-                left.append(np.full(len(j), i))
-                right.append(j)
-            root = _stars(m, np.concatenate(left), np.concatenate(right))
-            hang = np.flatnonzero(root != np.arange(m))
+        out_a, out_b, standing, reaches = [ids[near]], [ids[near + 1]], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for s, e in zip(at[:-1].tolist(), at[1:].tolist()):
+            m = e - s
+            if alone[s] and m <= 2:
+                continue
+            if alone[s] and m <= FEW:
+                by, reach = np.arange(m), np.zeros(m, np.int64)
+            else:
+                by, reach = cover(sig[s:e], tails[s:e], RADIUS)
+            heads = np.flatnonzero(by == np.arange(m))
+            if alone[s]:
+                left, right = close_pairs(sig[s:e][heads], reach[heads], least)
+                by = _stars(m, np.append(heads[left], np.arange(m)), np.append(heads[right], by))
+            else:
+                standing.append(s + heads)
+                reaches.append(reach[heads])
+            hang = np.flatnonzero(by != np.arange(m))
+            out_a.append(ids[s:e][hang])
+            out_b.append(ids[s:e][by[hang]])
+        out_a, out_b, standing, reaches = map(np.concatenate, (out_a, out_b, standing, reaches))
+        none = lambda k: pa.nulls(k, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(out_a), pa.array(out_b), none(len(out_a)), none(len(out_a)), pa.nulls(len(out_a), pa.binary())], schema=COVERED)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[standing]), none(len(standing)), pa.array(path[standing]), pa.array(reaches), b.column("sig").take(pa.array(standing))], schema=COVERED)
+
+    walked = materialise(run_groups(dealt, ["path", "slice"], ["rest", "node"], walk, "a long, b long, path long, radius long, sig binary"), "covered")
+    edges = walked.where("b is not null").select("a", "b")
+    heads = walked.where("b is null").select("path", F.col("a").alias("node"), "radius", "sig")
+    if not heads.take(1):
+        return edges.distinct()
+    sized = heads.groupBy("path").agg(F.count(F.lit(1)).alias("heads"))
+    blocks = in_blocks(heads.join(sized, "path"), "path", F.ceil(F.col("heads") / F.lit(float(BLOCK_DOCS))), "node")
+
+    def meet(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b, at = _groups(batches, ["path", "pair"])
+        ids, sig, radius = b.column("node").to_numpy(), _matrix(b.column("sig"), n), b.column("radius").to_numpy()
+        side, alone = b.column("side").to_numpy(), b.column("alone").to_numpy(zero_copy_only=False)
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for s, e in zip(at[:-1].tolist(), at[1:].tolist()):
+            root = _stars(e - s, *close_pairs(sig[s:e], radius[s:e], least, None if alone[s] else side[s:e]))
+            hang = np.flatnonzero(root != np.arange(e - s))
             out_a.append(ids[s:e][hang])
             out_b.append(ids[s:e][root[hang]])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], schema=EDGES)
 
-    return run_groups(members.select("path", "pair", "side", "alone", "doc_id", "sig"), ["path", "pair"], ["doc_id"], work, "a long, b long").distinct()
+    met = run_groups(blocks.select("path", "pair", "side", "alone", "node", "radius", "sig"), ["path", "pair"], ["node"], meet, "a long, b long")
+    return edges.union(met).distinct()
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -241,95 +336,174 @@ def common_counts(sets: list[np.ndarray], step: int = 8192) -> np.ndarray:
     return out
 
 
-VERIFIED = pa.schema([("doc_id", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
+VERIFIED = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
 
 def maybe_chosen(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """doc_id, text of the rows whose id's hash is in the bitmap; some others pass too."""
+    """doc_id, t1, t2, text of the rows whose key's hash is in the bitmap; some others pass too."""
     mask = len(bitmap) * 8 - 1
+    keep = ["doc_id", "t1", "t2", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             slot = b.column("hash").to_numpy() & mask
             hit = (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text")], names=["doc_id", "text"]).filter(pa.array(hit.astype(bool)))
+            yield pa.RecordBatch.from_arrays([b.column(k) for k in keep], names=keep).filter(pa.array(hit.astype(bool)))
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_keys(), "text")
+    return rows.withColumn("hash", F.xxhash64("t1", "t2")).mapInArrow(run, "doc_id long, t1 long, t2 long, text string")
 
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.withColumn("hash", F.xxhash64("doc_id")).mapInArrow(run, "doc_id long, text string")
+
+def pivots(sets: DataFrame) -> DataFrame:
+    """component, pivot: the shingles that more than half of a component's documents (component, m, shingles) hold."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            group, m = b.column("component").to_numpy(), b.column("m").to_numpy()
+            for g in np.unique(group).tolist():
+                rows = np.flatnonzero(group == g)
+                values, n = np.unique(np.concatenate([np.frombuffer(b.column("shingles")[i].as_buffer(), np.int64) for i in rows.tolist()]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), x)) for x in (g, m[rows[0]])] + [pa.array(values), pa.array(n.astype(np.int64))], names=["component", "m", "shingle", "n"])
+
+    counted = sets.select("component", "m", "shingles").mapInArrow(count, "component long, m long, shingle long, n long")
+    counted = counted.groupBy("component", "m", "shingle").agg(F.sum("n").alias("n")).where("2 * n > m")
+    return counted.groupBy("component").agg(F.collect_list("shingle").alias("pivot"))
+
+
+def near_pivot(sets: DataFrame, threshold: float) -> DataFrame:
+    """Adds ``near``: whether a document of a large component is within half the allowed distance of its pivot.
+
+    A pivot has at most twice as many shingles as the component's documents have on average; it is copied to
+    every block of them.
+    """
+    least, keep = (1 + threshold) / 2, sets.columns
+    middle = pivots(sets).select(F.col("component").alias("p_component"), "pivot")
+    blocks = sets.select("component", "blocks").distinct().join(middle, F.col("component") == F.col("p_component"))
+    blocks = materialise(blocks.select("p_component", "pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("p_cut")), "pivots")
+    rows = sets.withColumn("cut", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    rows = rows.join(blocks, (F.col("component") == F.col("p_component")) & (F.col("cut") == F.col("p_cut")), "left").select(*keep, "pivot")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = np.zeros(b.num_rows, bool)
+            for i, (own, middle) in enumerate(zip(b.column("shingles"), b.column("pivot"))):
+                if middle.is_valid:
+                    a, p = np.frombuffer(own.as_buffer(), np.int64), middle.values.to_numpy()
+                    both = len(np.intersect1d(a, p, assume_unique=True))
+                    near[i] = both >= least * (len(a) + len(p) - both) + 1e-9
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(near)], names=[*keep, "near"])
+
+    return rows.mapInArrow(run, sets.select(*keep).schema.add("near", "boolean"))
 
 
 def verified_links(docs: DataFrame, candidates: DataFrame, threshold: float) -> DataFrame:
-    """doc_id, links (rows of other classes that it links to, in this block), root (smallest it is joined with here)."""
-    sized = candidates.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("total"))
-    sized = materialise(sized.where("m > 1"), "component-sizes")
+    """node, links (rows of other classes that it links to, in this block), root (smallest it is joined with here)."""
+    sized = candidates.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("total")).where("m > 1")
+    blocks = F.ceil(F.greatest(F.col("m") / F.lit(float(BLOCK_DOCS)), F.col("total") / F.lit(float(BLOCK_SHINGLES)))).cast("long")
+    sized = materialise(sized.withColumn("blocks", blocks), "component-sizes")
     chosen = materialise(candidates.join(sized, "component"), "chosen")
     # only texts that may be chosen are shuffled: a bitmap of fixed size tells most others where they lie
-    bitmap = bitmap_of(chosen.select(F.xxhash64("doc_id").alias("hash")), BITS)
-    rows = maybe_chosen(docs, bitmap).hint("merge").join(chosen.select("doc_id", "component", "copies", "m", "total"), "doc_id")
-    # of rows with one id, all texts that the id stands for are alike in class keys; one is enough
-    sets = shingle_sets(rows)
-    blocks = F.ceil(F.greatest(F.col("m") / F.lit(float(BLOCK_DOCS)), F.col("total") / F.lit(float(BLOCK_SHINGLES))))
-    dealt = in_blocks(sets, "component", blocks, "doc_id").select("component", "pair", "side", "alone", "doc_id", "copies", "shingles")
+    bitmap = bitmap_of(chosen.select(F.xxhash64("t1", "t2").alias("hash")), BITS)
+    mine = chosen.withColumnsRenamed({"doc_id": "c_id", "t1": "c_1", "t2": "c_2"})
+    same = F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("t1") == F.col("c_1")) & (F.col("t2") == F.col("c_2"))
+    rows = maybe_chosen(docs, bitmap).hint("merge").join(mine, same).select("text", "node", "component", "copies", "m", "total", "blocks")
+    sets = materialise(shingle_sets(rows), "shingle-sets")
+    keep = ["component", "pair", "side", "alone", "node", "copies", "shingles"]
+    dealt = in_blocks(sets.where("blocks = 1"), "component", F.lit(1), "node").select(*keep)
+    sure = None
+    if sized.where("blocks > 1").take(1):
+        large = materialise(near_pivot(sets.where("blocks > 1"), threshold), "pivoted")
+        # repeated rows of one id and text are one node
+        flags = large.select("component", "node", "copies", "near", F.length("shingles").alias("bytes")).distinct()
+        part = lambda x: F.greatest(F.count_if(x) / F.lit(float(BLOCK_DOCS)), F.sum(F.when(x, F.col("bytes"))) / F.lit(8.0 * BLOCK_SHINGLES))
+        about = flags.groupBy("component").agg(
+            F.coalesce(F.ceil(part(F.col("near"))), F.lit(0)).cast("long").alias("near_blocks"),
+            F.coalesce(F.ceil(part(~F.col("near"))), F.lit(0)).cast("long").alias("far_blocks"),
+            F.sum(F.when(F.col("near"), F.col("copies"))).alias("near_copies"),
+            F.min(F.when(F.col("near"), F.col("node"))).alias("root"),
+        )
+        about = materialise(about, "pivot-counts")
+        dealt = dealt.union(far_blocks(large.join(about, "component"), "node").select(*keep))
+        sure = flags.where("near").join(about, "component").select("node", (F.col("near_copies") - F.col("copies")).alias("links"), "root").where("links > 0")
 
     def work(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b, at = _groups(batches, ["component", "pair"])
-        ids, copies = b.column("doc_id").to_numpy(), b.column("copies").to_numpy()
+        ids, copies = b.column("node").to_numpy(), b.column("copies").to_numpy()
         side, alone = b.column("side").to_numpy(), b.column("alone").to_numpy(zero_copy_only=False)
         column, out = b.column("shingles"), []
-        for s, e in zip(at[:-1], at[1:]):
-            if e - s < 2:
+        for s, e in zip(at[:-1].tolist(), at[1:].tolist()):
+            # repeated rows of one id and text are one node, and stand side by side
+            k = s + np.flatnonzero(np.append(True, ids[s + 1 : e] != ids[s : e - 1]))
+            if len(k) < 2:
                 continue
-            sets = [np.frombuffer(column[i].as_buffer(), np.uint64) for i in range(s, e)]
+            sets = [np.frombuffer(column[i].as_buffer(), np.uint64) for i in k.tolist()]
             sizes = np.array([len(x) for x in sets])
             both = common_counts(sets)
             linked = both >= threshold * (sizes[:, None] + sizes[None, :] - both) - 1e-9
             np.fill_diagonal(linked, False)
-            linked &= ids[s:e][:, None] != ids[s:e][None, :]
             if not alone[s]:
-                linked &= side[s:e][:, None] != side[s:e][None, :]
-            root = _stars(e - s, *np.nonzero(linked))
-            links = linked @ copies[s:e]
+                linked &= side[k][:, None] != side[k][None, :]
+            root = _stars(len(k), *np.nonzero(linked))
+            links = linked @ copies[k]
             some = np.flatnonzero(links)
             if len(some):
-                out.append((ids[s:e][some], links[some], ids[s:e][root[some]]))
+                out.append((ids[k][some], links[some], ids[k][root[some]]))
         cols = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
         yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in cols], schema=VERIFIED)
 
-    return run_groups(dealt, ["component", "pair"], ["doc_id"], work, "doc_id long, links long, root long")
+    found = run_groups(dealt, ["component", "pair"], ["node"], work, "node long, links long, root long")
+    return found.union(sure) if sure is not None else found
 
 
-def near_classes(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES) -> DataFrame:
-    """doc_id, class_id (smallest id it is linked to, directly or through others), n_links, for every row."""
+def named_rows(signed: DataFrame) -> DataFrame:
+    """Adds ``node``: the row's id, or a number from ``UNNAMED`` on where the id is null, out of range or of several texts."""
+    text = F.struct("t1", "t2")
+    several = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min(text).alias("a"), F.max(text).alias("z")).where("a <> z").select(F.col("doc_id").alias("s_id"))
+    several = materialise(several, "ids-of-several")
+    alone = F.col("doc_id").isNotNull() & F.col("doc_id").between(0, UNNAMED - 1)
+    if several.take(1):
+        signed = signed.join(several, F.col("doc_id") == F.col("s_id"), "left")
+        alone &= F.col("s_id").isNull()
+    return signed.withColumn("node", F.when(alone, F.col("doc_id")).otherwise(F.col("row_no") + F.lit(UNNAMED))).drop("s_id")
+
+
+def near_rows(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES) -> DataFrame:
+    """doc_id, t1, t2 (hashes of the text), class_key (one number per class), n_links, for every row."""
     spark = docs.sparkSession
     text_batches(spark)
     depth = depth_for(trees=trees, threshold=threshold)
-    signed = materialise(signatures(docs, trees, depth), "signatures")
+    raw = materialise(signatures(docs, trees, depth).withColumn("row_no", F.monotonically_increasing_id()), "signatures")
+    signed = named_rows(raw)
     worded = signed.where("n_words > 0")
-    classes = materialise(worded.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
-    # only classes of several rows need a join; all others stand for themselves
-    several = materialise(classes.where("copies > 1"), "copies")
-    members = materialise(worded.select("doc_id", "k1", "k2").join(several, ["k1", "k2"]).select("doc_id", "rep", "copies"), "members")
+    first = F.min(F.struct("node", "row_no"))
+    classes = materialise(worded.groupBy("k1", "k2").agg(first.alias("first"), F.count(F.lit(1)).alias("copies")).select("k1", "k2", F.col("first.node").alias("rep"), F.col("first.row_no").alias("row_no"), "copies"), "classes")
     reps = materialise(
-        signed.where("n_shingles > 0").dropDuplicates(["doc_id", "k1", "k2"]).join(classes.select(F.col("rep").alias("doc_id"), "k1", "k2", "copies"), ["doc_id", "k1", "k2"]).select("doc_id", "copies", "n_shingles", "paths", "sig"),
+        raw.select("row_no", "doc_id", "t1", "t2", "n_shingles", "paths", "sig").join(classes.select("row_no", F.col("rep").alias("node"), "copies"), "row_no"),
         "representatives",
     )
-    edges = candidate_edges(reps, trees * depth, threshold)
+    edges = candidate_edges(reps, trees, threshold)
     grouped = components(edges)
-    candidates = grouped.select(F.col("node").alias("doc_id"), "component").join(reps.select("doc_id", "copies", "n_shingles"), "doc_id")
+    candidates = grouped.join(reps.select("node", "doc_id", "t1", "t2", "copies", "n_shingles"), "node")
     links = materialise(verified_links(docs, candidates, threshold), "links")
-    final = components(links.select(F.col("doc_id").alias("a"), F.col("root").alias("b")).where("a <> b"))
-    counted = links.groupBy("doc_id").agg(F.sum("links").alias("links"))
-    about = materialise(counted.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "full"), "about").withColumnRenamed("doc_id", "a_id")
-    copied = members.withColumnsRenamed({"doc_id": "m_id", "rep": "m_rep", "copies": "m_copies"}).distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    named = materialise(rows.join(copied, rows.doc_id == F.col("m_id"), "left").select("doc_id", F.coalesce("m_rep", "doc_id").alias("rep"), F.coalesce("m_copies", F.lit(1)).alias("copies")), "named")
-    drop(spark, signed, reps)
-    return named.join(about, named.rep == F.col("a_id"), "left").select(
-        "doc_id",
-        F.coalesce("component", "rep").alias("class_id"),
-        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
+    final = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b"))
+    counted = links.groupBy("node").agg(F.sum("links").alias("links"))
+    about = materialise(counted.join(final, "node", "full").withColumnRenamed("node", "a_node"), "about")
+    # only classes of several rows need a join; all others stand for themselves
+    several = materialise(classes.where("copies > 1").select(F.col("k1").alias("s_1"), F.col("k2").alias("s_2"), "rep", "copies"), "copies")
+    rows = signed.select("doc_id", "t1", "t2", "node", F.when(F.col("n_words") > 0, F.col("k1")).alias("k1"), "k2")
+    rows = rows.join(several, (F.col("k1") == F.col("s_1")) & (F.col("k2") == F.col("s_2")), "left")
+    named = materialise(rows.select("doc_id", "t1", "t2", F.coalesce("rep", "node").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies")), "named")
+    drop(spark, raw, reps)
+    return named.join(about, named.rep == F.col("a_node"), "left").select(
+        "doc_id", "t1", "t2", F.coalesce("component", "rep").alias("class_key"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links")
     )
 
 
+def near_classes(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES) -> DataFrame:
+    """doc_id, class_id (smallest id it is linked to, directly or through others), n_links, for every row."""
+    unnamed = F.col("doc_id").isNull() & (F.col("n_links") == 0)
+    return near_rows(docs, threshold, trees).select("doc_id", F.when(~unnamed, F.col("class_key")).alias("class_id"), "n_links")
+
+
 def op10_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(read(spark, sf_dir, "documents"))

@@ -12,12 +12,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 CHUNK_BYTES = 1 << 20
 
 _U = np.uint64
-_P = _U(0x9E3779B97F4A7C15)
-_IP = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 
@@ -45,23 +44,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _byte_values(seed: int) -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=np.uint64) * _U(0xD1342543DE82EF95) + _U(seed)) | _U(1)
-
-
-_VALUES = _byte_values(11)
-_powers = {"p": np.ones(1, np.uint64), "ip": np.ones(1, np.uint64)}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of the hash base and of its inverse modulo 2**64."""
-    if len(_powers["p"]) <= n:
-        size = max(n + 1, CHUNK_BYTES + (CHUNK_BYTES >> 2))
-        for k, base in (("p", _P), ("ip", _IP)):
-            full = np.full(size, base, np.uint64)
-            full[0] = 1
-            _powers[k] = np.multiply.accumulate(full)
-    return _powers["p"], _powers["ip"]
+#: Longest span that is hashed word by word; longer ones go to a hash of the xxhash library one at a time.
+LONG_SPAN = 256
+_START = _U(0x9E3779B97F4A7C15)
+#: Keeps the low 0 to 8 bytes of eight.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 class Chunk:
@@ -112,13 +99,33 @@ def texts(column: pa.Array, chunk_bytes: int | None = None) -> Iterator[Chunk]:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, equal for equal bytes wherever they stand."""
+    """64-bit hashes of byte spans, equal for equal bytes wherever they stand.
+
+    Eight bytes at a time go through ``mix``, which is not linear, so that no pattern of bytes cancels out: two
+    different spans are equal with a chance of 2**-64.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    p, ip = powers(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUES[data] * p[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * ip[starts] + (ends - starts).astype(np.uint64))
+    size = ends - starts
+    room = np.zeros(len(data) + 8, np.uint8)
+    room[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, "<u8", room, strides=(1,))
+    out = mix(eight[starts] & _LOW[np.minimum(size, 8)] ^ mix(size.astype(np.uint64) + _START))
+    more = np.flatnonzero(size > 8)
+    if len(more):
+        long = more[size[more] > LONG_SPAN]
+        for k in long.tolist():
+            out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]])
+        more = more[size[more] <= LONG_SPAN]
+        at, left, h = starts[more] + 8, size[more] - 8, out[more]
+        while len(more):
+            h = mix(h ^ eight[at] & _LOW[np.minimum(left, 8)])
+            done = left <= 8
+            if done.any():
+                out[more[done]] = h[done]
+                more, at, left, h = (x[~done] for x in (more, at, left, h))
+            at, left = at + 8, left - 8
+    return out
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +138,7 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.nda
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     out = np.zeros(n, np.uint64)
     for j in range(k):
-        out += words[j : j + n] * mix(np.array([j + 1], np.uint64))[0]
+        out += words[j : j + n] * (mix(np.array([j + 1], np.uint64))[0] | _U(1))
     valid = np.ones(len(words), bool)
     for j in range(1, k):
         at = first[1:] - j
