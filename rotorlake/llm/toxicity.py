@@ -5,13 +5,16 @@ words (the word, and its first four and six bytes); the document's score is thei
 ``1 - prod(1 - sentence)``.  Only document labels are known; the weights that make the noisy-or fit them
 also give each sentence its score, which locates the offending ones.
 
-The model is fit in one task on at most ``MAX_TRAIN`` labelled documents (the first by hash of each class,
-half of them of either), never on held-out ones (crc32 of the id mod 5 = 0); it has ``2**BITS`` weights
-whatever the data, and is sent to the tasks that score every whole text.
-
-Null and empty texts, and texts without words, have no sentences and score 0.  Sentences end at ``.!?`` and
-line ends.  Of several labels of one id the largest counts.  Repeated rows are scored one by one.  Without
-labels of both kinds every score is 0.  Labels, language, source and id are not inputs of a score.
+The likelihood of the document labels is maximised from weights of zero by a quasi-Newton method (limited-memory
+BFGS over the noisy-or itself), in one task, on at most ``MAX_TRAIN`` labelled documents of at most ``MAX_BYTES``
+together (the first by hash of each class, half of them of either), never on held-out ones (crc32 of the id mod
+5 = 0); the model has ``2**BITS`` weights whatever the data, and is sent to the tasks that score every whole text.
+
+Null and empty texts, and texts without words, have no sentences and score 0; very long texts are scored whole.
+Sentences end at ``.!?`` and line ends; of sentences with equal scores the first is the worst.  Of several labels of
+one id the largest counts, of several texts of one labelled id the smallest is learnt from.  Repeated rows are
+scored one by one.  Without labels of both kinds every score is 0; an empty table gives none.  Labels, language,
+source and id are not inputs of a score; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,12 +32,10 @@ from .common import materialise, read
 from .textkernels import ALNUM, LOWER, mix, span_hashes, texts
 
 BITS = 18
-MAX_TRAIN = 6000
-EPOCHS, RATE, L2 = 40, 0.1, 2e-5
-#: Where the fit starts: sentences are clean, features weigh SCALE times their log-odds beyond MARGIN.
-BIAS, MARGIN, SCALE = -9.5, 2.0, 1.75
-#: Training documents that must hold a feature for it to count, and the assumed share of toxic documents.
-MIN_DOCS, TOXIC_SHARE = 5, 0.25
+MAX_TRAIN, MAX_BYTES = 6000, 128 << 20
+ITERATIONS, MEMORY, L2 = 100, 10, 3e-5
+#: Training documents that must hold a feature for it to count, and the weight of all toxic documents together.
+MIN_DOCS, TOXIC_SHARE = 5, 0.7
 
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".!?\n")] = True
@@ -63,52 +65,95 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(slots: np.ndarray, sentence: np.ndarray, first_sentence: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights and bias that maximise the likelihood of noisy-or bags (full batch, Adagrad).
-
-    The fit starts from each feature's log-odds between toxic and clean documents, so that words seen in toxic
-    documents only lead from the first step; few toxic documents lower ``MIN_DOCS``.
-    """
-    size, n = 1 << BITS, len(y)
-    n_toxic = int((y == 1).sum())
-    if not len(slots) or n_toxic in (0, n):
-        return np.zeros(size, np.float32), -30.0
-    doc = np.repeat(np.arange(n), np.diff(first_sentence))
-    flat, f_sentence = slots.reshape(-1).astype(np.int64), np.repeat(sentence, slots.shape[1])
-    seen = np.unique(flat * n + doc[f_sentence])
-    toxic = np.bincount(seen // n, (y == 1)[seen % n], size)
-    clean = np.bincount(seen // n, (y != 1)[seen % n], size)
-    used = toxic + clean >= min(MIN_DOCS, 2 + n_toxic // 20)
-    odds = np.log((toxic + 0.5) / (clean + 0.5) * (n - n_toxic) / n_toxic)
-    w, b = np.where(used, np.maximum(0, odds - MARGIN) * SCALE, 0.0), BIAS
-    sq, sq_b = np.full(size, 1e-3), 1e-3
-    share = np.where(y == 1, TOXIC_SHARE * n / n_toxic, (1 - TOXIC_SHARE) * n / (n - n_toxic))
-    for _ in range(EPOCHS):
-        p = sigmoid(b + np.bincount(f_sentence, w[flat], len(doc)))
-        none = np.exp(np.bincount(doc, np.log1p(-p), n))
+class Bags:
+    """Labelled bags of sentences and the loss of a noisy-or over them."""
+
+    def __init__(self, slots: np.ndarray, sentence: np.ndarray, first_sentence: np.ndarray, y: np.ndarray):
+        n = len(y)
+        self.n, self.toxic = n, y == 1
+        n_toxic = int(self.toxic.sum())
+        self.doc = np.repeat(np.arange(n), np.diff(first_sentence))
+        flat, owner = slots.reshape(-1).astype(np.int64), np.repeat(sentence, slots.shape[1])
+        in_docs = np.bincount(np.unique(flat * n + self.doc[owner]) // n, minlength=1 << BITS)
+        # few toxic documents lower MIN_DOCS
+        self.used = np.flatnonzero(in_docs >= min(MIN_DOCS, 2 + n_toxic // 20))
+        number = np.full(1 << BITS, -1)
+        number[self.used] = np.arange(len(self.used))
+        keep = number[flat] >= 0
+        self.feature, self.owner = number[flat[keep]], owner[keep]
+        self.weight = np.where(self.toxic, TOXIC_SHARE / max(1, n_toxic), (1 - TOXIC_SHARE) / max(1, n - n_toxic))
+
+    def start(self) -> np.ndarray:
+        """Weights of zero, and the bias that gives an average document its prior."""
+        sentences = max(1.0, len(self.doc) / self.n)
+        return np.append(np.zeros(len(self.used)), np.log(TOXIC_SHARE / 3 / sentences))
+
+    def loss(self, x: np.ndarray) -> tuple[float, np.ndarray]:
+        """Weighted negative log-likelihood with its L2 term, and the gradient; the last value of x is the bias."""
+        p = sigmoid(x[-1] + np.bincount(self.owner, x[self.feature], len(self.doc)))
+        log_none = np.bincount(self.doc, np.log1p(-p), self.n)
+        none = np.exp(log_none)
+        some = np.maximum(1 - none, 1e-12)
+        value = -(self.weight * np.where(self.toxic, np.log(some), log_none)).sum() + L2 / 2 * (x[:-1] ** 2).sum()
         # d log-likelihood / d logit: -p for clean documents, p * none / (1 - none) for toxic ones
-        g = p * (np.where(y == 1, none / np.maximum(1 - none, 1e-6), -1.0) * share)[doc]
-        grad = (np.bincount(flat, g[f_sentence], size) / n - L2 * w) * used
-        grad_b = g.sum() / n
-        sq += grad**2
-        sq_b += grad_b**2
-        w += RATE * grad / np.sqrt(sq)
-        b += RATE * grad_b / np.sqrt(sq_b)
-    return w.astype(np.float32), float(b)
+        g = p * (np.where(self.toxic, none / some, -1.0) * self.weight)[self.doc]
+        return value, np.append(L2 * x[:-1] - np.bincount(self.feature, g[self.owner], len(self.used)), -g.sum())
+
+
+def minimise(loss, x: np.ndarray, iterations: int = ITERATIONS, memory: int = MEMORY) -> np.ndarray:
+    """Limited-memory BFGS with backtracking."""
+    value, g = loss(x)
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(iterations):
+        step, parts = g.copy(), []
+        for s, y in reversed(pairs):
+            parts.append(s @ step / (s @ y))
+            step -= parts[-1] * y
+        step *= pairs[-1][0] @ pairs[-1][1] / (pairs[-1][1] @ pairs[-1][1]) if pairs else 1 / max(1.0, np.abs(g).sum())
+        for (s, y), a in zip(pairs, reversed(parts)):
+            step += s * (a - y @ step / (s @ y))
+        t, slope = 1.0, g @ step
+        while True:
+            new_value, new_g = loss(x - t * step)
+            if new_value <= value - 1e-4 * t * slope or t < 1e-6:
+                break
+            t /= 2
+        s, y = -t * step, new_g - g
+        gain = value - new_value
+        x, value, g = x + s, new_value, new_g
+        if s @ y > 1e-12:
+            pairs = [*pairs, (s, y)][-memory:]
+        if gain <= 1e-7 * abs(value):
+            break
+    return x
+
+
+def fit(slots: np.ndarray, sentence: np.ndarray, first_sentence: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and bias that maximise the likelihood of noisy-or bags, from weights of zero."""
+    w = np.zeros(1 << BITS, np.float32)
+    if not len(slots) or int((y == 1).sum()) in (0, len(y)):
+        return w, -30.0
+    bags = Bags(slots, sentence, first_sentence, y)
+    x = minimise(bags.loss, bags.start())
+    w[bags.used] = x[:-1]
+    return w, float(x[-1])
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> DataFrame:
-    """text, toxic of at most ``most`` labelled rows that are not held out; chosen by hash, the same in every run."""
+    """doc_id, text, toxic of at most ``most`` labelled documents that are not held out; the same in every run."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     part = lambda c: known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most // 2)
     sample = materialise(part(1).union(part(0)), "labelled")
-    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic")
+    # one text per id, so that repeated ids bring no more rows
+    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> tuple[np.ndarray, float]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, ys, n_sent = [], [], 0
+        parts, ys, n_sent, n_bytes = [], [], 0, 0
         for b in batches:
+            size = np.cumsum(np.array(pa.compute.fill_null(pa.compute.binary_length(b.column("text")), 0), np.int64)) + n_bytes
+            b, n_bytes = b.slice(0, int(np.searchsorted(size, MAX_BYTES, "right"))), int(size[-1]) if len(size) else n_bytes
             ys.append(b.column("toxic").to_numpy())
             for c in texts(b.column("text")):
                 slots, sentence, first, _ = features(c)
