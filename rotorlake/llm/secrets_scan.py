@@ -2,19 +2,21 @@
 
 Candidates are runs of 16 or more of ``[A-Za-z0-9+/_-]``, such runs joined by dots, every value that follows an
 assignment name (quoted, or up to white space; any length and characters) and passwords in URLs; a span found
-twice counts once.  Each gets figures of its length, its character
-transitions, how much of it the corpus's own dictionary covers, its path (the source column) and its
-neighbouring words.  A random forest trained on labelled findings tells secrets from other long runs.
+twice counts once.  Each gets figures of its length, its character transitions, how much of it the corpus's own
+dictionary covers, the words inside it, its path (the source column) and its neighbouring words.  A random forest
+trained on labelled findings tells secrets from look-alikes.
 
 The dictionary is a table of fixed size with the frequency of every four-letter piece (hashed) over all
-texts.  Labelled findings are a parameter: (doc_id, start, label).  Where none are given they are derived from
-the candidates themselves: published key formats and assigned values or URL passwords with digits are 1, other
-candidates 0; of these only documents with crc32(doc_id) mod 5 other than 0 are learnt from.  At most
-``MAX_TRAIN`` findings, the first by hash of each label, are fitted.
-
-Null and empty texts have no candidates; null sources are a path of their own; repeated rows give repeated
-findings; findings of null ids are scored like others.  If the labels are all alike, every finding gets that
-label.  An empty table gives no findings.
+texts.  Labelled findings are a parameter: (doc_id, start, label) of candidates in the documents.  Where none are
+given, those of ``secret_findings`` are learnt from: ``N_FINDINGS`` short texts made from a seed, whose labels say what
+was written there and owe nothing to the patterns below; one in five is held out for measuring.  At most
+``MAX_TRAIN`` findings, the first by hash of each label, are fitted.  ``by_rule`` tells what the patterns alone
+(published key formats, and assigned values with a digit) would have reported; it is not an input of the forest.
+
+Null and empty texts have no candidates, very long ones are scanned whole; null sources are a path of their own;
+repeated rows give repeated findings; findings of null ids are scored like others.  If the labels given are all
+alike, every finding gets that label.  Ties at a probability of 0.5 are secrets.  Extra columns are ignored,
+whatever their names.  An empty table gives no findings.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +33,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, read
+from .secret_findings import labelled_findings
 from .textkernels import LOWER, mix, texts
 
 LEAST = 16
 BINS = 1 << 15
 MAX_TRAIN = 20_000
-TREES, DEPTH, SEED = 20, 7, 7
-WORD_BINS, PATH_BINS = 8, 4
+TREES, DEPTH, SEED = 40, 10, 7
+LEFT_BINS, RIGHT_BINS, OWN_BINS, PATH_BINS = 32, 8, 16, 8
+WORDS = re.compile(r"[^\W\d_]+")
 
 _RUN = np.zeros(256, bool)
 _RUN[list(b"+/_-")] = True
@@ -50,7 +54,7 @@ FORMATS = re.compile(r"AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{3
 ASSIGNED = re.compile(r"(?i)(?:pass(?:word|wd)?|token|secret|api[_-]?key|credential)s?[\"']?\s*[=:]\s*[\"']?$")
 
 #: Spans of any length: assigned values, passwords in URLs; and runs joined by dots.
-VALUES = re.compile(rb"""(?i)(?:pass(?:word|wd)?|token|secret|api[_-]?key|credential)s?["']?\s*[=:]\s*(?="((?:[^"\\\r\n]|\\.)+)"|'((?:[^'\\\r\n]|\\.)+)'|["']?([^\s"']+))""")
+VALUES = re.compile(rb"""(?i)(?:pass(?:word|wd)?|pwd|token|secret(?:[_-]\w{1,20})?|api[_-]?key|credential)s?["']?\s*[=:]\s*(?="((?:[^"\\\r\n]|\\.)+)"|'((?:[^'\\\r\n]|\\.)+)'|["']?([^\s"']+))""")
 LOGINS = re.compile(rb"://[^\s/:@\"']*:([^\s/\"']+)@")
 DOTTED = re.compile(rb"[A-Za-z0-9+/_-]+(?:\.[A-Za-z0-9+/_-]+)+")
 LOGIN = re.compile(r"://[^\s/:@\"']*:$")
@@ -107,10 +111,10 @@ def _kind(ch: str) -> int:
     return 0 if ch.isdigit() else 1 if ch.isupper() else 2 if ch.islower() else 3
 
 
-def _bins(text: str, n: int) -> list[float]:
+def _bins(words: Iterable[str], n: int) -> list[float]:
     out = [0.0] * n
-    if text:
-        out[zlib.crc32(text.encode()) % n] = 1.0
+    for w in words:
+        out[zlib.crc32(w.lower().encode()) % n] = 1.0
     return out
 
 
@@ -119,13 +123,13 @@ def figures(run: str, covered: float, before: str, after: str, path: str) -> lis
     n = len(run)
     share = [kinds.count(k) / n for k in range(4)]
     moves = Counter(zip(kinds, kinds[1:]))
-    transitions = [moves[a, b] / max(1, n - 1) for a in range(3) for b in range(3)]
+    transitions = [moves[a, b] / max(1, n - 1) for a in range(4) for b in range(4)]
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(run).values())
     hexed = sum(ch in "0123456789abcdefABCDEF" for ch in run) / n
-    left, right = before.split(), after.split()
-    words = _bins(left[-1].lower() if left else "", WORD_BINS) + _bins(left[-2].lower() if len(left) > 1 else "", WORD_BINS) + _bins(right[0].lower() if right else "", WORD_BINS)
-    marks = [float(before[-1:] in set("=:\"'")), float("=" in before[-6:]), float(after[:1] in set("\"'"))]
-    return [float(n), *share, *transitions, entropy, hexed, covered, *marks, *words, *_bins(path, PATH_BINS)]
+    left, own, right = WORDS.findall(before)[-3:], WORDS.findall(run), WORDS.findall(after)[:1]
+    longest = max(map(len, own), default=0) / n
+    words = _bins(left, LEFT_BINS) + _bins(right, RIGHT_BINS) + _bins((w for w in own if 3 <= len(w) <= 12), OWN_BINS)
+    return [float(n), *share, *transitions, entropy, hexed, longest, covered, *words, *_bins(WORDS.findall(path), PATH_BINS)]
 
 
 def candidates(docs: DataFrame, counts: np.ndarray) -> DataFrame:
@@ -162,27 +166,52 @@ def candidates(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, start long, length long, rule int, features array<double>")
 
 
-def scan(docs: DataFrame, findings: DataFrame | None = None, most: int = MAX_TRAIN) -> DataFrame:
-    """doc_id, start, length, probability, is_secret of every candidate in docs(doc_id, source, text)."""
+def training_findings(spark: SparkSession, counts: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """Candidates that are labelled values of ``secret_findings`` with their labels, and all of the findings.
+
+    Both have ``held_out``: crc32 of the number mod 5 is 0.
+    """
+    held = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).alias("held_out")
+    made = materialise(labelled_findings(spark).select("*", held), "findings-made")
+    values = made.select(F.col("doc_id").alias("v_id"), "v_start", "v_length", "label", "held_out")
+    found = candidates(made.select("doc_id", "source", "text"), counts)
+    same = (F.col("doc_id") == F.col("v_id")) & (F.col("start") == F.col("v_start")) & (F.col("length") == F.col("v_length"))
+    return found.join(values, same).drop("v_id", "v_start", "v_length"), made
+
+
+def fit(labelled: DataFrame, most: int = MAX_TRAIN):
+    """A forest from labelled candidates (doc_id, start, length, label, features), or the label they all have."""
     from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import array_to_vector
 
-    found = materialise(candidates(docs, dictionary(docs)), "candidates")
-    if findings is None:
-        learnt = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 != 0
-        labelled = found.where(learnt).withColumn("label", F.col("rule").cast("double"))
-    else:
-        labelled = found.join(findings.select("doc_id", "start", F.col("label").cast("double").alias("label")), ["doc_id", "start"])
     part = lambda v: labelled.where(F.col("label") == v).orderBy(F.xxhash64("doc_id", "start"), "doc_id", "start", "length").limit(most // 2)
     train = materialise(part(1.0).union(part(0.0)).select("label", "features"), "findings")
     seen = [r[0] for r in train.select("label").distinct().collect()]
     if len(seen) < 2:
-        only = F.lit(seen[0] if seen else 0.0)
-        scored = found.withColumn("probability", only)
+        return seen[0] if seen else 0.0
+    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featuresCol="v", labelCol="label", probabilityCol="p")
+    return forest.fit(train.select("label", array_to_vector("features").alias("v")))
+
+
+def judged(found: DataFrame, model) -> DataFrame:
+    """Candidates with the forest's probability."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    if isinstance(model, float):
+        return found.withColumn("probability", F.lit(model))
+    return model.transform(found.withColumn("v", array_to_vector("features"))).withColumn("probability", vector_to_array("p")[1])
+
+
+def scan(docs: DataFrame, findings: DataFrame | None = None, most: int = MAX_TRAIN) -> DataFrame:
+    """doc_id, start, length, probability, is_secret, by_rule of every candidate in docs(doc_id, source, text)."""
+    counts = dictionary(docs)
+    found = materialise(candidates(docs, counts), "candidates")
+    if findings is None:
+        made, _ = training_findings(docs.sparkSession, counts)
+        labelled = made.where("not held_out")
     else:
-        forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featuresCol="v", labelCol="label", probabilityCol="p")
-        model = forest.fit(train.select("label", array_to_vector("features").alias("v")))
-        scored = model.transform(found.withColumn("v", array_to_vector("features"))).withColumn("probability", vector_to_array("p")[1])
+        labelled = found.join(findings.select("doc_id", "start", F.col("label").cast("double").alias("label")), ["doc_id", "start"])
+    scored = judged(found, fit(labelled, most))
     return scored.select("doc_id", "start", "length", "probability", (F.col("probability") >= 0.5).alias("is_secret"), (F.col("rule") == 1).alias("by_rule"))
 
 
