@@ -12,13 +12,18 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, as named by ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests in local mode) a fresh temporary folder is set and used.
+    Only in local mode, where the setting is absent (tests), a fresh temporary folder is set and used; on a cluster
+    that is an error.  The path is qualified by Spark's own file systems, so that tasks that open files by it and
+    Spark's writers mean the same place.
     """
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("rotorlake.shared.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("rotorlake.shared.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="rotorlake-")
         spark.conf.set("rotorlake.shared.dir", path)
-    return path.rstrip("/")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

@@ -13,7 +13,9 @@ rate, so such slices hold nearly equal work).  Only slice totals meet in one win
 
 Null texts and texts without words have size 0 and are never taken; null sources form a source of
 their own, placed last; repeated rows (same id) count as separate documents with the same place
-in the shuffle, ties between them broken by size; an empty table gives an empty result.
+in the shuffle, ties between them broken by size (in a slice of more than ``HOT_ROWS`` rows, by hash of the text
+first); very long texts are documents like others; extra columns are ignored, whatever their names; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,17 +27,16 @@ from .common import materialise, read, text_keys
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
-WORD = r"[^\x20\x09-\x0D]+"
+BEGIN = r"[\x20\x09-\x0D][^\x20\x09-\x0D]"
 #: Slices of a source's order are 16**SLICE_DIGITS.
 SLICE_DIGITS = 3
+#: Slices of more rows (one id may have many) are cut further, by the whole md5 and then by hash of the text.
+HOT_ROWS = 1_000_000
 
 
 def n_words(text: Column) -> Column:
-    """Number of runs of other than white space."""
-    blank = F.translate(text, "\t\n\x0b\x0c\r", "     ")
-    squeezed = F.trim(F.regexp_replace(blank, " {2,}", " "))
-    spaces = F.length(squeezed) - F.length(F.replace(squeezed, F.lit(" "), F.lit("")))
-    return F.coalesce(F.when(squeezed == "", 0).otherwise(spaces + 1), F.lit(0)).cast("long")
+    """Number of runs of other than white space: places where one begins."""
+    return F.coalesce(F.regexp_count(F.concat(F.lit(" "), text), F.lit(BEGIN)), F.lit(0)).cast("long")
 
 
 def source_targets(sized: DataFrame, weights=WEIGHTS, budget_share: float = 1.0, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -82,7 +83,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget_share: float = 1.0, max_epochs:
     up_to_here = (W.unboundedPreceding, W.currentRow)
 
     # place in the source's shuffled order: prefix sums over slices, then inside each slice
-    sliced = sized.withColumn("slice", F.substring("shuffle", 1, SLICE_DIGITS))
+    sliced = sized.withColumn("slice", F.substring("shuffle", 1, SLICE_DIGITS)).withColumn("part", F.lit(""))
+    hot = sliced.groupBy("source", "slice").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_ROWS)
+    hot = materialise(hot.select(F.col("source").alias("h_source"), F.col("slice").alias("h_slice")), "hot-slices")
+    if hot.take(1):
+        sliced = sliced.join(hot, F.col("source").eqNullSafe(F.col("h_source")) & (F.col("slice") == F.col("h_slice")), "left")
+        part = F.when(F.col("h_slice").isNotNull(), F.lpad(F.hex(F.shiftrightunsigned("t1", 52)), 3, "0")).otherwise("")
+        sliced = sliced.withColumn("part", part).withColumn("slice", F.when(F.col("h_slice").isNotNull(), F.concat("shuffle", "part")).otherwise(F.col("slice")))
     before = materialise(
         sliced.groupBy("source", "slice")
         .agg(F.sum("size").alias("slice_size"))
@@ -93,7 +100,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget_share: float = 1.0, max_epochs:
         ),
         "slices",
     )
-    by_slice = W.partitionBy("source", "slice").orderBy("shuffle", "doc_id", "size", "row_no").rowsBetween(*up_to_here)
+    by_slice = W.partitionBy("source", "slice").orderBy("shuffle", "doc_id", "part", "size", "row_no").rowsBetween(*up_to_here)
     placed = (
         sliced.join(before, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("slice") == F.col("b_slice")))
         .withColumn("cumulative", F.col("before") + F.sum("size").over(by_slice))

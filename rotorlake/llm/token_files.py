@@ -13,16 +13,21 @@ A block holds ``BLOCK`` ids (the last one fewer).  Its width is the bit length o
 percentile of the differences, unless a wider one makes the block smaller; wider differences keep their
 low bits in place and stand whole in the exception list.
 
-Null texts count as empty: they hold the end id alone.  Rows with equal doc_id are all kept, ordered by
-their text's hash; null ids come first and are written as the smallest 64-bit integer.  An empty table
-gives no file and an empty result.
+Files hold about ``FILE_BYTES`` of text each, though at least ``spark.sql.shuffle.partitions`` files are made, and at
+most ``MOST_FILES``.  An id that fills several ranges is cut further by hash of its rows' ids.
+
+Null texts count as empty: they hold the end id alone; very long texts are encoded whole.  Rows with equal doc_id
+are all kept, ordered by the crc32 of their ids; null ids come first and are written as the smallest 64-bit integer.
+Extra columns are ignored, whatever their names.  An empty table gives no file and an empty result.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +48,8 @@ NULL_ID = -(1 << 63)
 MEMO = 200_000
 #: Bytes of text that are tokenised at a time.
 STEP = 4 << 20
+#: Text in a file, and the most files.
+FILE_BYTES, MOST_FILES = 256 << 20, 16_384
 
 
 #: Letters, digits and white space among the first 592 code points; the same in all versions of Unicode.
@@ -75,8 +82,8 @@ class Encoder:
     """Token ids of whole texts with the tokenizers library, which is asked once for each piece it remembers.
 
     The byte-level pre-tokeniser cuts a text into pieces that the model encodes one by one.  Texts of the code
-    points up to U+024F are cut here by the same rule, written with the classes above; all other texts, and
-    texts that hold the string of a special token, go to the library whole.
+    points up to U+024F are cut here by the same rule, written with the classes above; all other texts, texts that
+    hold the string of a special token, and all texts of tokenizers of another kind, go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -86,6 +93,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        shape = json.loads(self.tokenizer.to_str())
+        before, model = shape["pre_tokenizer"] or {}, shape["model"]
+        byte_level = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+        plain = model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+        self.by_piece = bool(byte_level and plain and not shape["normalizer"] and not shape["truncation"] and not shape["padding"])
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.whole = re.compile("|".join(["[\u0250-\U0010ffff]", *map(re.escape, special)]))
@@ -94,7 +106,7 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, little-endian, of the type ``kind``."""
-        if self.whole.search(text):
+        if not self.by_piece or self.whole.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
         return b"".join(map(self.memo.__getitem__, self.cut.findall(text)))
 
@@ -152,7 +164,8 @@ def decode_block(data: bytes, at: int = 0) -> np.ndarray:
 
 class Writer:
     def __init__(self, out):
-        self.out, self.at, self.index, self.docs, self.sizes, self.tokens = out, len(MAGIC), [], [], [], 0
+        self.out, self.at, self.tokens = out, len(MAGIC), 0
+        self.index, self.docs, self.sizes = array("q"), array("q"), array("I")
         self.left: list[np.ndarray] = []
         self.n_left = 0
         out.write(MAGIC)
@@ -218,6 +231,26 @@ class Reader:
             k = to
 
 
+def ranges(rows: DataFrame) -> tuple[int, np.ndarray]:
+    """Number of files, and the ids that bound them.
+
+    Bounds come from one pass over ids and text sizes: a range partitioner would tokenise everything once more to
+    sample it.
+    """
+    facts = rows.agg(F.sum(F.octet_length("text")), F.percentile_approx("doc_id", [k / MOST_FILES for k in range(1, MOST_FILES)], 10 * MOST_FILES)).head()
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, min(MOST_FILES, max(least, -(-(facts[0] or 0) // FILE_BYTES))))
+    marks = np.array(facts[1] or [], np.int64)
+    return n, marks[[k * MOST_FILES // n - 1 for k in range(1, n)]] if len(marks) else marks
+
+
+def part_of(ids: np.ndarray, tie: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The file of each row; an id that is several bounds is spread over their files by ``tie``, in its order."""
+    low = np.searchsorted(bounds, ids, "left")
+    room = np.maximum(1, np.searchsorted(bounds, ids, "right") - low)
+    return (low + (tie * room >> 32)).astype(np.int32)
+
+
 def write_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
     """Tokenise docs(doc_id, text) into ``folder``; returns the manifest: part, path, n_docs, n_tokens.
 
@@ -225,7 +258,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int =
     half of the bytes of the text.
     """
     text_batches(docs.sparkSession)
-    rows = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text")
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(tokenizer_path)
@@ -236,15 +269,12 @@ def write_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int =
             while at < len(texts):
                 to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + STEP, "right")))
                 ids = [e.encode(t or "") + end for t in texts.slice(at, to - at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([doc_ids.slice(at, to - at), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([e.kind] * len(ids))], names=["doc_id", "tie", "ids", "kind"])
+                own, tie = doc_ids.slice(at, to - at), np.array([zlib.crc32(x) for x in ids], np.int64)
+                yield pa.RecordBatch.from_arrays([own, pa.array(tie), pa.array(ids, pa.binary()), pa.array([e.kind] * len(ids)), pa.array(part_of(own.to_numpy(), tie, bounds))], names=["doc_id", "tie", "ids", "kind", "part"])
                 at = to
 
-    # bounds come from the ids alone: a range partitioner would tokenise everything once more to sample it
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 10_000)).head()[0] or []
-    bounds = sorted(set(bounds))
-    part = F.aggregate(F.array(*map(F.lit, bounds)), F.lit(0), lambda k, b: k + (F.col("doc_id") > b).cast("int")) if bounds else F.lit(0)
-    tokenised = rows.mapInArrow(tokenise, "doc_id long, tie long, ids binary, kind string").withColumn("part", part)
+    n, bounds = ranges(rows)
+    tokenised = rows.mapInArrow(tokenise, "doc_id long, tie long, ids binary, kind string, part int")
     dealt = tokenised.repartitionById(n, F.col("part")).sortWithinPartitions("doc_id", "tie").drop("part")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

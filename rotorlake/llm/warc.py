@@ -9,7 +9,9 @@
 
 Null html is the empty payload; null urls give an empty target; a null page_id is kept as null and never
 the response if its group has another id.  Rows equal in page_id and payload count as the same response
-if they carry the largest id.  An empty table gives no archive and an empty result.
+if they carry the largest id.  Very long payloads are held one at a time.  Archives that end within a gzip member or
+a record, or hold another number of records than their manifest says, are an error.  Extra columns are ignored,
+whatever their names.  An empty table gives no archive and an empty result.
 """
 
 from __future__ import annotations
@@ -129,16 +131,16 @@ def normalise(manifest: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path in b.column("path").to_pylist():
+            for path, expected in zip(b.column("path").to_pylist(), b.column("n_records").to_pylist()):
                 new = path.replace("/raw-", "/records-")
                 index_path = new.removesuffix(".warc.gz") + ".index.jsonl"
                 store, local = open_fs(path)
                 at = n = 0
                 with store.open_input_stream(local, compression=None) as source, written(new) as out, written(index_path) as index:
-                    inflate, cut = zlib.decompressobj(31), Records()
+                    inflate, cut, whole = zlib.decompressobj(31), Records(), True
                     while piece := source.read(STEP):
                         while piece:
-                            inflated = inflate.decompress(piece, 4 * STEP)
+                            inflated, whole = inflate.decompress(piece, 4 * STEP), False
                             piece = inflate.unconsumed_tail
                             for head, raw in cut.feed(inflated):
                                 gz = zlib.compressobj(6, wbits=31)
@@ -148,9 +150,11 @@ def normalise(manifest: DataFrame) -> DataFrame:
                                 at, n = at + len(member), n + 1
                             if inflate.eof:
                                 # archives may hold several members all the same
-                                piece, inflate = inflate.unused_data, zlib.decompressobj(31)
-                    if cut.left:
-                        raise ValueError(f"{path}: ends within a record")
+                                piece, inflate, whole = inflate.unused_data, zlib.decompressobj(31), True
+                    if cut.left or not whole:
+                        raise ValueError(f"{path}: ends within a {'record' if cut.left else 'gzip member'}")
+                    if n != expected:
+                        raise ValueError(f"{path}: {n} records of {expected}")
                 yield pa.RecordBatch.from_pylist([{"path": new, "index_path": index_path, "n_records": n, "n_bytes": at}], schema=pa.schema([("path", pa.string()), ("index_path", pa.string()), ("n_records", pa.int64()), ("n_bytes", pa.int64())]))
 
     return materialise(each(manifest).mapInArrow(run, "path string, index_path string, n_records long, n_bytes long"), "normal-manifest")
