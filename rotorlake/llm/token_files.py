@@ -234,14 +234,12 @@ class Reader:
 def ranges(rows: DataFrame) -> tuple[int, np.ndarray]:
     """Number of files, and the ids that bound them.
 
-    Bounds come from one pass over ids and text sizes: a range partitioner would tokenise everything once more to
-    sample it.
+    Bounds come from the ids alone: a range partitioner would tokenise everything once more to sample it.
     """
-    facts = rows.agg(F.sum(F.octet_length("text")), F.percentile_approx("doc_id", [k / MOST_FILES for k in range(1, MOST_FILES)], 10 * MOST_FILES)).head()
-    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = max(1, min(MOST_FILES, max(least, -(-(facts[0] or 0) // FILE_BYTES))))
-    marks = np.array(facts[1] or [], np.int64)
-    return n, marks[[k * MOST_FILES // n - 1 for k in range(1, n)]] if len(marks) else marks
+    n_bytes = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    n = max(1, min(MOST_FILES, max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // FILE_BYTES))))
+    marks = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], max(10_000, 10 * n))).head()[0]
+    return n, np.array(marks[: n - 1] if marks else [], np.int64)
 
 
 def part_of(ids: np.ndarray, tie: np.ndarray, bounds: np.ndarray) -> np.ndarray:
