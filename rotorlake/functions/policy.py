@@ -76,6 +76,39 @@ class Throttle:
         return True
 
 
+@dataclass
+class TimedThrottle:
+    """At most one card per interval, with a timer: the latest waiting card is shown when the interval ends.
+
+    A card equal to the one on show is dropped and takes a waiting one with it.
+    """
+
+    interval: float = 2.0
+    shown: str | None = None
+    shown_at: float | None = None
+    waiting: str | None = None
+
+    def offer(self, card: str, t: float) -> bool:
+        """Whether the card is shown now; if not, it waits (in place of an earlier one) or is dropped."""
+        if card == self.shown:
+            self.waiting = None
+            return False
+        if self.shown_at is not None and t - self.shown_at < self.interval:
+            self.waiting = card
+            return False
+        self.shown, self.shown_at, self.waiting = card, t, None
+        return True
+
+    def due(self) -> float | None:
+        """When the waiting card is to be shown."""
+        return None if self.waiting is None else self.shown_at + self.interval
+
+    def flush(self) -> str:
+        """Show the waiting card at its time."""
+        self.shown, self.shown_at, self.waiting = self.waiting, self.due(), None
+        return self.shown
+
+
 @dataclass
 class Capture:
     """Byte and time bounds of a raw capture; refused chunks do not count."""

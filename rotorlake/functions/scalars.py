@@ -129,3 +129,34 @@ def display_lines(state: Column, percentile: Column, evidence: Column, remaining
     first = F.when(state == "CAPTURE", "Learning baseline").when(state == "SUSPECT", F.concat_ws(" ", F.lit("Suspect"), rank)).when(state == "ALERT", F.concat_ws(" ", F.lit("ALERT"), rank)).otherwise(F.concat_ws(" ", F.lit("Listening"), rank))
     second = F.when(state == "CAPTURE", F.concat(wait, F.lit(" s left"))).when(state == "ALERT", fitted).when(state == "SUSPECT", text).otherwise("")
     return {"line1": F.substring(first, 1, SUMMARY_CHARS), "line2": F.substring(second, 1, SUMMARY_CHARS)}
+
+
+def card_lines(state: Column, percentile: Column, evidence: Column, remaining: Column) -> dict[str, Column]:
+    """Two lines of at most 60 characters for every state of a session; unknown and null states show nothing.
+
+    Evidence is cut so that the hint behind it stays whole; without evidence the hint stands alone.  A percentile or
+    a remaining time that is null or not finite is left out.
+    """
+    finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    rank = F.when(finite(percentile), F.concat(F.lit(" P"), F.floor(percentile + 0.5).cast("long").cast("string"))).otherwise("")
+    left = F.when(finite(remaining), F.concat(F.lit(" "), F.ceil(F.greatest(F.lit(0.0), remaining)).cast("long").cast("string"), F.lit(" s"))).otherwise("")
+    hint = " | tap to log"
+    told = F.trim(F.coalesce(evidence, F.lit("")))
+    because = F.when(told == "", hint[3:]).otherwise(F.concat(F.rtrim(F.substring(told, 1, SUMMARY_CHARS - len(hint))), F.lit(hint)))
+    first = (
+        F.when(state == "LISTENING", "Listening")
+        .when(state == "CAPTURING_BASELINE", F.concat(F.lit("Learning baseline"), left))
+        .when(state == "SUSPECT", F.concat(F.lit("Suspect"), rank))
+        .when(state == "ALERT", F.concat(F.lit("ALERT"), rank))
+        .when(state == "LOGGED", "Logged")
+        .when(state == "OFFLINE", "Engine offline")
+        .otherwise("")
+    )
+    second = F.when(state.isin("SUSPECT", "ALERT"), because).when(state == "CAPTURING_BASELINE", "keep the machine running normally").when(state == "OFFLINE", "check the connection").otherwise("")
+    return {"line1": F.substring(first, 1, SUMMARY_CHARS), "line2": F.substring(second, 1, SUMMARY_CHARS)}
+
+
+def relative_path(path: Column, root: str) -> Column:
+    """The path below ``root``; the bare file name for paths outside it."""
+    root = root.rstrip("/") + "/"
+    return F.when(F.startswith(path, F.lit(root)), F.substring(path, len(root) + 1, 1 << 30)).otherwise(F.element_at(F.split(path, "/"), -1))

@@ -62,6 +62,40 @@ def exact_frames(chunks: DataFrame, frame_bytes: int = 32_000) -> DataFrame:
     return total.select("stream_id", "n_bytes", (F.floor(even / frame_bytes) + padded).cast("long").alias("n_frames"), padded.alias("padded"))
 
 
+def frame_pieces(chunks: DataFrame, frame_bytes: int = 32_000) -> DataFrame:
+    """stream_id, frame_no, seq, from_byte, to_byte (in the chunk): which bytes of which chunks make up each frame.
+
+    A last odd byte is left out; a tail of half a frame or more makes a frame, a shorter one none.  Chunk places
+    are running sums, and a chunk is dealt to the frames it touches, so no stream is put together in one place.
+    """
+    at = F.coalesce(F.sum("n_bytes").over(W.partitionBy("stream_id").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    total = chunks.groupBy("stream_id").agg(F.expr("sum(n_bytes) div 2 * 2").alias("even"))
+    rows = chunks.withColumn("start", at.cast("long")).join(total, "stream_id").withColumn("stop", F.least(F.col("start") + F.col("n_bytes"), "even"))
+    rows = rows.where("stop > start").withColumn("frame_no", F.explode(F.expr(f"sequence(start div {frame_bytes}, (stop - 1) div {frame_bytes})")))
+    whole = f"(frame_no + 1) * {frame_bytes} <= even or even - frame_no * {frame_bytes} >= {frame_bytes // 2}"
+    return rows.where(whole).select(
+        "stream_id", "frame_no", "seq",
+        F.expr(f"greatest(start, frame_no * {frame_bytes}) - start").alias("from_byte"),
+        F.expr(f"least(stop, (frame_no + 1) * {frame_bytes}) - start").alias("to_byte"),
+    )
+
+
+def cut_frames(chunks: DataFrame, frame_bytes: int = 32_000) -> DataFrame:
+    """stream_id, frame_no, data: chunks(stream_id, seq, data) cut into frames of ``frame_bytes``, the last one padded with zeros."""
+    pieces = frame_pieces(chunks.select("stream_id", "seq", F.octet_length("data").cast("long").alias("n_bytes")), frame_bytes)
+    cut = pieces.join(chunks.select("stream_id", "seq", "data"), ["stream_id", "seq"]).withColumn("piece", F.expr("substring(data, cast(from_byte as int) + 1, cast(to_byte - from_byte as int))"))
+    frame = cut.groupBy("stream_id", "frame_no").agg(F.array_sort(F.collect_list(F.struct("seq", "piece"))).alias("p"))
+    data = F.aggregate("p", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["piece"]))
+    return frame.select("stream_id", "frame_no", data.alias("data")).withColumn("data", F.expr(f"rpad(data, {frame_bytes}, x'00')"))
+
+
+def chunks_of_clips(clips: DataFrame, chunk: int) -> DataFrame:
+    """vec_id, chunk_no, v: the fixed chunks of each clip's samples, the last partial one included."""
+    n = F.ceil(F.size("v") / chunk).cast("int")
+    pieces = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice("v", i * chunk + 1, chunk)))
+    return clips.select("vec_id", F.posexplode(pieces).alias("chunk_no", "v"))
+
+
 def fresh_frames(frames: DataFrame, limit_s: float = 2.5) -> DataFrame:
     """Frames processed no later than the limit after they were made."""
     return frames.where(F.col("delay_s") <= limit_s)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,7 +18,8 @@ def knn_scores(split: DataFrame, k: int = 2) -> DataFrame:
     """vec_id, keys, y, score: mean cosine distance to the k nearest train clips of the same id.
 
     All in the JVM: an equi-join on the id, and a rank limit that Spark pushes below the shuffle.  It makes a
-    row per pair; ``knn_scores_blocked`` is for ids with long histories.
+    row per pair; ``knn_scores_blocked`` is for ids with long histories.  Test rows of ids without train rows are
+    left out, and ids with fewer than k average what they have; ``few_train_rows`` names both.
     """
     u = split.withColumn("u", unit(F.col("v")))
     train = u.where("split = 'train'").select(*KEYS, F.col("vec_id").alias("t_id"), F.col("u").alias("t"))
@@ -27,6 +28,12 @@ def knn_scores(split: DataFrame, k: int = 2) -> DataFrame:
     return near.groupBy("vec_id", *KEYS, "split").agg(F.round(F.avg("d"), 9).alias("score")).select("vec_id", *KEYS, (F.col("split") == "test_abnormal").cast("int").alias("y"), "score")
 
 
+def few_train_rows(split: DataFrame, k: int) -> DataFrame:
+    """keys, n_train of the ids with test rows but fewer than k train rows."""
+    n = split.groupBy(*KEYS).agg(F.count_if(F.col("split") == "train").alias("n_train"), F.count_if(F.col("split") != "train").alias("n_test"))
+    return n.where((F.col("n_train") < k) & (F.col("n_test") > 0)).drop("n_test")
+
+
 def nearest(test: np.ndarray, train: np.ndarray, k: int) -> np.ndarray:
     """The k smallest cosine distances of each test row, sorted; zero vectors are at distance 1."""
     def norm(x):
@@ -53,7 +60,7 @@ def knn_scores_blocked(split: DataFrame, k: int = 2, block: int = 2048) -> DataF
 
     def work(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if q.empty or t.empty:
-            return pd.DataFrame({"vec_id": [], "machine": [], "machine_id": [], "y": [], "d": []})
+            return pd.DataFrame({"vec_id": np.zeros(0, np.int64), "machine": np.zeros(0, object), "machine_id": np.zeros(0, object), "y": np.zeros(0, np.int32), "d": np.zeros(0, object)})
         d = nearest(np.vstack(q["v"].to_numpy()), np.vstack(t["v"].to_numpy()), k)
         return pd.DataFrame({"vec_id": q["vec_id"], "machine": q["machine"], "machine_id": q["machine_id"], "y": (q["split"] == "test_abnormal").astype("int32"), "d": list(d)})
 
@@ -96,32 +103,71 @@ def mahalanobis(train: np.ndarray, test: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(squared, 0))
 
 
-def mahalanobis_scores(split: DataFrame) -> DataFrame:
-    """The covariance scorer per id; train rows of an id must fit one task (they are one machine's baseline)."""
+def moments(train: DataFrame) -> DataFrame:
+    """keys, n, mean, place (i * p + j), s (sum of centred products), q4 (sum of squared squared norms) of vectors.
 
-    def work(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or len(t) < 2:
-            return pd.DataFrame({"vec_id": [], "machine": [], "machine_id": [], "y": [], "score": []})
-        return pd.DataFrame({"vec_id": q["vec_id"], "machine": q["machine"], "machine_id": q["machine_id"], "y": (q["split"] == "test_abnormal").astype("int32"), "score": mahalanobis(np.vstack(t["v"].to_numpy()), np.vstack(q["v"].to_numpy()))})
+    Means first, then centred products, both as partial sums of each batch: a row per id and batch leaves a task
+    and Spark adds them up, so an id may have any number of rows.
+    """
+    place = train.select(*KEYS, F.posexplode("v").alias("i", "x")).groupBy(*KEYS, "i").agg(F.avg("x").alias("m"), F.count(F.lit(1)).alias("n"))
+    mean = place.groupBy(*KEYS).agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("i", "m"))).alias("im")).select(*KEYS, "n", F.col("im.m").alias("mean"))
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for key, g in pdf.groupby(KEYS, sort=False):
+                c = np.vstack(g["v"].to_numpy()) - g["mean"].iloc[0]
+                yield pd.DataFrame({"machine": [key[0]], "machine_id": [key[1]], "s": [(c.T @ c).reshape(-1)], "q4": [float(((c**2).sum(axis=1) ** 2).sum())]})
+
+    parts = train.join(mean, KEYS).select(*KEYS, "v", "mean").mapInPandas(partial, "machine string, machine_id string, s array<double>, q4 double")
+    q4 = parts.groupBy(*KEYS).agg(F.sum("q4").alias("q4"))
+    s = parts.select(*KEYS, F.posexplode("s").alias("place", "s")).groupBy(*KEYS, "place").agg(F.sum("s").alias("s"))
+    return s.join(q4, KEYS).join(mean, KEYS)
 
-    train = split.where("split = 'train'").select(*[F.col(c).alias(c) for c in split.columns])
-    return split.where("split <> 'train'").groupBy(*KEYS).cogroup(train.groupBy(*KEYS)).applyInPandas(work, "vec_id long, machine string, machine_id string, y int, score double")
+
+def shrunk(train: DataFrame) -> DataFrame:
+    """keys, n, mean, s (array), mu and shrinkage of each id's train vectors, from moments of any number of rows."""
+    p = F.size("mean")
+    own = F.when(F.col("place") % (p + 1) == 0, F.col("s"))
+    g = moments(train).groupBy(*KEYS).agg(F.first("n").alias("n"), F.first("mean").alias("mean"), F.sum(own).alias("tr"), F.first("q4").alias("q4"), F.sum(F.col("s") * F.col("s")).alias("ff"), F.array_sort(F.collect_list(F.struct("place", "s"))).alias("ps"))
+    # the sum of squares of the Gram matrix is that of the p x p products
+    g = g.withColumn("p", p).withColumn("mu", F.expr("tr / n / p")).withColumn("dd", F.expr("ff / n / n"))
+    g = g.withColumn("delta", F.expr("(dd - 2 * mu * tr / n + p * mu * mu) / p")).withColumn("beta", F.least(F.expr("(q4 / n - dd) / (p * n)"), F.col("delta")))
+    return g.select(*KEYS, "n", "mean", F.col("ps.s").alias("s"), "mu", F.when(F.col("beta") == 0, 0.0).otherwise(F.col("beta") / F.col("delta")).alias("shrinkage"))
+
+
+def mahalanobis_scores(split: DataFrame, block: int = 4096, strict: bool = False) -> DataFrame:
+    """The covariance scorer per id: one small model each, joined to blocks of its test rows.
+
+    Ids with fewer than two train rows have no covariance: their test rows are left out, or an error if ``strict``.
+    """
+    model = shrunk(split.where("split = 'train'"))
+    test = split.where("split <> 'train'").select("vec_id", *KEYS, (F.col("split") == "test_abnormal").cast("int").alias("y"), "v")
+    blocks = test.groupBy(*KEYS).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    known = blocks.join(model, KEYS, "left")
+    if strict:
+        known = known.withColumn("n", F.when(F.coalesce("n", F.lit(0)) < 2, F.raise_error(F.lit("a covariance needs two train rows or more"))).otherwise(F.col("n")))
+    spread = known.where("n >= 2").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*KEYS, "block", "n", "mean", "s", "mu", "shrinkage")
+    rows = test.join(blocks, KEYS).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
+
+    def work(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or m.empty:
+            return pd.DataFrame({"vec_id": np.zeros(0, np.int64), "machine": np.zeros(0, object), "machine_id": np.zeros(0, object), "y": np.zeros(0, np.int32), "score": np.zeros(0)})
+        m = m.iloc[0]
+        p = len(m["mean"])
+        a = m["shrinkage"] * m["mu"]
+        cov = (1 - m["shrinkage"]) / m["n"] * np.asarray(m["s"]).reshape(p, p) + a * np.eye(p)
+        z = np.vstack(q["v"].to_numpy()) - m["mean"]
+        solved = np.linalg.solve(cov, z.T) if a > 0 else np.linalg.lstsq(cov, z.T, rcond=None)[0]
+        return pd.DataFrame({"vec_id": q["vec_id"], "machine": q["machine"], "machine_id": q["machine_id"], "y": q["y"], "score": np.sqrt(np.maximum((z * solved.T).sum(axis=1), 0))})
+
+    by = [*KEYS, "block"]
+    spread = spread.select(*[F.col(c).alias(c) for c in spread.columns])
+    return rows.groupBy(*by).cogroup(spread.groupBy(*by)).applyInPandas(work, "vec_id long, machine string, machine_id string, y int, score double")
 
 
 def lw_shrinkage(train: DataFrame) -> DataFrame:
-    """keys, n, shrinkage of each id's train vectors by sums over the Gram matrix, in the JVM."""
-    place = train.select(*KEYS, "vec_id", F.posexplode("v").alias("i", "x"))
-    mean = place.groupBy(*KEYS, "i").agg(F.avg("x").alias("m"))
-    centred = place.join(mean, [*KEYS, "i"]).groupBy(*KEYS, "vec_id").agg(F.array_sort(F.collect_list(F.struct("i", (F.col("x") - F.col("m")).alias("c")))).alias("c"))
-    centred = centred.select(*KEYS, "vec_id", F.col("c.c").alias("c"))
-    other = centred.select(*KEYS, F.col("vec_id").alias("o_id"), F.col("c").alias("o"))
-    g = F.aggregate(F.zip_with("c", "o", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
-    gram = centred.join(other, KEYS).select(*KEYS, "vec_id", "o_id", F.size("c").alias("p"), g.alias("g"))
-    own = F.when(F.col("vec_id") == F.col("o_id"), F.col("g"))
-    s = gram.groupBy(*KEYS).agg(F.count(own).alias("n"), F.max("p").alias("p"), F.sum(own).alias("tr"), F.sum(own * own).alias("q4"), F.sum(F.col("g") * F.col("g")).alias("ff"))
-    s = s.withColumn("mu", F.expr("tr / n / p")).withColumn("dd", F.expr("ff / n / n"))
-    s = s.withColumn("delta", F.expr("(dd - 2 * mu * tr / n + p * mu * mu) / p")).withColumn("beta", F.least(F.expr("(q4 / n - dd) / (p * n)"), F.col("delta")))
-    return s.select(*KEYS, "n", F.round(F.when(F.col("beta") == 0, 0.0).otherwise(F.col("beta") / F.col("delta")), 6).alias("shrinkage"))
+    """keys, n, shrinkage of each id's train vectors."""
+    return shrunk(train).select(*KEYS, "n", F.round("shrinkage", 6).alias("shrinkage"))
 
 
 #: Named scorers that run side by side; each maps split clips to (vec_id, machine, machine_id, y, score).

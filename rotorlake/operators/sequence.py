@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W
+from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from ..functions.policy import AlertPolicy, Capture, Ema, Throttle
+from ..functions.policy import AlertPolicy, Capture, Ema, Throttle, TimedThrottle
 from .ordered import ordered_fold
 
 
@@ -38,6 +38,25 @@ def throttled_cards(cards: DataFrame, interval: float = 2.0) -> DataFrame:
     return ordered_fold(cards, "stream_id", ["seq", "t"], lambda: Throttle(interval), lambda s, r: (r[0],) if s.step((r[0],), r[1]) else None, ["line", "t"], "line string")
 
 
+def timed_cards(cards: DataFrame, interval: float = 2.0) -> DataFrame:
+    """stream_id, t, line of the cards that are shown, waiting ones at the time their interval ends.
+
+    The next card's time, or the end of the stream, tells whether a waiting card is still flushed before it.
+    """
+    rows = cards.withColumn("next_t", F.lead("t").over(W.partitionBy("stream_id").orderBy("seq")))
+
+    def step(s: TimedThrottle, row: tuple) -> tuple:
+        line, t, next_t = row
+        shown = [{"t": t, "line": line}] if s.offer(line, t) else []
+        due = s.due()
+        if due is not None and not (next_t is not None and next_t <= due):
+            shown.append({"t": due, "line": s.flush()})
+        return (shown,)
+
+    out = ordered_fold(rows, "stream_id", ["seq"], lambda: TimedThrottle(interval), step, ["line", "t", "next_t"], "shown array<struct<t:double,line:string>>")
+    return out.select("stream_id", F.explode("shown").alias("s")).select("stream_id", "s.t", "s.line")
+
+
 def capture_chunks(chunks: DataFrame, **bounds) -> DataFrame:
     """capture_id, seq, accepted for chunks(capture_id, seq, n_bytes)."""
     return ordered_fold(chunks, "capture_id", ["seq"], lambda: Capture(**bounds), lambda s, r: (s.step(int(r[0])),), ["n_bytes"], "accepted boolean")
@@ -70,7 +89,3 @@ def late_rows(rows: DataFrame) -> DataFrame:
 def latest(rows: DataFrame, value: str = "raw") -> DataFrame:
     """Each stream's value at its largest t."""
     return rows.groupBy("stream_id").agg(F.max("t").alias("t"), F.max_by(value, F.struct("t", "seq")).alias(value))
-
-
-def run_starts(new: Column, w) -> Column:
-    return F.sum(new.cast("int")).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))

@@ -12,13 +12,16 @@ def anomaly_split(clips: DataFrame, seed: int = 1337) -> DataFrame:
     """Adds split: every abnormal clip and as many normals of its id are tests, all other normals train.
 
     Normals are drawn by md5 of seed and path, so neither input order nor partitioning matters.  An id without
-    more normals than abnormals has no train clip and is refused by ``split_guard``.  Counts are one aggregation
-    joined back; ranks within an id use its own window, so large ids spill but never meet in the driver.
+    more normals than abnormals has no train clip and is refused by ``split_guard``.  The draw works on paths and
+    keys alone; vectors meet its result in one join.  Abnormal counts are an aggregation, combined before the shuffle.
     """
-    rank = F.row_number().over(W.partitionBy(*KEYS, "label").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "path")), "path"))
-    abnormal = F.sum((F.col("label") == "abnormal").cast("int")).over(W.partitionBy(*KEYS))
-    split = F.when(F.col("label") == "abnormal", "test_abnormal").when(F.col("_rank") <= F.col("_abnormal"), "test_normal").otherwise("train")
-    return clips.withColumn("_rank", rank).withColumn("_abnormal", abnormal).withColumn("split", split).drop("_rank", "_abnormal")
+    drawn = clips.select(*KEYS, "label", "path").distinct()
+    abnormal = drawn.where("label = 'abnormal'").groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_abnormal"))
+    rank = F.row_number().over(W.partitionBy(*KEYS).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "path")), "path"))
+    normal = drawn.where("label <> 'abnormal'").withColumn("_rank", rank).join(abnormal, KEYS, "left").where("_rank > coalesce(_abnormal, 0)").select(F.col("path").alias("_path"), F.lit("train").alias("_side"))
+    side = F.when(F.col("label") == "abnormal", "test_abnormal").otherwise(F.coalesce("_side", F.lit("test_normal")))
+    rows = clips.join(normal, (F.col("path") == F.col("_path")) & (F.col("label") != "abnormal"), "left")
+    return rows.withColumn("split", side).drop("_path", "_side")
 
 
 def split_guard(split: DataFrame) -> DataFrame:
@@ -88,6 +91,6 @@ def centroid_accuracy(rows: DataFrame, target: str = "machine") -> DataFrame:
     """part, n, accuracy of the classifier that names the class with the nearest train centroid."""
     place = rows.select("path", "part", target, F.posexplode("v").alias("i", "x"))
     centroids = place.where("part = 'train'").groupBy(F.col(target).alias("c"), "i").agg(F.avg("x").alias("m"))
-    gaps = place.join(F.broadcast(centroids), "i").groupBy("path", "part", target, "c").agg(F.round(F.sum((F.col("x") - F.col("m")) ** 2), 9).alias("d"))
+    gaps = place.join(centroids, "i").groupBy("path", "part", target, "c").agg(F.round(F.sum((F.col("x") - F.col("m")) ** 2), 9).alias("d"))
     named = gaps.groupBy("path", "part", target).agg(F.min(F.struct("d", "c")).alias("best"))
     return named.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("best.c") == F.col(target)).cast("double")).alias("accuracy"))

@@ -32,7 +32,7 @@ def split_of(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scores_of(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.knn_scores(split_of(spark, d))
+    return scoring.knn_scores_blocked(split_of(spark, d))
 
 
 @query(sql("SELECT vec_id, machine, machine_id, split, (dense_rank() OVER (ORDER BY machine, machine_id) - 1)::BIGINT AS id_offset FROM split", SPLIT))
@@ -55,7 +55,7 @@ def split_audit(spark, d):
 
 @query(sql("SELECT vec_id, machine, machine_id, y, score FROM scores", SPLIT, SCORES))
 def knn_scores(spark, d):
-    return scores_of(spark, d)
+    return scoring.knn_scores(split_of(spark, d))
 
 
 @query(sql("SELECT vec_id, machine, machine_id, y, score FROM scores", SPLIT, SCORES))
@@ -104,7 +104,7 @@ def sanity_gate(spark, d):
 @query(sql("SELECT m AS metric, (SELECT count(*) FROM auc) AS compared, 0::BIGINT AS differing FROM (VALUES ('auc'), ('pauc')) AS x(m)", SPLIT, SCORES, AUC))
 def determinism_check(spark, d):
     again = splits.anomaly_split(clips(spark, d).repartition(7, "v"))
-    return metrics.determinism(metrics.metrics(scores_of(spark, d)), metrics.metrics(scoring.knn_scores(again)), KEYS, ["auc", "pauc"])
+    return metrics.determinism(metrics.metrics(scores_of(spark, d)), metrics.metrics(scoring.knn_scores_blocked(again)), KEYS, ["auc", "pauc"])
 
 
 @query(sql("SELECT vec_id, machine, machine_id, label FROM (SELECT *, row_number() OVER (PARTITION BY machine, machine_id, label ORDER BY path) AS n FROM clips) WHERE n <= 3"))
@@ -189,7 +189,8 @@ def mono_mix(spark, d):
 @query(sql("""SELECT vec_id, list_transform(range(96), lambda i: round(v[floor(least(i * 2.0 / 3, 63))::INT + 1] +
     (v[least(floor(least(i * 2.0 / 3, 63))::INT + 1, 63) + 1] - v[floor(least(i * 2.0 / 3, 63))::INT + 1]) * (least(i * 2.0 / 3, 63) - floor(least(i * 2.0 / 3, 63))), 5)) AS resampled FROM clips"""))
 def resample_linear(spark, d):
-    return clips(spark, d).select("vec_id", F.transform(S.resample(F.col("v"), 32000, 48000), lambda x: F.round(x, 5)).alias("resampled"))
+    # rint keeps the sign of values that round to zero, as the SQL does
+    return clips(spark, d).select("vec_id", F.transform(S.resample(F.col("v"), 32000, 48000), lambda x: F.rint(x * 1e5) / 1e5).alias("resampled"))
 
 
 @query(sql("SELECT vec_id, CASE WHEN len(v) <> 64 THEN 'shape' WHEN list_aggregate(list_transform(v, lambda x: isfinite(x)), 'bool_and') THEN 'ok' ELSE 'not finite' END AS verdict FROM (SELECT vec_id, CASE WHEN vec_id % 11 = 0 THEN list_append(v, 1.0) WHEN vec_id % 7 = 0 THEN list_append(v[1:63], 'nan'::DOUBLE) ELSE v END AS v FROM clips)"))
@@ -237,7 +238,7 @@ RESULTS = """res AS (SELECT c.condition, machine, s.scorer, round(0.5 + (auc - 0
 
 
 def results_of(spark, d) -> DataFrame:
-    av = metrics.type_averages(metrics.metrics(scores_of(spark, d))).select("machine", F.col("auc").alias("a"))
+    av = metrics.auc(scores_of(spark, d)).groupBy("machine").agg(F.round(F.avg("auc"), 6).alias("a"))
     pair = lambda *x: F.struct(F.lit(x[0]).alias("n"), F.lit(x[1]).alias("f"))
     rows = av.withColumn("c", F.explode(F.array(pair("clean", 1.0), pair("noise_5", 0.9), pair("noise_0", 0.7)))).withColumn("s", F.explode(F.array(pair("knn", 1.0), pair("mahalanobis", 0.95))))
     return rows.select(F.col("c.n").alias("condition"), "machine", F.col("s.n").alias("scorer"), F.round(0.5 + (F.col("a") - 0.5) * F.col("c.f") * F.col("s.f"), 6).alias("auc"))

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.policy import LISTENING, AlertPolicy, Ema
+from ..functions.policy import LISTENING, AlertPolicy, Ema, TimedThrottle
+from ..operators import session
 
 OUT = "stream_id long, seq long, t double, raw double, ema double, percentile double, state string, changed boolean"
 STATE = "ema double, state string, streak int, cooldown_until double, last_t double"
@@ -47,6 +48,46 @@ def scored(frames: DataFrame, calib: DataFrame, alpha: float = 0.3, **policy) ->
     return rows.groupBy("stream_id").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+CARDS = "stream_id long, t double, line string"
+CARD_STATE = "shown string, shown_at double, waiting string"
+
+
+def timed_cards(cards: DataFrame, interval: float = 2.0, late: str = "0 seconds") -> DataFrame:
+    """stream_id, t, line of the cards shown from a stream of cards(stream_id, ts, line); t in seconds.
+
+    At most one card per interval; the latest waiting one is shown when its interval ends, by an event-time timer that
+    the watermark sets off, or by the next card if that comes first.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        s = TimedThrottle(interval, *(state.get if state.exists else ()))
+        out = []
+        if not state.hasTimedOut:
+            pdf = pd.concat(list(batches)).sort_values("ts", kind="stable")
+            for ts, line in zip(pdf["ts"], pdf["line"]):
+                t = ts.timestamp()
+                if s.waiting is not None and s.due() < t:
+                    out.append((key[0], s.due(), s.waiting))
+                    s.flush()
+                if s.offer(line, t):
+                    out.append((key[0], t, line))
+        mark = state.getCurrentWatermarkMs()
+        if s.waiting is not None and (state.hasTimedOut or s.due() * 1000 <= mark):
+            out.append((key[0], s.due(), s.waiting))
+            s.flush()
+        state.update((s.shown, s.shown_at, s.waiting))
+        if s.waiting is not None:
+            state.setTimeoutTimestamp(int(s.due() * 1000))
+        yield pd.DataFrame(out, columns=["stream_id", "t", "line"])
+
+    return cards.withWatermark("ts", late).groupBy("stream_id").applyInPandasWithState(step, CARDS, CARD_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def session_states(windows: DataFrame, baselines: DataFrame, alpha: float = 0.3, **policy) -> DataFrame:
+    """Windows (stream_id, seq, t, values) of a stream scored against saved baselines, as ``scored`` gives them."""
+    return scored(session.raw_scores(windows, baselines), baselines, alpha, **policy)
+
+
 def full_windows(frames: DataFrame, size_s: int = 3, late: str = "10 seconds") -> DataFrame:
     """stream_id, t_end, values of windows of ``size_s`` one-second frames that hold a frame for every second."""
     w = F.window("ts", f"{size_s} seconds", "1 second")
