@@ -1,27 +1,47 @@
+import random
+
 import pytest
 
 from rotorlake.functions.policy import AlertPolicy, Capture, Ema, Throttle
 from rotorlake.operators import sequence
 
-SHORT = {"LISTENING": "L", "SUSPECT": "S", "ALERT": "A"}
-
-
-def run(series, **policy):
-    p = AlertPolicy(**policy)
-    return "".join(SHORT[p.step(x, t)] for t, x in series)
-
-
-def test_transitions():
-    assert run(enumerate([50, 99.5, 99.5, 50, 50, 50])) == "LSSLLL"
-    assert run(enumerate([99.5] * 8)) == "SSSSAAAA"
-    assert run(enumerate([99.5, 98.0] * 20)) == "SL" * 20
-    assert run(enumerate([99.5] * 5 + [97] * 10 + [94])) == "SSSSA" + "A" * 10 + "L"
+def by_table(series, n, enter, leave, cooldown):
+    """States by a table over (state, level); a level is c(old), w(arm: between the limits) or h(ot)."""
+    table = {
+        ("LISTENING", "c"): "LISTENING", ("LISTENING", "w"): "LISTENING", ("LISTENING", "h"): "SUSPECT",
+        ("SUSPECT", "c"): "LISTENING", ("SUSPECT", "w"): "LISTENING", ("SUSPECT", "h"): "SUSPECT",
+        ("ALERT", "c"): "LISTENING", ("ALERT", "w"): "ALERT", ("ALERT", "h"): "ALERT",
+    }
+    out, state, quiet_until = [], "LISTENING", 0.0
+    for i, (t, x) in enumerate(series):
+        level = "h" if x >= enter else "c" if x < leave else "w"
+        new = table[state, level]
+        if state == "ALERT" and new == "LISTENING":
+            quiet_until = t + cooldown
+        # hot windows in a row since the stream, or the last alert, began
+        row = 0
+        while row <= i and series[i - row][1] >= enter and (row == 0 or out[i - row] != "ALERT"):
+            row += 1
+        if state == "SUSPECT" and new == "SUSPECT" and row >= n and t >= quiet_until:
+            new = "ALERT"
+        out.append(new)
+        state = new
+    return out
 
 
-def test_cooldown():
-    series = [(t, 99.5) for t in range(5)] + [(5, 94)] + [(t, 99.5) for t in range(6, 26)] + [(34, 99.5), (35, 99.5)]
-    assert run(series) == "SSSSA" + "L" + "S" * 20 + "SA"
-    assert run([(0, 95), (1, 95), (2, 95), (3, 95), (4, 70), (5, 95), (8, 95), (9, 95)], n=2, enter=90, leave=80, cooldown=5) == "SAAALSSA"
+@pytest.mark.parametrize("seed", range(8))
+def test_policy_against_a_table(seed):
+    rng = random.Random(seed)
+    n, enter, leave, cooldown = rng.randint(1, 6), rng.choice([80.0, 99.0]), rng.choice([0.0, 40.0, 75.0]), rng.choice([0.0, 6.5, 30.0])
+    t, series, hot = 0.0, [], False
+    for _ in range(600):
+        hot ^= rng.random() < 0.15
+        t += rng.choice([0.0, 0.5, 1.0, 3.0])
+        series.append((t, rng.uniform(78, 100) if hot else rng.uniform(0, 100)))
+    p = AlertPolicy(n=n, enter=enter, leave=leave, cooldown=cooldown)
+    got = [p.step(x, t) for t, x in series]
+    assert got == by_table(series, n, enter, leave, cooldown)
+    assert {"LISTENING", "SUSPECT"} <= set(got)
 
 
 def test_bad_rows():

@@ -5,10 +5,26 @@ from pyspark.sql import functions as F
 from rotorlake.operators import baseline, metrics, scoring, splits
 
 
-def test_pauc_of_known_rows(spark):
-    rows = spark.createDataFrame([("m", "a", y, s) for y, s in zip((0, 0, 0, 1, 1, 1), (0.1, 0.4, 0.35, 0.8, 0.2, 0.9))], "machine string, machine_id string, y int, score double")
+def curve(y, score):
+    """Points of the ROC curve, one per distinct score from the highest down."""
+    cuts = np.unique(score)[::-1]
+    return np.array([0.0, *(np.mean(score[y == 0] >= c) for c in cuts)]), np.array([0.0, *(np.mean(score[y == 1] >= c) for c in cuts)])
+
+
+@pytest.mark.parametrize("seed", [3, 4, 5])
+def test_areas_against_a_plain_curve(spark, seed):
+    rng = np.random.default_rng(seed)
+    y = rng.integers(0, 2, 90)
+    score = np.round(rng.normal(y * 0.8, 1.0), 1)
+    rows = spark.createDataFrame([("m", "a", int(a), float(s)) for a, s in zip(y, score)], "machine string, machine_id string, y int, score double")
+    fpr, tpr = curve(y, score)
+    part = 0.0
+    for f0, f1, t0, t1 in zip(fpr[:-1], fpr[1:], tpr[:-1], tpr[1:]):
+        if f0 < 0.1 and f1 > f0:
+            end = min(f1, 0.1)
+            part += (end - f0) * (t0 + t0 + (t1 - t0) * (end - f0) / (f1 - f0)) / 2
     r = metrics.metrics(rows).head()
-    assert r.auc == pytest.approx(7 / 9) and r.pauc == pytest.approx(0.824561, abs=1e-6)
+    assert r.auc == pytest.approx(np.trapezoid(tpr, fpr), abs=1e-8) and r.pauc == pytest.approx(0.5 * (1 + (part - 0.005) / 0.095), abs=1e-8)
 
 
 def test_all_missed_pauc(spark):
