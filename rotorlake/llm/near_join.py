@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import far_blocks, in_blocks, run_groups
-from .common import drop, materialise, read, text_batches, text_keys
+from .common import drop, materialise, read, same_row, text_batches, text_keys
 from .components import components
 from .decontaminate import bitmap_of
 from .textkernels import NON_SPACE, mix, shingle_hashes, span_hashes, texts
@@ -354,6 +354,27 @@ def maybe_chosen(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
     return rows.withColumn("hash", F.xxhash64("t1", "t2")).mapInArrow(run, "doc_id long, t1 long, t2 long, text string")
 
 
+def without_rows(rows: DataFrame, leave: DataFrame) -> DataFrame:
+    """Rows (with ``t1``, ``t2``) that are not in leave(k_doc_id, k_t1, k_t2).
+
+    Only rows that a bitmap of fixed size says may be among them are shuffled to find out; all others stay where they
+    lie, in a second pass.
+    """
+    bitmap = bitmap_of(leave.select(F.xxhash64("k_t1", "k_t2").alias("hash")), BITS)
+    mask, keep = len(bitmap) * 8 - 1, rows.columns
+
+    def part(wanted: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                slot = b.column("leave_hash").to_numpy() & mask
+                hit = ((bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool)
+                yield pa.RecordBatch.from_arrays([b.column(k) for k in keep], names=keep).filter(pa.array(hit == wanted))
+
+        return rows.withColumn("leave_hash", F.xxhash64("t1", "t2")).mapInArrow(run, rows.schema)
+
+    return part(False).unionByName(part(True).join(leave.hint("merge"), same_row(), "left_anti"))
+
+
 def pivots(sets: DataFrame) -> DataFrame:
     """component, pivot: the shingles that more than half of a component's documents (component, m, shingles) hold."""
 
