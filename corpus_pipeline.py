@@ -41,10 +41,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = materialise(near_join.near_rows(docs), "near-classes")
     row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "t1", "t2")
     joined = rows.where("n_links > 0").withColumn("row", row)
-    first = joined.groupBy("class_key").agg(F.min("row").alias("first")).withColumnRenamed("class_key", "f_key")
-    leave = joined.join(first, F.col("class_key") == F.col("f_key")).where("row <> first")
-    leave = materialise(leave.select(*KEY).distinct().toDF(*[f"k_{k}" for k in KEY]), "copies")
-    kept = docs.withColumns(dict(zip(KEY[1:], text_keys()))).join(leave, same_row(), "left_anti")
+    # by row, not by class: a class may hold a third of all rows
+    first = joined.groupBy("class_key").agg(F.min("row").alias("first")).select(*[F.col(f"first.{k}").alias(f"k_{k}") for k in KEY])
+    leave = joined.select(*KEY).distinct().join(first, same_row(), "left_anti")
+    leave = materialise(leave.toDF(*[f"k_{k}" for k in KEY]), "copies")
+    kept = near_join.without_rows(docs.withColumns(dict(zip(KEY[1:], text_keys()))), leave)
     repeated = materialise(rows.groupBy(*KEY).count().where("count > 1").select(*KEY).toDF(*[f"k_{k}" for k in KEY]), "repeated")
     if not repeated.take(1):
         return kept.select(*COLUMNS)
@@ -57,7 +58,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     keyed = docs.select(*COLUMNS).withColumns(dict(zip(KEY[1:], text_keys())))
     found = decontaminate.contaminated(keyed, read(spark, sf_dir, "benchmark"), key=tuple(KEY))
     found = materialise(found.select(*KEY).distinct().toDF(*[f"k_{k}" for k in KEY]), "contaminated")
-    return keyed.join(found, same_row(), "left_anti").select(*COLUMNS)
+    return near_join.without_rows(keyed, found).select(*COLUMNS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
