@@ -100,13 +100,13 @@ class Encoder:
         self.by_piece = bool(byte_level and plain and not shape["normalizer"] and not shape["truncation"] and not shape["padding"])
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.whole = re.compile("|".join(["[\u0250-\U0010ffff]", *map(re.escape, special)]))
+        self.special, self.beyond = special, re.compile("[\u0250-\U0010ffff]")
         self.cut = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
         self.memo = Memo(self.tokenizer.model, self.kind)
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, little-endian, of the type ``kind``."""
-        if not self.by_piece or self.whole.search(text):
+        if not self.by_piece or not text.isascii() and self.beyond.search(text) or any(t in text for t in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
         return b"".join(map(self.memo.__getitem__, self.cut.findall(text)))
 
@@ -125,7 +125,8 @@ def pack(values: np.ndarray, width: int) -> bytes:
     """The low ``width`` bits of each value, lowest bit first."""
     if not width:
         return b""
-    bits = np.unpackbits(values.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
+    size = 2 if width <= 16 else 4
+    bits = np.unpackbits(values.astype(f"<u{size}").view(np.uint8).reshape(-1, size), axis=1, bitorder="little")[:, :width]
     return np.packbits(bits.reshape(-1), bitorder="little").tobytes()
 
 
@@ -133,17 +134,19 @@ def unpack(data: np.ndarray, n: int, width: int) -> np.ndarray:
     if not width:
         return np.zeros(n, np.uint32)
     bits = np.unpackbits(data, count=n * width, bitorder="little").reshape(n, width)
-    full = np.zeros((n, 32), np.uint8)
+    size = 2 if width <= 16 else 4
+    full = np.zeros((n, 8 * size), np.uint8)
     full[:, :width] = bits
-    return np.packbits(full, axis=1, bitorder="little").view("<u4").reshape(n)
+    return np.packbits(full, axis=1, bitorder="little").view(f"<u{size}").reshape(n).astype(np.uint32)
 
 
-def encode_block(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
+def encode_block(ids: np.ndarray, percentile: int = PERCENTILE) -> bytes:
     low = int(ids.min())
     diff = (ids - np.uint32(low)).astype(np.uint32)
-    chosen = int(np.percentile(diff, percentile, method="higher")).bit_length()
+    place = -(-(len(diff) - 1) * percentile // 100)
+    chosen = int(np.partition(diff, place)[place]).bit_length()
     # bytes by width: packed bits plus six for each exception
-    wide = np.bincount(np.ceil(np.log2(diff.astype(np.float64) + 1)).astype(int), minlength=33)
+    wide = np.bincount(np.frexp(diff.astype(np.float64))[1], minlength=33)
     over = np.cumsum(wide[::-1])[::-1]
     cost = {w: (len(ids) * w + 7) // 8 + 6 * int(over[w + 1] if w < 32 else 0) for w in range(chosen, 33)}
     width = min(cost, key=lambda w: (cost[w], w))
