@@ -3,7 +3,8 @@
 A seed is a fixed mask over consecutive words; the words at its zeros are ignored, so a substitution there
 leaves the seed's hash as it is.  Hashes of all seeds of the benchmark and of the documents are joined; every
 hit gives a diagonal (where in the document the item would begin), and along it document and item are
-compared word by word.  Of all stretches of the diagonal of which at least ``MIN_SHARE`` matches, the one with
+compared word by word.  Equal items, and equal stretches of words around hits, are compared once for all their
+copies; results are dealt to the rows afterwards.  Of all stretches of the diagonal of which at least ``MIN_SHARE`` matches, the one with
 most matching words is the overlap; a document is contaminated by an item if these are at least ``MIN_WORDS``
 (for shorter items: all words of the item but one in ten).
 
@@ -184,7 +185,10 @@ def least_words(n_words, min_words: int = MIN_WORDS):
 def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, min_words: int = MIN_WORDS, min_share: float = MIN_SHARE, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``key``, item_id, matched, overlap_words, item_word, doc_word: one row per key and item found."""
     text_batches(docs.sparkSession)
-    items = materialise(item_seeds(benchmark, masks), "items")
+    rows_of_items = materialise(item_seeds(benchmark, masks), "item-rows")
+    # one item for all rows of equal words
+    items = materialise(rows_of_items.groupBy("words").agg(F.min("item_no").alias("item_no"), F.first("n_words").alias("n_words"), F.first("seeds").alias("seeds")), "items")
+    names = rows_of_items.select("item_id", "words").distinct().join(items.select("item_no", "words"), "words").select("item_no", "item_id")
     item_hashes = items.select("item_no", F.explode("seeds").alias("s")).select("item_no", F.col("s.pos").alias("item_pos"), "s.hash")
     facts = items.agg(F.max("n_words"), F.sum(F.size("seeds"))).head()
     reach, n_hashes = int(facts[0] or 0), int(facts[1] or 0)
@@ -199,31 +203,38 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
     rows = rows.where("doc_id is not null") if key == ("doc_id",) else rows
     own = [f"d_{k}" for k in key]
     found = hit_stretches(rows.toDF(*own, "text"), all_masks, bitmap, exact, reach)
-    stretches = materialise(found.withColumn("stretch", F.monotonically_increasing_id()), "stretches")
-
-    hits = stretches.select("stretch", F.explode("hits").alias("h")).select("stretch", F.col("h.pos").alias("pos"), F.col("h.hash").alias("hash"))
-    diagonals = hits.join(item_hashes, "hash").select("stretch", "item_no", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct()
+    same = ["s1", "s2"]
+    hashes = [F.xxhash64("words", "hits"), F.xxhash64(F.lit("second"), "words", "hits")]
+    stretches = materialise(found.withColumns(dict(zip(same, hashes))), "stretches")
+    # one stretch for all copies: partial aggregation drops them before the shuffle
+    single = materialise(stretches.groupBy(*same).agg(F.first("words").alias("words"), F.first("hits").alias("hits")), "single-stretches")
+
+    hits = single.select(*same, F.explode("hits").alias("h")).select(*same, F.col("h.pos").alias("pos"), F.col("h.hash").alias("hash"))
+    diagonals = hits.join(item_hashes, "hash").select(*same, "item_no", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct()
     diagonals = materialise(diagonals, "diagonals")
-    pairs = diagonals.join(stretches.select("stretch", *own, "first", F.col("words").alias("doc_words")), "stretch").join(items.select("item_no", "item_id", "n_words", F.col("words").alias("item_words")), "item_no")
-    keep = [*own, "item_id"]
+    pairs = diagonals.join(single.select(*same, F.col("words").alias("doc_words")), same).join(items.select("item_no", "n_words", F.col("words").alias("item_words")), "item_no")
+    keep = [*same, "item_no"]
     new = ["matched", "overlap_words", "item_word", "doc_word"]
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = [b.column(n).to_pylist() for n in ("diagonal", "first", "n_words")]
+            cols = [b.column(n).to_pylist() for n in ("diagonal", "n_words")]
             of, out = [], []
-            for k, (d, at, n, x, y) in enumerate(zip(*cols, b.column("doc_words"), b.column("item_words"))):
+            for k, (d, n, x, y) in enumerate(zip(*cols, b.column("doc_words"), b.column("item_words"))):
                 m, size, start = overlap(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), d, min_share)
                 if m >= least_words(n, min_words):
                     of.append(k)
-                    out.append((m, size, start, at + start + d))
+                    out.append((m, size, start, start + d))
             own_rows = pa.array(of, pa.int64())
             yield pa.RecordBatch.from_arrays([*(b.column(k).take(own_rows) for k in keep), *(pa.array(c, pa.int64()) for c in (zip(*out) if out else [()] * 4))], names=[*keep, *new])
 
     schema = T.StructType([*(pairs.schema[k] for k in keep), *(T.StructField(n, T.LongType()) for n in new)])
-    found = pairs.select(*keep, "diagonal", "first", "n_words", "doc_words", "item_words").mapInArrow(verify, schema)
+    verified = pairs.select(*keep, "diagonal", "n_words", "doc_words", "item_words").mapInArrow(verify, schema)
+    # the overlaps of a stretch with an item, then of a row with an item: most matches, longest, first in the document
     best = F.max(F.struct("matched", "overlap_words", (-F.col("doc_word")).alias("o"), "item_word", "doc_word")).alias("x")
-    return found.groupBy(*keep).agg(best).select(*[F.col(o).alias(k) for o, k in zip(own, key)], "item_id", *[f"x.{n}" for n in new])
+    verified = materialise(verified.groupBy(*keep).agg(best).select(*keep, "x.*"), "overlaps")
+    found = verified.join(names, "item_no").join(stretches.select(*same, *own, "first"), same).withColumn("doc_word", F.col("doc_word") + F.col("first"))
+    return found.groupBy(*own, "item_id").agg(best).select(*[F.col(o).alias(k) for o, k in zip(own, key)], "item_id", *[f"x.{n}" for n in new])
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
