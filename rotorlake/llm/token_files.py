@@ -44,8 +44,8 @@ BLOCK = 4096
 PERCENTILE = 90
 END_ID = 2
 NULL_ID = -(1 << 63)
-#: Pieces of text whose ids a worker remembers in each of two generations.
-MEMO = 200_000
+#: Pieces of text whose ids a worker remembers in each of two generations (about 80 MB each when full).
+MEMO = 400_000
 #: Bytes of text that are tokenised at a time.
 STEP = 4 << 20
 #: Text in a file, and the most files.
@@ -65,6 +65,7 @@ class Memo(dict):
         rest = [b for b in range(256) if b not in set(printable)]
         # byte-level vocabularies write each byte as one visible character
         self.visible = {b: b for b in printable} | {b: 256 + i for i, b in enumerate(rest)}
+        self.visible_space = chr(self.visible[32])
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= MEMO:
@@ -72,7 +73,8 @@ class Memo(dict):
             self.clear()
         ids = self.old.get(piece)
         if ids is None:
-            found = self.model.tokenize(piece.encode().decode("latin-1").translate(self.visible))
+            plain = piece.isascii() and piece.isprintable()
+            found = self.model.tokenize(piece.replace(" ", self.visible_space) if plain else piece.encode().decode("latin-1").translate(self.visible))
             ids = np.array([t.id for t in found], self.kind).tobytes()
         self[piece] = ids
         return ids
