@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, mixing, near_join, quality, secrets_scan, token_files, toxicity, url_filter, warc
+from . import decontaminate, license_scan, line_dedup, mixing, near_join, quality, secrets_scan, token_files, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_secret_scan": secrets_scan.op8_secret_scan,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_near_join": near_join.op10_near_join,
+    "op12_line_dedup": line_dedup.op12_line_dedup,
 }
 
 ORACLES = {
@@ -22,4 +23,5 @@ ORACLES = {
     "op4_mixing": mixing.OP4_SQL,
     "op5_warc": warc.OP5_SQL,
     "op9_url_filter": url_filter.OP9_SQL,
+    "op12_line_dedup": line_dedup.OP12_SQL,
 }
