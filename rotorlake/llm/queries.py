@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, line_dedup, mixing, near_join, quality, secrets_scan, token_files, toxicity, url_filter, warc
+from . import decontaminate, hard_negatives, license_scan, line_dedup, mixing, near_join, quality, secrets_scan, token_files, toxicity, url_filter, warc, whitening
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,7 +15,9 @@ QUERIES = {
     "op8_secret_scan": secrets_scan.op8_secret_scan,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_near_join": near_join.op10_near_join,
+    "op11_whitening": whitening.op11_whitening,
     "op12_line_dedup": line_dedup.op12_line_dedup,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
 ORACLES = {
@@ -24,4 +26,5 @@ ORACLES = {
     "op5_warc": warc.OP5_SQL,
     "op9_url_filter": url_filter.OP9_SQL,
     "op12_line_dedup": line_dedup.OP12_SQL,
+    "op13_hard_negatives": hard_negatives.OP13_SQL,
 }

@@ -97,7 +97,7 @@ def test_runs_merge_by_level_and_open_again(spark):
 
 def test_a_run_joins_without_moving_it(spark):
     runs = ld.LineRuns(spark)
-    lines = spark.range(2000).select((F.col("id") % 700).alias("h1"), F.lit(1).cast("long").alias("h2"), F.col("id").alias("doc_id"))
+    lines = spark.range(2000).select((F.col("id") % 700).alias("h1"), (F.col("id") % 7).alias("h2"), F.col("id").alias("doc_id"))
     runs.add(lines)
     plan = runs.unsettled(lines)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
