@@ -15,13 +15,16 @@ def anomaly_split(clips: DataFrame, seed: int = 1337) -> DataFrame:
     more normals than abnormals has no train clip and is refused by ``split_guard``.  The draw works on paths and
     keys alone; vectors meet its result in one join.  Abnormal counts are an aggregation, combined before the shuffle.
     """
-    drawn = clips.select(*KEYS, "label", "path").distinct()
-    abnormal = drawn.where("label = 'abnormal'").groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_abnormal"))
+    drawn = clips.select(*KEYS, "path", (F.col("label") == "abnormal").alias("_bad")).distinct()
+    abnormal = drawn.where("_bad").groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_abnormal"))
     rank = F.row_number().over(W.partitionBy(*KEYS).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "path")), "path"))
-    normal = drawn.where("label <> 'abnormal'").withColumn("_rank", rank).join(abnormal, KEYS, "left").where("_rank > coalesce(_abnormal, 0)").select(F.col("path").alias("_path"), F.lit("train").alias("_side"))
+    normal = drawn.where("not _bad").withColumn("_rank", rank).join(abnormal, KEYS, "left").where("_rank > coalesce(_abnormal, 0)")
+    normal = normal.select(*[F.col(c).alias(f"_{c}") for c in [*KEYS, "path"]], F.lit("train").alias("_side"))
     side = F.when(F.col("label") == "abnormal", "test_abnormal").otherwise(F.coalesce("_side", F.lit("test_normal")))
-    rows = clips.join(normal, (F.col("path") == F.col("_path")) & (F.col("label") != "abnormal"), "left")
-    return rows.withColumn("split", side).drop("_path", "_side")
+    # paths are told apart by their machine: ids of different machines may use the same names
+    same = [F.col(c) == F.col(f"_{c}") for c in [*KEYS, "path"]]
+    rows = clips.join(normal, [*same, F.col("label") != "abnormal"], "left")
+    return rows.withColumn("split", side).drop(*[f"_{c}" for c in [*KEYS, "path"]], "_side")
 
 
 def split_guard(split: DataFrame) -> DataFrame:

@@ -86,3 +86,13 @@ def test_percentile(spark):
     empty = spark.createDataFrame([(1, [])], "stream_id long, calib array<double>")
     with pytest.raises(Exception, match="empty calibration"):
         baseline.calib_percentile(rows, empty).collect()
+
+
+def test_one_path_under_two_ids_is_split_by_id(spark):
+    rows = [(m, i, label, f"{label}/{k:03d}.wav", 100 * j + k) for j, (m, i) in enumerate([("fan", "id_00"), ("pump", "id_00"), ("fan", "id_02")]) for label, ks in (("abnormal", range(3 + j)), ("normal", range(10, 30))) for k in ks]
+    clips = spark.createDataFrame(rows, "machine string, machine_id string, label string, path string, vec_id long")
+    got = splits.anomaly_split(clips).collect()
+    assert len(got) == len(rows) and {r.vec_id for r in got} == {r[4] for r in rows}
+    for j, (m, i) in enumerate([("fan", "id_00"), ("pump", "id_00"), ("fan", "id_02")]):
+        sides = [r.split for r in got if (r.machine, r.machine_id) == (m, i)]
+        assert (sides.count("test_abnormal"), sides.count("test_normal"), sides.count("train")) == (3 + j, 3 + j, 17 - j)
