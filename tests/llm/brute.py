@@ -81,13 +81,8 @@ def contaminated(docs, items, least=13, share=0.8):
             need = least if len(item) >= least else max(1, -(-len(item) * 9 // 10))
             if n < need:
                 continue
-            best, score, run, hits, size = (0, 0, 0), 0, 0, 0, 0
-            for p in range(max(0, -g), min(len(item), len(w) - g)):
-                same = w[p + g] == item[p]
-                score, hits, size = score + (1 if same else -2), hits + same, size + 1
-                if score <= 0:
-                    score = hits = size = 0
-                best = max(best, (score, hits, -size))
-            if best[1] >= need and best[1] >= share * -best[2]:
+            # every stretch that begins and ends at a match
+            at = [p for p in range(max(0, -g), min(len(item), len(w) - g)) if w[p + g] == item[p]]
+            if any(k + 1 >= need and k + 1 >= share * (z - p + 1) - 1e-9 for a, p in enumerate(at) for k, z in enumerate(at[a:])):
                 out.add((d, i))
     return out
