@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cosine_distance, unit
+from . import moments
 
 KEYS = ["machine", "machine_id"]
 
@@ -103,71 +104,52 @@ def mahalanobis(train: np.ndarray, test: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(squared, 0))
 
 
-def moments(train: DataFrame) -> DataFrame:
-    """keys, n, mean, place (i * p + j), s (sum of centred products), q4 (sum of squared squared norms) of vectors.
-
-    Means first, then centred products, both as partial sums of each batch: a row per id and batch leaves a task
-    and Spark adds them up, so an id may have any number of rows.
-    """
-    place = train.select(*KEYS, F.posexplode("v").alias("i", "x")).groupBy(*KEYS, "i").agg(F.avg("x").alias("m"), F.count(F.lit(1)).alias("n"))
-    mean = place.groupBy(*KEYS).agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("i", "m"))).alias("im")).select(*KEYS, "n", F.col("im.m").alias("mean"))
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for key, g in pdf.groupby(KEYS, sort=False):
-                c = np.vstack(g["v"].to_numpy()) - g["mean"].iloc[0]
-                yield pd.DataFrame({"machine": [key[0]], "machine_id": [key[1]], "s": [(c.T @ c).reshape(-1)], "q4": [float(((c**2).sum(axis=1) ** 2).sum())]})
-
-    parts = train.join(mean, KEYS).select(*KEYS, "v", "mean").mapInPandas(partial, "machine string, machine_id string, s array<double>, q4 double")
-    q4 = parts.groupBy(*KEYS).agg(F.sum("q4").alias("q4"))
-    s = parts.select(*KEYS, F.posexplode("s").alias("place", "s")).groupBy(*KEYS, "place").agg(F.sum("s").alias("s"))
-    return s.join(q4, KEYS).join(mean, KEYS)
-
-
-def shrunk(train: DataFrame) -> DataFrame:
-    """keys, n, mean, s (array), mu and shrinkage of each id's train vectors, from moments of any number of rows."""
-    p = F.size("mean")
-    own = F.when(F.col("place") % (p + 1) == 0, F.col("s"))
-    g = moments(train).groupBy(*KEYS).agg(F.first("n").alias("n"), F.first("mean").alias("mean"), F.sum(own).alias("tr"), F.first("q4").alias("q4"), F.sum(F.col("s") * F.col("s")).alias("ff"), F.array_sort(F.collect_list(F.struct("place", "s"))).alias("ps"))
-    # the sum of squares of the Gram matrix is that of the p x p products
-    g = g.withColumn("p", p).withColumn("mu", F.expr("tr / n / p")).withColumn("dd", F.expr("ff / n / n"))
-    g = g.withColumn("delta", F.expr("(dd - 2 * mu * tr / n + p * mu * mu) / p")).withColumn("beta", F.least(F.expr("(q4 / n - dd) / (p * n)"), F.col("delta")))
-    return g.select(*KEYS, "n", "mean", F.col("ps.s").alias("s"), "mu", F.when(F.col("beta") == 0, 0.0).otherwise(F.col("beta") / F.col("delta")).alias("shrinkage"))
-
-
 def mahalanobis_scores(split: DataFrame, block: int = 4096, strict: bool = False) -> DataFrame:
-    """The covariance scorer per id: one small model each, joined to blocks of its test rows.
+    """The covariance scorer per id: its moments, merged by blocks, meet blocks of its test rows.
 
     Ids with fewer than two train rows have no covariance: their test rows are left out, or an error if ``strict``.
     """
-    model = shrunk(split.where("split = 'train'"))
     test = split.where("split <> 'train'").select("vec_id", *KEYS, (F.col("split") == "test_abnormal").cast("int").alias("y"), "v")
     blocks = test.groupBy(*KEYS).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    known = blocks.join(model, KEYS, "left")
+    known = blocks.join(moments.moments(split.where("split = 'train'"), KEYS), KEYS, "left")
     if strict:
         known = known.withColumn("n", F.when(F.coalesce("n", F.lit(0)) < 2, F.raise_error(F.lit("a covariance needs two train rows or more"))).otherwise(F.col("n")))
-    spread = known.where("n >= 2").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*KEYS, "block", "n", "mean", "s", "mu", "shrinkage")
-    rows = test.join(blocks, KEYS).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
+    spread = known.where("n >= 2").withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*KEYS, "qb", "block", "sums")
+    rows = test.join(blocks, KEYS).withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
 
     def work(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
         if q.empty or m.empty:
             return pd.DataFrame({"vec_id": np.zeros(0, np.int64), "machine": np.zeros(0, object), "machine_id": np.zeros(0, object), "y": np.zeros(0, np.int32), "score": np.zeros(0)})
-        m = m.iloc[0]
-        p = len(m["mean"])
-        a = m["shrinkage"] * m["mu"]
-        cov = (1 - m["shrinkage"]) / m["n"] * np.asarray(m["s"]).reshape(p, p) + a * np.eye(p)
-        z = np.vstack(q["v"].to_numpy()) - m["mean"]
-        solved = np.linalg.solve(cov, z.T) if a > 0 else np.linalg.lstsq(cov, z.T, rcond=None)[0]
+        model = moments.assembled(m["sums"])
+        s, mu = model.shrinkage()
+        cov = (1 - s) / model.n * model.products + s * mu * np.eye(len(model.mean))
+        z = np.vstack(q["v"].to_numpy()) - model.mean
+        solved = np.linalg.solve(cov, z.T) if s * mu > 0 else np.linalg.lstsq(cov, z.T, rcond=None)[0]
         return pd.DataFrame({"vec_id": q["vec_id"], "machine": q["machine"], "machine_id": q["machine_id"], "y": q["y"], "score": np.sqrt(np.maximum((z * solved.T).sum(axis=1), 0))})
 
-    by = [*KEYS, "block"]
+    by = [*KEYS, "qb"]
     spread = spread.select(*[F.col(c).alias(c) for c in spread.columns])
     return rows.groupBy(*by).cogroup(spread.groupBy(*by)).applyInPandas(work, "vec_id long, machine string, machine_id string, y int, score double")
 
 
 def lw_shrinkage(train: DataFrame) -> DataFrame:
     """keys, n, shrinkage of each id's train vectors."""
-    return shrunk(train).select(*KEYS, "n", F.round("shrinkage", 6).alias("shrinkage"))
+
+    def work(m: pd.DataFrame) -> pd.DataFrame:
+        model = moments.assembled(m["sums"])
+        return pd.DataFrame({**{k: [m[k].iloc[0]] for k in KEYS}, "n": [model.n], "shrinkage": [round(model.shrinkage()[0], 6)]})
+
+    return moments.moments(train, KEYS).groupBy(*KEYS).applyInPandas(work, "machine string, machine_id string, n long, shrinkage double")
+
+
+def moment_figures(train: DataFrame) -> DataFrame:
+    """keys, n, trace, fourth, spread: what the shrinkage is made of, for each id."""
+
+    def work(m: pd.DataFrame) -> pd.DataFrame:
+        model = moments.assembled(m["sums"])
+        return pd.DataFrame({**{k: [m[k].iloc[0]] for k in KEYS}, "n": [model.n], "trace": [round(float(np.trace(model.products)), 6)], "fourth": [round(model.fourth, 6)], "spread": [round(float((model.products**2).sum()), 4)]})
+
+    return moments.moments(train, KEYS).groupBy(*KEYS).applyInPandas(work, "machine string, machine_id string, n long, trace double, fourth double, spread double")
 
 
 #: Named scorers that run side by side; each maps split clips to (vec_id, machine, machine_id, y, score).

@@ -13,12 +13,12 @@ def anomaly_split(clips: DataFrame, seed: int = 1337) -> DataFrame:
 
     Normals are drawn by md5 of seed and path, so neither input order nor partitioning matters.  An id without
     more normals than abnormals has no train clip and is refused by ``split_guard``.  The draw works on paths and
-    keys alone; vectors meet its result in one join.  Abnormal counts are an aggregation, combined before the shuffle.
+    keys alone, in one shuffle by id; vectors meet its result in one join.
     """
     drawn = clips.select(*KEYS, "path", (F.col("label") == "abnormal").alias("_bad")).distinct()
-    abnormal = drawn.where("_bad").groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_abnormal"))
-    rank = F.row_number().over(W.partitionBy(*KEYS).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "path")), "path"))
-    normal = drawn.where("not _bad").withColumn("_rank", rank).join(abnormal, KEYS, "left").where("_rank > coalesce(_abnormal, 0)")
+    rank = F.row_number().over(W.partitionBy(*KEYS, "_bad").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "path")), "path"))
+    drawn = drawn.withColumns({"_rank": rank, "_abnormal": F.count_if("_bad").over(W.partitionBy(*KEYS))})
+    normal = drawn.where("not _bad and _rank > _abnormal")
     normal = normal.select(*[F.col(c).alias(f"_{c}") for c in [*KEYS, "path"]], F.lit("train").alias("_side"))
     side = F.when(F.col("label") == "abnormal", "test_abnormal").otherwise(F.coalesce("_side", F.lit("test_normal")))
     # paths are told apart by their machine: ids of different machines may use the same names

@@ -167,6 +167,17 @@ def lw_shrinkage(spark, d):
     return scoring.lw_shrinkage(split_of(spark, d).where("split = 'train'"))
 
 
+@query(sql("""SELECT machine, machine_id, any_value(n) AS n, any_value(round(trace, 6)) AS trace, any_value(round(fourth, 6)) AS fourth, round(sum(s * s), 4) AS spread FROM (
+  SELECT machine, machine_id, i, j, sum(y[i] * y[j]) AS s, count(*) AS n, sum(q) AS fourth, (SELECT sum(list_inner_product(z.y, z.y)) FROM c z WHERE z.machine = c.machine AND z.machine_id = c.machine_id) AS trace
+  FROM c, range(1, 65) AS a(i), range(1, 65) AS b(j) GROUP BY machine, machine_id, i, j) GROUP BY machine, machine_id""", SPLIT,
+  """t AS (SELECT machine, machine_id, vec_id, v FROM split WHERE split = 'train'),
+m AS (SELECT machine, machine_id, list(x ORDER BY i) AS mean FROM (SELECT machine, machine_id, i, avg(v[i]) AS x FROM t, range(1, 65) AS r(i) GROUP BY machine, machine_id, i) GROUP BY machine, machine_id),
+c AS (SELECT machine, machine_id, y, list_inner_product(y, y) ** 2 AS q FROM (SELECT machine, machine_id, list_transform(v, lambda x, i: x - mean[i]) AS y FROM t JOIN m USING (machine, machine_id)))"""))
+def train_moments(spark, d):
+    """Trace, sum of fourth powers and squared norm of the centred products of each id's train vectors."""
+    return scoring.moment_figures(split_of(spark, d).where("split = 'train'"))
+
+
 # levels, PCM, resampling over the vectors as short signals
 
 @query(sql("SELECT vec_id, round(list_max(list_transform(v, lambda x: abs(x))), 6) AS peak, round(sqrt(list_dot_product(v, v) / len(v)), 6) AS rms, list_max(list_transform(v, lambda x: abs(x))) >= 0.4 AS clipped FROM clips"))
