@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from .scan import running_sums
+
 HOLD_EVERY, LEAST_WINDOWS = 5, 10
 
 
@@ -32,11 +34,12 @@ def calib_percentile(rows: DataFrame, calib: DataFrame, key: str = "stream_id",
 
 
 def percentile_by_rank(rows: DataFrame, calib_rows: DataFrame, key: str, score: str) -> DataFrame:
-    """The same percentile for large calibration sets: one sort of both sides and a running count."""
-    both = rows.withColumn("_c", F.lit(0)).unionByName(calib_rows.select(key, score).withColumn("_c", F.lit(1)), allowMissingColumns=True)
-    running = F.sum("_c").over(W.partitionBy(key).orderBy(F.col(score).asc(), F.desc("_c")).rowsBetween(W.unboundedPreceding, W.currentRow))
-    total = F.sum("_c").over(W.partitionBy(key))
-    return both.withColumn("percentile", 100.0 * running / total).where("_c = 0").drop("_c")
+    """The same percentile for large calibration sets: both sides dealt by range of score, and a running count over slices."""
+    tie = F.xxhash64(*[c for c in rows.columns if c not in (key, score)])
+    both = rows.withColumns({"_c": F.lit(0), "_tie": tie}).unionByName(calib_rows.select(key, score).withColumns({"_c": F.lit(1), "_tie": F.lit(0).cast("long")}), allowMissingColumns=True)
+    # calibration scores stand before equal ones
+    counted = running_sums(both.withColumn("_after", 1 - F.col("_c")), [key], [score, "_after", "_tie"], ["_c"])
+    return counted.where("_c = 0").withColumn("percentile", 100.0 * F.col("below__c") / F.col("all__c")).drop("_c", "_tie", "_after", "below__c", "all__c")
 
 
 def mean_vector(rows: DataFrame, keys: list[str], vector: str = "v") -> DataFrame:

@@ -27,6 +27,11 @@ def query(oracle: str | None):
     return add
 
 
+def rounded(df: DataFrame, **places: int) -> DataFrame:
+    """Columns rounded for comparing with SQL; operators give full precision."""
+    return df.withColumns({c: F.round(c, n) for c, n in places.items()})
+
+
 def split_of(spark: SparkSession, d: str) -> DataFrame:
     return splits.anomaly_split(clips(spark, d))
 
@@ -80,12 +85,16 @@ pauc AS (SELECT machine, machine_id, round(0.5 * (1 + (sum((xe - x0) * (y0 + ye)
 
 @query(sql("SELECT * FROM auc", SPLIT, SCORES, AUC))
 def auc_by_machine(spark, d):
-    return metrics.auc(scores_of(spark, d))
+    return rounded(metrics.auc(scores_of(spark, d)), auc=9)
 
 
 @query(sql("SELECT * FROM pauc", SPLIT, SCORES, PAUC))
 def pauc_by_machine(spark, d):
-    return metrics.pauc(scores_of(spark, d))
+    return rounded(metrics.pauc(scores_of(spark, d)), pauc=9)
+
+
+def averages_of(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(metrics.type_averages(rounded(metrics.metrics(scores_of(spark, d)), auc=9, pauc=9)), auc=6, pauc=6)
 
 
 AVERAGES = "av AS (SELECT machine, count(*) AS n_ids, round(avg(auc), 6) AS auc, round(avg(pauc), 6) AS pauc FROM auc JOIN pauc USING (machine, machine_id) GROUP BY machine)"
@@ -93,12 +102,12 @@ AVERAGES = "av AS (SELECT machine, count(*) AS n_ids, round(avg(auc), 6) AS auc,
 
 @query(sql("SELECT * FROM av", SPLIT, SCORES, AUC, PAUC, AVERAGES))
 def type_averages(spark, d):
-    return metrics.type_averages(metrics.metrics(scores_of(spark, d)))
+    return averages_of(spark, d)
 
 
 @query(sql("SELECT machine, auc, auc BETWEEN 0.55 AND 0.98 AS sane, round(auc - CASE machine WHEN 'fan' THEN 0.658::DOUBLE ELSE 0.729::DOUBLE END, 6) AS delta FROM av", SPLIT, SCORES, AUC, PAUC, AVERAGES))
 def sanity_gate(spark, d):
-    return metrics.sanity_gate(metrics.type_averages(metrics.metrics(scores_of(spark, d))), PUBLISHED)
+    return rounded(metrics.sanity_gate(averages_of(spark, d), PUBLISHED), delta=6)
 
 
 @query(sql("SELECT m AS metric, (SELECT count(*) FROM auc) AS compared, 0::BIGINT AS differing FROM (VALUES ('auc'), ('pauc')) AS x(m)", SPLIT, SCORES, AUC))
@@ -249,7 +258,7 @@ RESULTS = """res AS (SELECT c.condition, machine, s.scorer, round(0.5 + (auc - 0
 
 
 def results_of(spark, d) -> DataFrame:
-    av = metrics.auc(scores_of(spark, d)).groupBy("machine").agg(F.round(F.avg("auc"), 6).alias("a"))
+    av = rounded(metrics.auc(scores_of(spark, d)), auc=9).groupBy("machine").agg(F.round(F.avg("auc"), 6).alias("a"))
     pair = lambda *x: F.struct(F.lit(x[0]).alias("n"), F.lit(x[1]).alias("f"))
     rows = av.withColumn("c", F.explode(F.array(pair("clean", 1.0), pair("noise_5", 0.9), pair("noise_0", 0.7)))).withColumn("s", F.explode(F.array(pair("knn", 1.0), pair("mahalanobis", 0.95))))
     return rows.select(F.col("c.n").alias("condition"), "machine", F.col("s.n").alias("scorer"), F.round(0.5 + (F.col("a") - 0.5) * F.col("c.f") * F.col("s.f"), 6).alias("auc"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import baseline, events, ingest, sequence
+from ..operators import baseline, events, ingest, scan, sequence
 from .views import clips, frames, read, sidecars, sql
 
 Q: dict = {}
@@ -52,6 +52,11 @@ def alert_states(spark, d):
     return states_of(spark, d)
 
 
+@query(sql("SELECT stream_id, seq, t, state FROM fold", RANKED, POLICY, recursive=True))
+def alerts_in_slices(spark, d):
+    return scan.fold_in_slices(ranked(spark, d), "stream_id", ["seq", "t"], scan.Alerts(n=N, enter=ENTER, leave=LEAVE, cooldown=COOLDOWN))
+
+
 @query(sql("SELECT stream_id, seq, t, state FROM (SELECT *, lag(state) OVER (PARTITION BY stream_id ORDER BY seq) AS p FROM fold) WHERE p IS DISTINCT FROM state", RANKED, POLICY, recursive=True))
 def state_changes(spark, d):
     return sequence.state_changes(states_of(spark, d)).drop("previous")
@@ -70,11 +75,22 @@ def ema_scores(spark, d):
     return sequence.ema_scores(frames(spark, d)).withColumn("ema", F.round("ema", 6))
 
 
+@query(sql("SELECT stream_id, seq, round(ema, 6) AS ema FROM e", "fr AS MATERIALIZED (SELECT stream_id, seq, raw FROM frames)",
+           "e AS (SELECT stream_id, seq, raw AS ema FROM fr WHERE seq = 0 UNION ALL SELECT f.stream_id, f.seq, 0.3::DOUBLE * f.raw + 0.7::DOUBLE * e.ema FROM e JOIN fr f ON f.stream_id = e.stream_id AND f.seq = e.seq + 1)", recursive=True))
+def ema_in_slices(spark, d):
+    return scan.fold_in_slices(frames(spark, d), "stream_id", ["seq"], scan.Smooth()).withColumn("ema", F.round("ema", 6))
+
+
 @query(sql("SELECT stream_id, seq, (sum((percentile >= 30)::INT) OVER (PARTITION BY stream_id, island ORDER BY seq ROWS UNBOUNDED PRECEDING))::BIGINT AS streak FROM (SELECT *, sum((percentile < 30)::INT) OVER (PARTITION BY stream_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS island FROM ranked)", RANKED))
 def hot_streaks(spark, d):
     return sequence.hot_streaks(ranked(spark, d), ENTER)
 
 
+@query(sql("SELECT stream_id, seq, (sum((percentile >= 30)::INT) OVER (PARTITION BY stream_id, island ORDER BY seq ROWS UNBOUNDED PRECEDING))::BIGINT AS streak FROM (SELECT *, sum((percentile < 30)::INT) OVER (PARTITION BY stream_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS island FROM ranked)", RANKED))
+def streaks_in_slices(spark, d):
+    return scan.fold_in_slices(ranked(spark, d), "stream_id", ["seq"], scan.Streak(ENTER))
+
+
 @query(sql("SELECT stream_id, seq, t, line FROM k WHERE shown",
            "cards AS MATERIALIZED (SELECT stream_id, seq, seq * 0.7::DOUBLE AS t, kind AS line FROM frames)",
            """k AS (SELECT stream_id, seq, t, line, true AS shown, t AS at, line AS card FROM cards WHERE seq = 0
