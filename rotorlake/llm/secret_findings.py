@@ -22,6 +22,12 @@ ALNUM, MARKS = LOW + UP + DIGITS, "!@#$%^&*-_+.?"
 
 NAMES = ["password", "passwd", "pass", "db_password", "token", "auth_token", "access_token", "secret", "client_secret", "api_key", "apikey", "api-key", "API_KEY", "SECRET_KEY", "AWS_SECRET_ACCESS_KEY", "credential", "Password", "TOKEN", "app.secret", "smtp_pass", "pwd", "private_token"]
 ENGLISH = ["the", "server", "then", "file", "with", "and", "for", "old", "new", "deploy", "build", "run", "user", "this", "line", "note", "after", "from", "value", "set"]
+#: Frequent words of three more languages, as they stand around values in prose.
+OTHERS = {
+    "de": ["der", "die", "das", "und", "ist", "nicht", "mit", "von", "auf", "für", "ein", "eine", "zu", "den", "dem", "sich", "wird", "auch", "nach", "wie", "über", "nur", "oder", "aber"],
+    "fr": ["le", "la", "les", "des", "et", "est", "une", "dans", "que", "pour", "qui", "sur", "pas", "plus", "avec", "par", "ce", "il", "sont", "mais", "nous", "comme", "où", "être"],
+    "es": ["el", "los", "las", "y", "es", "una", "en", "que", "para", "con", "por", "no", "del", "se", "su", "como", "más", "pero", "este", "ya", "todo", "sin", "sobre", "está"],
+}
 CONFIG_PATHS = ["config/settings.py", "deploy/.env", "app/application.yml", "scripts/run.sh", "infra/main.tf", "terminal.log", "notes/setup.md", "src/client.js", "wiki", "web", "mail"]
 LIST_PATHS = ["package-lock.json", "checksums.txt", "fixtures/data.json", "notebook.ipynb", "docs/readme.md", "tests/test_client.py", "CHANGELOG.md", "web", "wiki", "mail", "src/main.java"]
 
@@ -35,7 +41,8 @@ def word(r: random.Random) -> str:
 
 
 def prose(r: random.Random, n: int) -> str:
-    return " ".join(r.choice(ENGLISH) if r.random() < 0.4 else word(r) for _ in range(n))
+    known = r.choice([ENGLISH, ENGLISH, *OTHERS.values()])
+    return " ".join(r.choice(known) if r.random() < 0.4 else word(r) for _ in range(n))
 
 
 def password(r: random.Random) -> str:
