@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import band_phrase, cosine_distance, peak_label, summary, unit
+from ..functions.scalars import band_phrase, peak_label, summary
+from .neighbours import Neighbours
 
 
 def top_band_deltas(spectra: DataFrame, baseline: DataFrame, keys: list[str], edges: list[float], top: int = 3) -> DataFrame:
@@ -34,11 +35,8 @@ def local_peaks(vectors: DataFrame, step_hz: float) -> DataFrame:
 
 def nearest_baseline(windows: DataFrame, train: DataFrame, keys: list[str], k: int = 3) -> DataFrame:
     """vec_id, times of the k nearest healthy windows of the same keys, nearest first; ties by time."""
-    t = train.select(*keys, F.col("t").alias("b_t"), unit(F.col("v")).alias("b"))
-    d = F.round(cosine_distance(F.col("u"), F.col("b")), 9)
-    pairs = windows.select("vec_id", *keys, unit(F.col("v")).alias("u")).join(t, keys).select("vec_id", "b_t", d.alias("d"))
-    near = pairs.withColumn("rn", F.row_number().over(W.partitionBy("vec_id").orderBy("d", "b_t"))).where(F.col("rn") <= k)
-    return near.groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("rn", "b_t"))).alias("x")).select("vec_id", F.col("x.b_t").alias("times"))
+    near = Neighbours(train, keys, "t").search(windows, "vec_id", k)
+    return near.select("vec_id", F.transform("near", lambda x: x["t_id"]).alias("times"))
 
 
 def text(bands: DataFrame, peaks: DataFrame) -> DataFrame:

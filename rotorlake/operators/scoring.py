@@ -6,27 +6,29 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import cosine_distance, unit
 from . import moments
+from .neighbours import Neighbours
 
 KEYS = ["machine", "machine_id"]
 
 
-def knn_scores(split: DataFrame, k: int = 2) -> DataFrame:
+def knn_scores(split: DataFrame, k: int = 2, strict: bool = False) -> DataFrame:
     """vec_id, keys, y, score: mean cosine distance to the k nearest train clips of the same id.
 
-    All in the JVM: an equi-join on the id, and a rank limit that Spark pushes below the shuffle.  It makes a
-    row per pair; ``knn_scores_blocked`` is for ids with long histories.  Test rows of ids without train rows are
-    left out, and ids with fewer than k average what they have; ``few_train_rows`` names both.
+    Blocks of train rows that the triangle inequality rules out are not compared (``neighbours``); ``knn_scores_blocked``
+    compares all.  Test rows of ids without train rows are left out and ids with fewer than k average what they have, or
+    are an error if ``strict``; ``few_train_rows`` names them.
     """
-    u = split.withColumn("u", unit(F.col("v")))
-    train = u.where("split = 'train'").select(*KEYS, F.col("vec_id").alias("t_id"), F.col("u").alias("t"))
-    pairs = u.where("split <> 'train'").join(train, KEYS).select("vec_id", *KEYS, "split", "t_id", cosine_distance(F.col("u"), F.col("t")).alias("d"))
-    near = pairs.withColumn("rn", F.row_number().over(W.partitionBy("vec_id").orderBy("d", "t_id"))).where(F.col("rn") <= k)
-    return near.groupBy("vec_id", *KEYS, "split").agg(F.round(F.avg("d"), 9).alias("score")).select("vec_id", *KEYS, (F.col("split") == "test_abnormal").cast("int").alias("y"), "score")
+    if strict and (few := few_train_rows(split, k).first()):
+        raise ValueError(f"{few.machine} {few.machine_id} has {few.n_train} train rows, {k} are needed")
+    test = split.where("split <> 'train'")
+    near = Neighbours(split.where("split = 'train'"), KEYS, "vec_id").search(test, "vec_id", k)
+    score = F.aggregate("near", F.lit(0.0), lambda a, x: a + x["d"]) / F.size("near")
+    scored = near.select("vec_id", *KEYS, score.alias("score"))
+    return scored.join(test.select("vec_id", *KEYS, (F.col("split") == "test_abnormal").cast("int").alias("y")), ["vec_id", *KEYS]).select("vec_id", *KEYS, "y", "score")
 
 
 def few_train_rows(split: DataFrame, k: int) -> DataFrame:
@@ -69,7 +71,7 @@ def knn_scores_blocked(split: DataFrame, k: int = 2, block: int = 2048) -> DataF
     train = train.select(*[F.col(c).alias(c) for c in train.columns])
     near = test.groupBy(*by).cogroup(train.groupBy(*by)).applyInPandas(work, "vec_id long, machine string, machine_id string, y int, d array<double>")
     best = near.groupBy("vec_id", *KEYS, "y").agg(F.slice(F.array_sort(F.flatten(F.collect_list("d"))), 1, k).alias("d"))
-    return best.select("vec_id", *KEYS, "y", F.round(F.aggregate("d", F.lit(0.0), lambda a, x: a + x) / F.size("d"), 9).alias("score"))
+    return best.select("vec_id", *KEYS, "y", (F.aggregate("d", F.lit(0.0), lambda a, x: a + x) / F.size("d")).alias("score"))
 
 
 def shrinkage(x: np.ndarray) -> tuple[float, float]:

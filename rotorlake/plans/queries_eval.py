@@ -37,7 +37,7 @@ def split_of(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scores_of(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.knn_scores_blocked(split_of(spark, d))
+    return rounded(scoring.knn_scores_blocked(split_of(spark, d)), score=9)
 
 
 @query(sql("SELECT vec_id, machine, machine_id, split, (dense_rank() OVER (ORDER BY machine, machine_id) - 1)::BIGINT AS id_offset FROM split", SPLIT))
@@ -60,12 +60,12 @@ def split_audit(spark, d):
 
 @query(sql("SELECT vec_id, machine, machine_id, y, score FROM scores", SPLIT, SCORES))
 def knn_scores(spark, d):
-    return scoring.knn_scores(split_of(spark, d))
+    return rounded(scoring.knn_scores(split_of(spark, d)), score=9)
 
 
 @query(sql("SELECT vec_id, machine, machine_id, y, score FROM scores", SPLIT, SCORES))
 def knn_scores_blocked(spark, d):
-    return scoring.knn_scores_blocked(split_of(spark, d), block=256)
+    return rounded(scoring.knn_scores_blocked(split_of(spark, d), block=256), score=9)
 
 
 @query(None)
@@ -113,7 +113,7 @@ def sanity_gate(spark, d):
 @query(sql("SELECT m AS metric, (SELECT count(*) FROM auc) AS compared, 0::BIGINT AS differing FROM (VALUES ('auc'), ('pauc')) AS x(m)", SPLIT, SCORES, AUC))
 def determinism_check(spark, d):
     again = splits.anomaly_split(clips(spark, d).repartition(7, "v"))
-    return metrics.determinism(metrics.metrics(scores_of(spark, d)), metrics.metrics(scoring.knn_scores_blocked(again)), KEYS, ["auc", "pauc"])
+    return metrics.determinism(metrics.metrics(scores_of(spark, d)), metrics.metrics(rounded(scoring.knn_scores_blocked(again), score=9)), KEYS, ["auc", "pauc"])
 
 
 @query(sql("SELECT vec_id, machine, machine_id, label FROM (SELECT *, row_number() OVER (PARTITION BY machine, machine_id, label ORDER BY path) AS n FROM clips) WHERE n <= 3"))

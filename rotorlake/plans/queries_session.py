@@ -70,7 +70,7 @@ def degraded_rerun(spark, d):
     swapped = deg.substitute(split, degraded(spark, d))
 
     def results(rows: DataFrame, condition: str) -> DataFrame:
-        auc = metrics.auc(scoring.knn_scores_blocked(rows)).withColumn("auc", F.round("auc", 9)).groupBy("machine").agg(F.round(F.avg("auc"), 6).alias("knn_auc"))
+        auc = metrics.auc(scoring.knn_scores_blocked(rows).withColumn("score", F.round("score", 9))).withColumn("auc", F.round("auc", 9)).groupBy("machine").agg(F.round(F.avg("auc"), 6).alias("knn_auc"))
         return auc.select(F.lit(condition).alias("condition"), "machine", "knn_auc")
 
     counts = deg.coverage(swapped)
