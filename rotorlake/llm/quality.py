@@ -1,19 +1,17 @@
 """Operator 2: quality rules whose thresholds carry a guarantee.
 
-Each rule compares one figure of a document with a cutoff.  Cutoffs come from labelled documents: per
-stratum (language) and rule, cutoffs are tried from the laxest on; one is certified while the exact
-(Clopper-Pearson) upper bound of the share of good documents it rejects stays within the limit, and
-the walk stops at the first that is not (fixed-sequence testing, so the walk itself needs no further
-correction).  The error probability is split over all strata and rules (Bonferroni), and the limit over
-the rules, so that with probability ``1 - delta`` the rules together reject at most ``limit`` of the good
-documents in every stratum.  A stratum with too few labels certifies nothing and keeps its documents.
-
-``joint_thresholds`` gives the same promise from fewer labels: it tests the documents that any rule rejects, along
-one fixed sequence of joint settings (``joint_walk``) against the whole limit.  The pipeline uses it; the query is
-bound to its SQL, which splits the limit.
-
-Null and empty texts have no words and fail the base test; null languages form a stratum; repeated rows
-are judged one by one; repeated labels of one id count once (the smallest wins); empty tables give none.
+Each rule compares one figure of a document with a cutoff.  Cutoffs come from labelled documents.  Per stratum
+(language) the rules advance side by side from their laxest cutoffs on, along one fixed sequence of joint settings
+(``joint_walk``); a setting is certified while the exact (Clopper-Pearson) upper bound of the share of good documents that any
+rule rejects stays within the limit, and the walk stops at the first that is not (fixed-sequence testing, so the walk itself
+needs no further correction).  The error probability is split over the strata (Bonferroni), so that with probability
+``1 - delta`` at most ``limit`` of the good documents of every stratum are rejected.  A stratum with too few labels certifies
+nothing and keeps its documents.  The query and the pipeline use ``joint_thresholds``; ``thresholds`` gives the same promise with a walk for
+each rule, splitting limit and error over the rules, and needs more labels.
+
+Null and empty texts have no words and fail the base test; texts of any length are measured whole; null languages form a
+stratum of their own, apart from the empty one; a figure equal to a cutoff (a tie) is not rejected; repeated rows are judged
+one by one; repeated labels of one id count once (the smallest wins); empty tables give none; extra columns are never read.
 """
 
 from __future__ import annotations
@@ -154,7 +152,7 @@ def thresholds(measured: DataFrame, good_ids: DataFrame, limit: float = LIMIT, d
     """
     figs = rule_figures()
     good = measured.join(good_ids, "doc_id").where(~base_failed())
-    counts = good.groupBy(F.coalesce("lang", F.lit("")).alias("stratum")).agg(
+    counts = good.groupBy(F.col("lang").alias("stratum")).agg(
         F.count(F.lit(1)).alias("n_good"),
         *[F.array(*[F.sum((figs[r] > c).cast("long")) for c in cuts]).alias(r) for r, cuts in rules.items()],
     )
@@ -193,7 +191,7 @@ def joint_thresholds(measured: DataFrame, good_ids: DataFrame, limit: float = LI
             at = F.when(figs[r] > c, F.lit(k)).otherwise(at)
         first.append(at)
     good = measured.join(good_ids, "doc_id").where(~base_failed())
-    counts = good.select(F.coalesce("lang", F.lit("")).alias("stratum"), F.least(*first, F.lit(len(walk))).alias("step")).groupBy("stratum").agg(
+    counts = good.select(F.col("lang").alias("stratum"), F.least(*first, F.lit(len(walk))).alias("step")).groupBy("stratum").agg(
         F.count(F.lit(1)).alias("n_good"), F.array(*[F.count_if(F.col("step") <= k) for k in range(len(walk))]).alias("rejected")
     )
     counts = materialise(counts, "counts")
@@ -216,7 +214,7 @@ def judge(measured: DataFrame, cutoffs: DataFrame, rules=RULES) -> DataFrame:
     cut = cutoffs.select(F.col("stratum").alias("c_stratum"), *[F.col(r).alias(f"c_{r}") for r in rules])
     hits = F.filter(F.array(*[F.when(figs[r] > F.col(f"c_{r}"), F.lit(r)) for r in rules]), lambda x: x.isNotNull())
     return (
-        measured.join(cut, F.coalesce("lang", F.lit("")) == F.col("c_stratum"), "left")
+        measured.join(cut, F.col("lang").eqNullSafe(F.col("c_stratum")), "left")
         .withColumn("base_failed", base_failed())
         .withColumn("rejected_by", F.array_join(hits, ","))
         .withColumn("kept", ~F.col("base_failed") & (F.col("rejected_by") == ""))
@@ -236,18 +234,17 @@ def good_documents(labels: DataFrame) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = materialise(measure(read(spark, sf_dir, "documents")), "figures")
-    cutoffs = materialise(thresholds(measured, good_documents(read(spark, sf_dir, "labels"))), "cutoffs")
+    cutoffs = materialise(joint_thresholds(measured, good_documents(read(spark, sf_dir, "labels"))), "cutoffs")
     return judge(measured, cutoffs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
 
 
 def _sql() -> str:
     figs = {"symbols_per_100_words": ("n_symbols", "n_words"), "bangs_per_100_words": ("n_bangs", "n_words"), "repeats_per_100_words": ("n_repeat_words", "n_words"), "dup_lines_per_100_lines": ("n_dup_lines", "n_lines"), "upper_per_100_letters": ("n_upper", "n_letters")}
     pairs = ", ".join(f"{{'r': '{r}', 'o': {k}, 'x': {a} * 100.0::DOUBLE / greatest({b}, 1)}}" for k, (r, (a, b)) in enumerate(figs.items()))
-    cuts = ", ".join(f"('{r}', {list(c)})" for r, c in RULES.items())
-    share = LIMIT / len(RULES)
+    walk = ", ".join(f"({k}, '{r}', {c})" for k, (r, c) in enumerate(joint_walk()))
     return f"""
 WITH w AS (
-  SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws,
+  SELECT doc_id, lang AS stratum, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM documents),
 win AS (SELECT doc_id, i, ws[i:i + 4] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)),
 rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1), (SELECT unnest(range(5)) AS j) GROUP BY doc_id),
@@ -258,13 +255,15 @@ m AS (
   FROM w LEFT JOIN rep ON w.doc_id = rep.doc_id),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
 f AS (SELECT doc_id, stratum, base_failed, unnest([{pairs}], recursive := true) FROM b),
-cuts AS (SELECT r, unnest(c) AS cut, generate_subscripts(c, 1) AS i FROM (VALUES {cuts}) AS v(r, c)),
+walk AS (SELECT * FROM (VALUES {walk}) AS v(k, r, cut)),
 good AS (SELECT f.* FROM f JOIN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1) g ON f.doc_id = g.doc_id WHERE NOT base_failed),
-k AS (SELECT stratum, good.r, i, cut, count(*) AS n, count(*) FILTER (x > cut) AS k FROM good JOIN cuts ON good.r = cuts.r GROUP BY ALL),
-tail AS (SELECT *, CASE WHEN k >= n THEN 1 ELSE list_sum(list_transform(range(k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({share}::DOUBLE) + (n - j) * ln(1 - {share}::DOUBLE)))) END AS p FROM k),
-ok AS (SELECT *, p <= {DELTA}::DOUBLE / ((SELECT count(DISTINCT stratum) FROM good) * {len(RULES)}) AS fine FROM tail),
-cut AS (SELECT stratum, r, min(cut) AS cut FROM (SELECT *, bool_and(fine) OVER (PARTITION BY stratum, r ORDER BY i ROWS UNBOUNDED PRECEDING) AS walked FROM ok) WHERE walked GROUP BY stratum, r),
-hit AS (SELECT doc_id, string_agg(f.r, ',' ORDER BY o) AS rejected_by FROM f JOIN cut ON f.stratum = cut.stratum AND f.r = cut.r WHERE x > cut GROUP BY doc_id)
+step AS (SELECT good.doc_id, stratum, min(k) AS first FROM good LEFT JOIN walk ON good.r = walk.r AND x > cut GROUP BY good.doc_id, stratum),
+size AS (SELECT stratum, count(*) AS n FROM step GROUP BY stratum),
+bad AS (SELECT size.stratum, any_value(n) AS n, walk.k AS place, count(first) FILTER (first <= walk.k) AS k FROM size JOIN step ON size.stratum IS NOT DISTINCT FROM step.stratum, walk GROUP BY size.stratum, walk.k),
+tail AS (SELECT *, CASE WHEN k >= n THEN 1 ELSE list_sum(list_transform(range(k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({LIMIT}::DOUBLE) + (n - j) * ln(1 - {LIMIT}::DOUBLE)))) END AS p FROM bad),
+sure AS (SELECT stratum, place FROM (SELECT *, bool_and(p <= {DELTA}::DOUBLE / (SELECT count(*) FROM size)) OVER (PARTITION BY stratum ORDER BY place ROWS UNBOUNDED PRECEDING) AS walked FROM tail) WHERE walked),
+cut AS (SELECT stratum, r, min(cut) AS cut FROM sure JOIN walk ON sure.place = walk.k GROUP BY stratum, r),
+hit AS (SELECT doc_id, string_agg(f.r, ',' ORDER BY o) AS rejected_by FROM f JOIN cut ON f.stratum IS NOT DISTINCT FROM cut.stratum AND f.r = cut.r WHERE x > cut GROUP BY doc_id)
 SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rejected_by IS NULL AS kept, coalesce(rejected_by, '') AS rejected_by
 FROM b LEFT JOIN hit ON b.doc_id = hit.doc_id
 """

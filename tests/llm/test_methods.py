@@ -1,6 +1,7 @@
 """Operators against brute force, SQL and held-out labels on the small tables."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -150,7 +151,7 @@ def test_pipeline_against_brute_force(spark):
     rows = {r.doc_id: r for r in docs(spark).collect()}
     # quality: figures by brute force, cutoffs as certified
     measured = q.measure(docs(spark))
-    verdict = {r.doc_id: r.kept for r in q.judge(measured, q.thresholds(measured, q.good_documents(spark.read.parquet(f"{SF}/labels.parquet")))).collect()}
+    verdict = {r.doc_id: r.kept for r in q.judge(measured, q.joint_thresholds(measured, q.good_documents(spark.read.parquet(f"{SF}/labels.parquet")))).collect()}
     kept = {d for d, r in rows.items() if verdict[d]}
     assert all(quality(rows[d].text)[0] >= 10 for d in kept)
     kept = {d for d, c, _ in near([(d, rows[d].text) for d in sorted(kept)]) if d == c}
@@ -165,10 +166,10 @@ def test_pipeline_against_brute_force(spark):
     e = encoder(public_tokenizers.path("byte_bpe_50k.json"))
     want, at = [], 0
     for d in sorted(copies):
-        n = len(e.encode(rows[d].text)) // np.dtype(e.kind).itemsize + 1
+        ids = np.append(np.frombuffer(e.encode(rows[d].text), e.kind), token_files.END_ID).astype("<u4")
         for _ in range(copies[d]):
-            want.append((d, at, n))
-            at += n
-    got = sorted((r.doc_id, r.start, r.n_tokens) for r in corpus_pipeline.run(spark, SF).collect())
+            want.append((d, at, len(ids), zlib.crc32(ids.tobytes())))
+            at += len(ids)
+    got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in corpus_pipeline.run(spark, SF).collect())
     assert got == want
     assert len(words(rows[got[0][0]].text)) > 0 and token_files.END_ID == 2
