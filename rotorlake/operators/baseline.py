@@ -45,7 +45,7 @@ def percentile_by_rank(rows: DataFrame, calib_rows: DataFrame, key: str, score:
 def mean_vector(rows: DataFrame, keys: list[str], vector: str = "v") -> DataFrame:
     """keys, mean: element-wise mean of vectors, as (position, mean) sums that combine before the shuffle."""
     place = rows.select(*keys, F.posexplode(vector).alias("i", "x")).groupBy(*keys, "i").agg(F.avg("x").alias("m"))
-    return place.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("s")).select(*keys, F.transform("s", lambda x: F.round(x["m"], 6)).alias("mean"))
+    return place.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("s")).select(*keys, F.transform("s", lambda x: x["m"]).alias("mean"))
 
 
 def augmented(windows: DataFrame, copies: list, vector: str = "v") -> DataFrame:

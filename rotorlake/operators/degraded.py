@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import power
+from . import metrics
+from .tables import written
 
 KEYS = ["machine", "machine_id"]
 
@@ -39,9 +43,45 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "condition") -> DataFrame:
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
+def rerun(split: DataFrame, captures: dict[str, DataFrame], scorers: dict[str, Callable[[DataFrame], DataFrame]], ids: DataFrame | None = None) -> DataFrame:
+    """condition, machine, scorer, auc, pauc, n_replaced, n_test: the clean test clips and those of each capture(path, v).
+
+    Each scorer learns from the clean train clips, whatever the condition.  With ``ids`` only theirs are scored; the split is made before,
+    so the same clips are drawn.  A capture that replaces no test clip is an error.
+    """
+    own = split if ids is None else split.join(ids, KEYS, "left_semi")
+    own = written(own.select("vec_id", *KEYS, "path", "split", "v"), "split")
+    names = ["clean", *captures]
+    # the test clips of all conditions are scored together: their ids tell the condition
+    numbered = lambda rows, k: rows.select((F.col("vec_id") * len(names) + k).alias("vec_id"), *KEYS, "split", "v", "replaced")
+    rows = numbered(own.withColumn("replaced", F.lit(False)), 0)
+    for k, capture in enumerate(captures.values(), 1):
+        rows = rows.unionByName(numbered(substitute(own.where("split <> 'train'"), capture), k))
+    rows = written(rows, "conditions")
+    condition = F.array(*map(F.lit, names))[F.pmod("vec_id", F.lit(len(names))).cast("int")].alias("condition")
+    n = F.count_if("replaced")
+    known = rows.where("split <> 'train'").groupBy(condition).agg(n.cast("long").alias("n_replaced"), F.count(F.lit(1)).alias("n_test"))
+    none = F.raise_error(F.concat(F.lit("no test clip was replaced: "), "condition"))
+    known = known.withColumn("n_replaced", F.when((F.col("condition") != "clean") & (F.col("n_replaced") == 0), none).otherwise(F.col("n_replaced")))
+    out = None
+    for name, score in scorers.items():
+        per_id = metrics.metrics(score(rows.drop("replaced")).select("*", condition), ["condition", *KEYS])
+        one = per_id.groupBy("condition", "machine").agg(F.avg("auc").alias("auc"), F.avg("pauc").alias("pauc")).withColumn("scorer", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return written(out.join(known, "condition").select("condition", "machine", "scorer", "auc", "pauc", "n_replaced", "n_test"), "rerun")
+
+
+def noisy(clips: DataFrame, noise: DataFrame, snr_db: float) -> DataFrame:
+    """path, v of clips mixed with the noise(noise_no, v) that ``noise_assignment`` gives them, at one level; clips without power are left out."""
+    given = noise_assignment(clips, [snr_db], noise.count()).withColumnRenamed("path", "n_path")
+    table = noise.select("noise_no", F.col("v").alias("noise"))
+    rows = clips.join(given, F.col("path") == F.col("n_path")).join(table, "noise_no")
+    return rows.select("path", mix_at_snr(F.col("v"), F.col("noise"), F.col("snr_db")).alias("v")).where("v is not null")
+
+
 def condition_report(results: DataFrame, columns: list[str], coverage: DataFrame | None = None) -> DataFrame:
     """One row per condition with an AUC column per machine and scorer; clean first, then by name."""
-    wide = results.withColumn("c", F.concat_ws("_", "machine", "scorer")).groupBy("condition").pivot("c", columns).agg(F.round(F.avg("auc"), 6))
+    wide = results.withColumn("c", F.concat_ws("_", "machine", "scorer")).groupBy("condition").pivot("c", columns).agg(F.avg("auc"))
     wide = wide.join(coverage, "condition") if coverage is not None else wide
     return wide.orderBy(F.col("condition") != "clean", "condition")
 
@@ -51,7 +91,7 @@ def condition_verdict(results: DataFrame, keep: float = 0.8) -> DataFrame:
     by = ["machine", "scorer"]
     clean = results.where("condition = 'clean'").select(*by, F.col("auc").alias("clean_auc"))
     rows = results.where("condition <> 'clean'").join(clean, by)
-    retained = F.round((F.col("auc") - 0.5) / F.nullif(F.col("clean_auc") - 0.5, F.lit(0.0)), 6)
+    retained = (F.col("auc") - 0.5) / F.nullif(F.col("clean_auc") - 0.5, F.lit(0.0))
     return rows.select("condition", *by, "auc", retained.alias("retained")).withColumn("verdict", F.when(F.col("retained") >= keep, "PASS").otherwise("FAIL"))
 
 

@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import cosine_distance, unit
 from . import moments
+from .baseline import mean_vector
 from .neighbours import Neighbours
 
 KEYS = ["machine", "machine_id"]
@@ -144,6 +146,13 @@ def lw_shrinkage(train: DataFrame) -> DataFrame:
     return moments.moments(train, KEYS).groupBy(*KEYS).applyInPandas(work, "machine string, machine_id string, n long, shrinkage double")
 
 
+def mean_scores(split: DataFrame) -> DataFrame:
+    """vec_id, keys, y, score: cosine distance to the mean of the id's train vectors; all in the JVM, one small row for each id."""
+    mean = mean_vector(split.where("split = 'train'"), KEYS)
+    rows = split.where("split <> 'train'").join(mean, KEYS)
+    return rows.select("vec_id", *KEYS, (F.col("split") == "test_abnormal").cast("int").alias("y"), cosine_distance(unit(F.col("v")), unit(F.col("mean"))).alias("score"))
+
+
 def moment_figures(train: DataFrame) -> DataFrame:
     """keys, n, trace, fourth, spread: what the shrinkage is made of, for each id."""
 
