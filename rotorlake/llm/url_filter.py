@@ -1,12 +1,11 @@
 """Operator 9: URL allow and block lists as a trie over reversed host labels, then path segments.
 
 A rule is ``host/path``; it fits its host and every subdomain when the URL's path starts with the
-rule's path.  The longest rule wins: the deepest in the trie, that is most host labels first, then
-the longest path.  The trie is broadcast with the task only while the rules' text is within
+rule's path.  The longest rule wins, by the length of its text; of equally long ones that with more host labels.  The trie is broadcast with the task only while the rules' text is within
 ``max_trie_bytes``; a longer list is matched by equi-joins on (host suffix, path prefix) instead.
 
 Null URLs, and URLs without ``://``, have empty host and path and fit no rule; no rule means the
-default verdict ``allow``.  Ties cannot occur: a rule listed twice keeps its last entry, ``block``
+default verdict ``allow``.  URLs of any length are judged whole.  No other ties occur: a rule listed twice keeps its last entry, ``block``
 before ``allow`` on equal text.  Repeated rows are judged one by one; an empty table gives none.
 """
 
@@ -60,7 +59,9 @@ class Trie:
             if node is None:
                 break
             if self.PATHS in node:
-                found = self._path(node[self.PATHS], segments) or found
+                here = self._path(node[self.PATHS], segments)
+                # the longest rule wins, whether by its host or by its path; of equal ones that with more labels
+                found = here if here and (not found or len(here[0]) >= len(found[0])) else found
         return found
 
     def _path(self, node: dict, segments: list[str]) -> tuple[str, str] | None:
@@ -122,7 +123,7 @@ def judge_by_join(urls: DataFrame, rules: DataFrame, default: str = DEFAULT) ->
         .join(spread, "suffix")
         .where(F.col("path").startswith(F.col("rule_path")))
         .groupBy("row_no")
-        .agg(F.max(F.struct(F.size(F.split("suffix", r"\.")).alias("labels"), F.length("rule_path").alias("n"), "rule", "rule_verdict")).alias("best"))
+        .agg(F.max(F.struct(F.length("rule").alias("n"), F.size(F.split("suffix", r"\.")).alias("labels"), "rule", "rule_verdict")).alias("best"))
     )
     return rows.join(hits, "row_no", "left").select(*names, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"))
 
