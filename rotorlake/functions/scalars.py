@@ -131,6 +131,11 @@ def display_lines(state: Column, percentile: Column, evidence: Column, remaining
     return {"line1": F.substring(first, 1, SUMMARY_CHARS), "line2": F.substring(second, 1, SUMMARY_CHARS)}
 
 
+def wire_state(state: Column) -> Column:
+    """The state to show for one that came over the wire: what is unknown or missing is shown as listening."""
+    return F.when(state.isin("CAPTURING_BASELINE", "SUSPECT", "ALERT"), state).otherwise("LISTENING")
+
+
 def card_lines(state: Column, percentile: Column, evidence: Column, remaining: Column) -> dict[str, Column]:
     """Two lines of at most 60 characters for every state of a session; unknown and null states show nothing.
 

@@ -40,11 +40,11 @@ def nearest_baseline(windows: DataFrame, train: DataFrame, keys: list[str], k: i
 
 
 def text(bands: DataFrame, peaks: DataFrame) -> DataFrame:
-    """vec_id, hud from each window's first band and first peak (if any)."""
-    first_band = bands.where("rank = 1").select("vec_id", "lo_hz", "hi_hz", "delta_db")
+    """vec_id, hud from each window's first band and first peak; a window may lack either."""
+    first_band = bands.where("rank = 1").select("vec_id", band_phrase(F.col("lo_hz"), F.col("hi_hz"), F.col("delta_db")).alias("phrase"))
     first_peak = peaks.where("rank = 1").select("vec_id", "freq_hz", "label")
-    rows = first_band.join(first_peak, "vec_id", "left")
-    return rows.select("vec_id", summary(F.col("label"), F.col("freq_hz"), band_phrase(F.col("lo_hz"), F.col("hi_hz"), F.col("delta_db"))).alias("hud"))
+    rows = first_band.join(first_peak, "vec_id", "full")
+    return rows.select("vec_id", summary(F.col("label"), F.col("freq_hz"), F.coalesce("phrase", F.lit("anomaly vs baseline"))).alias("hud"))
 
 
 def labelled_peaks(peaks: DataFrame, rpm) -> DataFrame:

@@ -129,3 +129,11 @@ def card_states(spark, d):
     evidence = F.when(e % 4 != 0, F.repeat(F.concat("kind", F.lit(" ")), (e % 9).cast("int")))
     rows = frames(spark, d).select("event_id", state.alias("s"), percentile.alias("p"), evidence.alias("e"), F.when(e % 3 != 0, F.col("raw") / 10 - 1).alias("r"))
     return rows.select("event_id", *[c.alias(n) for n, c in S.card_lines(F.col("s"), F.col("p"), F.col("e"), F.col("r")).items()])
+
+
+@query(sql("SELECT event_id, CASE WHEN kind IN ('click', 'view') THEN 'LISTENING' WHEN event_id % 4 = 0 THEN 'SUSPECT' WHEN event_id % 4 = 1 THEN 'ALERT' WHEN event_id % 4 = 2 THEN 'CAPTURING_BASELINE' ELSE 'LISTENING' END AS shown FROM frames"))
+def wire_states(spark, d):
+    """States as they come over the wire, some unknown or missing, and what is shown for them."""
+    known = F.element_at(F.array(*map(F.lit, ["SUSPECT", "ALERT", "CAPTURING_BASELINE", "LOGGED"])), (F.col("event_id") % 4 + 1).cast("int"))
+    state = F.when(F.col("kind") == "click", "???").when(F.col("kind") == "view", F.lit(None)).otherwise(known)
+    return frames(spark, d).select("event_id", S.wire_state(state).alias("shown"))

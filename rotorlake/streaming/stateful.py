@@ -7,17 +7,21 @@ checkpoint goes on where the last finished micro-batch ended.
 
 from __future__ import annotations
 
+import pickle
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.policy import AlertPolicy, Ema
-from .monitor import OUT, STATE
+from .monitor import OUT
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -93,25 +97,26 @@ def framed(chunks: DataFrame, frame_bytes: int = 32_000, idle: str = "5 seconds"
 class SessionScorer(StatefulProcessor):
     """Windows of a stream against its own baseline, which came once as initial state."""
 
-    def __init__(self, alpha: float, k: int, policy: dict):
+    def __init__(self, alpha: float, k: int, policy: Callable[[], Policy]):
         self.alpha, self.k, self.policy = alpha, k, policy
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.model = handle.getValueState("model", "train array<array<double>>, calib array<double>")
-        self.fold = handle.getValueState("fold", STATE)
+        self.model = handle.getValueState("model", "train array<double>, n int, calib array<double>")
+        self.fold = handle.getValueState("fold", "ema double, last_t double, policy binary")
 
     def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:
         row = initialState.iloc[0]
-        self.model.update(([[float(x) for x in t] for t in row["train"]], sorted(float(c) for c in row["calib"])))
+        self.model.update(([float(x) for x in row["train"]], int(row["n"]), sorted(float(c) for c in row["calib"])))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         if not self.model.exists():
             return  # no baseline: as an inner join, nothing comes out
-        train, calib = self.model.get()
-        train = np.array([list(t) for t in train], np.float64).reshape(len(train), -1)
-        ema, alert = Ema(self.alpha), AlertPolicy(**self.policy)
+        flat, n_train, calib = self.model.get()
+        train = np.array(flat, np.float64).reshape(n_train, -1)
+        ema, policy, last, shown = Ema(self.alpha), self.policy(), None, None
         if self.fold.exists():
-            ema.value, alert.state, alert.streak, alert.cooldown_until, alert.last_t = self.fold.get()
+            ema.value, last, held = self.fold.get()
+            policy, shown = pickle.loads(bytes(held))
         out = []
         pdf = gathered(rows, ["t", "seq"])
         for seq, t, values in zip(pdf["seq"], pdf["t"], pdf["values"]):
@@ -119,29 +124,36 @@ class SessionScorer(StatefulProcessor):
             n = float(np.sqrt((v * v).sum()))
             near = np.sort(np.clip(1 - train @ (v / n if n else v * 0), 0, 2))[: self.k]
             raw = float(near.sum() / self.k)
-            if alert.last_t is not None and t < alert.last_t:
+            if last is not None and t < last:
                 out.append((key[0], seq, t, raw, None, None, "LATE", False))
                 continue
-            y = ema.step(raw)
+            y, last = ema.step(raw), float(t)
             p = 100.0 * bisect_right(calib, y) / len(calib)
-            before = alert.state if alert.last_t is not None else None
-            out.append((key[0], seq, t, raw, y, p, alert.step(p, t), before != alert.state))
-        self.fold.update((ema.value, alert.state, alert.streak, alert.cooldown_until, alert.last_t))
+            before, shown = shown, policy.step(p, last)
+            out.append((key[0], seq, t, raw, y, p, shown, before != shown))
+        self.fold.update((ema.value, last, cloudpickle.dumps((policy, shown))))
         yield pd.DataFrame(out, columns=[x.split()[0] for x in OUT.split(", ")])
 
     def close(self) -> None:
         pass
 
 
-def session_scores(windows: DataFrame, baselines: DataFrame, alpha: float = 0.3, k: int = 2, **policy) -> DataFrame:
+class Policy(Protocol):
+    """Anything that turns percentiles in order of time into states, and can be pickled between micro-batches."""
+
+    def step(self, percentile: float, t: float) -> str: ...
+
+
+def session_scores(windows: DataFrame, baselines: DataFrame, alpha: float = 0.3, k: int = 2, policy: Callable[[], Policy] | None = None, **bounds) -> DataFrame:
     """What ``monitor.session_states`` gives, with each stream's baseline held in its state.
 
     ``baselines``(stream_id, train, calib) is a batch table; the first micro-batch deals it to the streams' state, and later ones
-    read and shuffle windows alone.  Streams without a baseline, or with an empty calibration set, give nothing.
+    read and shuffle windows alone.  ``policy`` makes a stream's policy, by default an ``AlertPolicy`` with ``bounds``.  Streams without a baseline, or with an empty calibration set, give nothing.
     """
-    known = baselines.where(F.size("calib") > 0).select("stream_id", "train", "calib").groupBy("stream_id")
+    # one flat array: nested ones that are empty in a batch crash the Arrow reader
+    known = baselines.where(F.size("calib") > 0).select("stream_id", F.flatten("train").alias("train"), F.size("train").alias("n"), "calib").groupBy("stream_id")
     return windows.select("stream_id", "seq", "t", "values").groupBy("stream_id").transformWithStateInPandas(
-        statefulProcessor=SessionScorer(alpha, k, policy), outputStructType=OUT, outputMode="Append", timeMode="None", initialState=known
+        statefulProcessor=SessionScorer(alpha, k, policy or partial(AlertPolicy, **bounds)), outputStructType=OUT, outputMode="Append", timeMode="None", initialState=known
     )
 
 
