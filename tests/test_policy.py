@@ -54,8 +54,11 @@ def test_bad_rows():
 
 
 def test_ema_throttle_capture():
-    e = Ema()
-    assert [round(e.step(x), 6) for x in (10, 20, 0, 5)] == [10, 13, 9.1, 7.87]
+    rng, e = random.Random(21), Ema(0.2)
+    x = [rng.uniform(-5, 5) for _ in range(30)]
+    for n, y in enumerate(e.step(v) for v in x):
+        # the closed form: weights fall by 0.8 for each step back, the first value takes what is left
+        assert abs(y - (0.8**n * x[0] + sum(0.2 * 0.8 ** (n - i) * x[i] for i in range(1, n + 1)))) < 1e-12
     t = Throttle()
     assert [t.step((c,), at) for c, at in (("a", 0), ("b", 0.5), ("c", 2.1), ("c", 9))] == [True, False, True, False]
     c = Capture(max_bytes=10)

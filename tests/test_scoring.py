@@ -33,24 +33,27 @@ def test_all_missed_pauc(spark):
 
 
 def test_split_is_disjoint_and_order_free(spark):
-    rows = [(f"{m}/{i}/{lab}/{k}", m, i, lab) for m in ("fan", "pump") for i in ("id_00", "id_02") for lab, n in (("normal", 8), ("abnormal", 3)) for k in range(n)]
+    rng = np.random.default_rng(31)
+    sizes = {(f"m{k}", f"id_{k % 3}"): (int(rng.integers(1, 9)), int(rng.integers(10, 25))) for k in range(5)}
+    rows = [(f"{m}-{i}-{lab}-{k}.wav", m, i, lab) for (m, i), ns in sizes.items() for lab, n in zip(("abnormal", "normal"), ns) for k in range(n)]
     schema = "path string, machine string, machine_id string, label string"
     a = splits.anomaly_split(spark.createDataFrame(rows, schema))
-    b = splits.anomaly_split(spark.createDataFrame(rows[::-1], schema))
+    b = splits.anomaly_split(spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], schema).repartition(4))
     assert {tuple(r) for r in a.collect()} == {tuple(r) for r in b.collect()}
-    for r in splits.split_counts(a).where("machine_id is not null").collect():
-        assert (r.n_train, r.n_test_normal, r.n_test_abnormal) == (5, 3, 3)
-    assert all(r.n == 0 for r in splits.audit(a).collect())
-    assert splits.split_guard(a).count() == 0
-    few = [r for r in rows if not r[0].endswith(("3", "4", "5", "6", "7"))]
-    assert splits.split_guard(spark.createDataFrame(few, schema)).count() == 4
+    counts = {(r.machine, r.machine_id): (r.n_train, r.n_test_normal, r.n_test_abnormal) for r in splits.split_counts(a).where("machine_id is not null").collect()}
+    assert counts == {k: (good - bad, bad, bad) for k, (bad, good) in sizes.items()}
+    assert all(r.n == 0 for r in splits.audit(a).collect()) and splits.split_guard(a).count() == 0
+    # as many normals as abnormals leave no train clip
+    few = [r for r in rows if r[3] == "abnormal" or int(r[0].rsplit("-", 1)[1].split(".")[0]) < sizes[r[1], r[2]][0]]
+    assert splits.split_guard(spark.createDataFrame(few, schema)).count() == len(sizes)
 
 
 def test_subset_quota(spark):
-    rows = spark.createDataFrame([(f"{lab}{k:03}", "fan", "id_00", lab) for lab in ("normal", "abnormal") for k in range(100)], "path string, machine string, machine_id string, label string")
-    for n, want in ((50, (35, 15)), (4, (3, 1)), (1, (1, 0)), (0, (0, 0)), (10, (7, 3)), (100, (70, 30))):
-        got = splits.subset_quota(rows, n).groupBy().agg(F.count_if(F.col("label") == "normal"), F.count_if(F.col("label") != "normal")).head()
-        assert tuple(got) == want
+    rows = spark.createDataFrame([(f"{lab}{k:03}", "fan", "id_00", lab) for lab in ("normal", "abnormal") for k in range(90)], "path string, machine string, machine_id string, label string")
+    for n in np.random.default_rng(32).integers(2, 90, 7).tolist():
+        got = {r.label: r.n for r in splits.subset_quota(rows, n).groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+        normals = -(-7 * n // 10)
+        assert got == {k: v for k, v in (("normal", normals), ("abnormal", n - normals)) if v}
 
 
 def test_mahalanobis_against_plain_inverse():
@@ -80,12 +83,14 @@ def test_scorers_separate(spark):
 
 
 def test_percentile(spark):
-    calib = spark.createDataFrame([(1, [1.0, 2.0, 3.0, 4.0, 5.0])], "stream_id long, calib array<double>")
-    rows = spark.createDataFrame([(1, 0.0), (1, 3.0), (1, 10.0)], "stream_id long, raw double")
-    assert sorted(r.percentile for r in baseline.calib_percentile(rows, calib).collect()) == [0, 60, 100]
-    empty = spark.createDataFrame([(1, [])], "stream_id long, calib array<double>")
+    rng = np.random.default_rng(33)
+    held, scores = np.round(rng.normal(size=17), 1), np.round(rng.normal(size=40), 1)
+    calib = spark.createDataFrame([(7, held.tolist())], "stream_id long, calib array<double>")
+    rows = spark.createDataFrame([(7, float(x)) for x in scores], "stream_id long, raw double")
+    got = {r.raw: r.percentile for r in baseline.calib_percentile(rows, calib).collect()}
+    assert all(abs(got[float(x)] - 100 * float((held <= x).mean())) < 1e-9 for x in scores)
     with pytest.raises(Exception, match="empty calibration"):
-        baseline.calib_percentile(rows, empty).collect()
+        baseline.calib_percentile(rows, spark.createDataFrame([(7, [])], "stream_id long, calib array<double>")).collect()
 
 
 def test_one_path_under_two_ids_is_split_by_id(spark):
