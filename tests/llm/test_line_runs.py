@@ -99,8 +99,13 @@ def test_a_run_joins_without_moving_it(spark):
     runs = ld.LineRuns(spark)
     lines = spark.range(2000).select((F.col("id") % 700).alias("h1"), (F.col("id") % 7).alias("h2"), F.col("id").alias("doc_id"))
     runs.add(lines)
-    plan = runs.unsettled(lines)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for runs that are not small
+    try:
+        plan = runs.unsettled(lines)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" in plan and "Bucketed: true" in plan
 
 
 def test_digest_of_kept_text(spark):
