@@ -39,6 +39,8 @@ from .textkernels import ALNUM, LOWER, mix, owners, span_hashes, texts
 MASKS = ("1110100110", "1101011001", "1011001101", "1100101110")
 MIN_WORDS, MIN_SHARE = 13, 0.8
 BITS, MOST_BITS, BITS_PER_SEED = 1 << 24, 1 << 28, 32
+#: Bits of the map that one task makes at a time.
+BITS_PER_STRETCH = 1 << 19
 MAX_HASHES = 1 << 21
 
 
@@ -85,23 +87,28 @@ def item_seeds(benchmark: DataFrame, masks: tuple[str, ...]) -> DataFrame:
 
 
 def bitmap_of(hashes: DataFrame, bits: int = BITS) -> np.ndarray:
-    """Bit ``hash mod bits`` set for every hash; made in parts, merged pairwise in one task of fixed size."""
+    """Bit ``hash mod bits`` (a power of two) set for every hash.
 
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(bits // 8, np.uint8)
-        for b in batches:
-            h = b.column("hash").to_numpy().view(np.uint64) % np.uint64(bits)
-            np.bitwise_or.at(out, (h >> np.uint64(3)).astype(np.int64), (1 << (h & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["map"])
+    Stretches of the map are made side by side, each from the distinct bits dealt to it; the driver puts together as
+    many bytes as the map has.
+    """
+    wide = min(bits, BITS_PER_STRETCH)
+    slots = hashes.select(F.col("hash").bitwiseAND(F.lit(bits - 1)).alias("slot")).distinct()
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(bits // 8, np.uint8)
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, np.ndarray] = {}
         for b in batches:
-            for m in b.column("map"):
-                out |= np.frombuffer(m.as_buffer(), np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["map"])
-
-    return np.frombuffer(hashes.coalesce(8).mapInArrow(part, "map binary").coalesce(1).mapInArrow(merge, "map binary").head()[0], np.uint8)
+            slot = b.column("slot").to_numpy()
+            for k in np.unique(slot // wide).tolist():
+                at = slot[slot // wide == k] % wide
+                np.bitwise_or.at(made.setdefault(k, np.zeros(wide // 8, np.uint8)), at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        for k, m in made.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([m.tobytes()], pa.binary())], names=["stretch", "map"])
+
+    out = np.zeros(bits // 8, np.uint8)
+    for r in slots.repartition(F.expr(f"slot div {wide}")).mapInArrow(part, "stretch long, map binary").toLocalIterator():
+        out[r.stretch * wide // 8 :][: wide // 8] = np.frombuffer(r.map, np.uint8)
+    return out
 
 
 HITS = pa.schema([("first", pa.int64()), ("words", pa.binary()), ("hits", pa.list_(pa.struct([("pos", pa.int64()), ("hash", pa.int64())])))])

@@ -8,7 +8,7 @@ Documents are sets of shingles of five words; links are pairs with a Jaccard sim
 2. Documents with the same words are one class (copies); only its first row goes on.
 3. Each subtree (documents with that shortest prefix in one trie) is sorted by its full paths.  A document is
    compared with the first of its run at full depth; only while it is not covered there (signatures within
-   ``RADIUS`` places) is its prefix shortened, value by value, down to the subtree.  What no one covers stands
+   ``RADIUS`` places) is its prefix shortened, value by value, down to the subtree; ``walk_tries`` tells where it stopped.  What no one covers stands
    for itself.  Then the covering documents alone are compared, with the limit widened by both radii: places
    that differ obey the triangle inequality, so no pair is missed that a comparison of all with all would find.
    Subtrees over ``BLOCK_DOCS`` are dealt into slices first, and the slices' covering documents meet afterwards.
@@ -47,12 +47,12 @@ SHINGLE, THRESHOLD = 5, 0.8
 TREES, MAX_DEPTH, RECALL = 18, 8, 0.999
 #: Documents, and shingles, that a block holds on average at most.
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 1 << 20
-#: Places in which a signature may differ from the one that covers it; subtrees of so few are compared at once.
-RADIUS, FEW = 9, 32
+#: Places in which a signature may differ from the one that covers it.
+RADIUS = 9
 #: Rows that their id does not name alone are numbered from here on.
 UNNAMED = 1 << 62
-#: Bits of the map that spares unchosen texts the shuffle.
-BITS = 1 << 25
+#: Bits a row, least and most bits of the map that spares texts the shuffle.
+BITS_PER_ROW, LEAST_BITS, MOST_BITS = 32, 1 << 20, 1 << 28
 
 
 def depth_for(recall: float = RECALL, trees: int = TREES, threshold: float = THRESHOLD, most: int = MAX_DEPTH) -> int:
@@ -173,24 +173,27 @@ def _groups(batches: list[pa.RecordBatch], keys: list[str]) -> tuple[pa.RecordBa
 
 
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-COVERED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("path", pa.int64()), ("radius", pa.int64()), ("sig", pa.binary())])
+COVERED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("stop", pa.int64()), ("path", pa.int64()), ("radius", pa.int64()), ("sig", pa.binary())])
 
 
-def cover(sig: np.ndarray, tails: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def cover(sig: np.ndarray, tails: np.ndarray, radius: int, stop: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For each row of a slice sorted by ``tails`` the row that covers it, and how far its own covered rows are.
 
     From full depth on, the first open row of a run of equal prefixes covers the open rows within ``radius``
     places; rows that stay open go on with a prefix shorter by one value.  At the last one, rows that cover others
-    already come first, then each open row in turn.
+    already come first, then each open row in turn.  ``stop`` (zeros) receives how many values of their tails
+    covered rows still had.
     """
     m, n = sig.shape
     by, reach, open_ = np.arange(m), np.zeros(m, np.int64), np.ones(m, bool)
+    stop = np.zeros(m, np.int64) if stop is None else stop
 
-    def take(k: int, rows: np.ndarray) -> None:
+    def take(k: int, rows: np.ndarray, d: int) -> None:
         apart = n - (sig[rows] == sig[k]).sum(axis=1)
         hit = (apart <= radius) & (rows != k)
         if hit.any():
             by[rows[hit]] = k
+            stop[rows[hit]] = d
             open_[rows[hit]] = open_[k] = False
             reach[k] = max(reach[k], int(apart[hit].max()))
 
@@ -200,13 +203,13 @@ def cover(sig: np.ndarray, tails: np.ndarray, radius: int) -> tuple[np.ndarray,
         for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
             rows = s + np.flatnonzero(open_[s:e])
             if len(rows) > 1:
-                take(int(rows[0]), rows)
+                take(int(rows[0]), rows, d)
     for k in [*np.unique(by[by != np.arange(m)]).tolist(), *np.flatnonzero(open_).tolist()]:
         rows = np.flatnonzero(open_)
         if not len(rows):
             break
         if by[k] == k:
-            take(k, rows)
+            take(k, rows, 0)
     return by, reach
 
 
@@ -227,8 +230,12 @@ def _matrix(column: pa.Array, n: int) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_py() for x in column), np.uint8).reshape(len(column), n)
 
 
-def candidate_edges(reps: DataFrame, trees: int, threshold: float, most: int = MAX_DEPTH) -> DataFrame:
-    """Star edges (a, b) between documents that share a prefix in some trie and whose signatures agree enough."""
+def walk_tries(reps: DataFrame, trees: int, threshold: float, most: int = MAX_DEPTH) -> DataFrame:
+    """a, b, stop, path, radius, sig: where each document's prefix stopped in the tries in which it has company.
+
+    Rows with ``b`` are candidates: ``a`` left the trie for ``b`` when its prefix had been shortened to ``stop`` values.
+    Rows without are the covering documents of the slices of subtrees over ``BLOCK_DOCS``, which have still to meet.
+    """
     n = trees * most
     least = least_agreement(n, threshold)
     depth = depth_for(trees=trees, threshold=threshold, most=most)
@@ -246,16 +253,17 @@ def candidate_edges(reps: DataFrame, trees: int, threshold: float, most: int = M
         alone = b.column("alone").to_numpy(zero_copy_only=False)
         size = np.diff(at)
         two = at[:-1][(size == 2) & alone[at[:-1]]]
-        near = two[(sig[two] == sig[two + 1]).sum(axis=1) >= least]
-        out_a, out_b, standing, reaches = [ids[near]], [ids[near + 1]], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        agree = (sig[two] == sig[two + 1]).sum(axis=1)
+        two, agree = two[agree >= least], agree[agree >= least]
+        common = np.cumprod(tails[two] == tails[two + 1], axis=1).sum(axis=1) if most > depth else np.zeros(len(two), np.int64)
+        out_a, out_b, stops = [ids[two + 1]], [ids[two]], [depth + np.where(agree >= n - RADIUS, common, 0)]
+        standing, reaches = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for s, e in zip(at[:-1].tolist(), at[1:].tolist()):
             m = e - s
             if alone[s] and m <= 2:
                 continue
-            if alone[s] and m <= FEW:
-                by, reach = np.arange(m), np.zeros(m, np.int64)
-            else:
-                by, reach = cover(sig[s:e], tails[s:e], RADIUS)
+            stop = np.zeros(m, np.int64)
+            by, reach = cover(sig[s:e], tails[s:e], RADIUS, stop)
             heads = np.flatnonzero(by == np.arange(m))
             if alone[s]:
                 left, right = close_pairs(sig[s:e][heads], reach[heads], least)
@@ -266,12 +274,19 @@ def candidate_edges(reps: DataFrame, trees: int, threshold: float, most: int = M
             hang = np.flatnonzero(by != np.arange(m))
             out_a.append(ids[s:e][hang])
             out_b.append(ids[s:e][by[hang]])
-        out_a, out_b, standing, reaches = map(np.concatenate, (out_a, out_b, standing, reaches))
+            stops.append(np.minimum(depth + stop[hang], most))
+        out_a, out_b, stops, standing, reaches = map(np.concatenate, (out_a, out_b, stops, standing, reaches))
         none = lambda k: pa.nulls(k, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(out_a), pa.array(out_b), none(len(out_a)), none(len(out_a)), pa.nulls(len(out_a), pa.binary())], schema=COVERED)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[standing]), none(len(standing)), pa.array(path[standing]), pa.array(reaches), b.column("sig").take(pa.array(standing))], schema=COVERED)
+        yield pa.RecordBatch.from_arrays([pa.array(out_a), pa.array(out_b), pa.array(stops.astype(np.int64)), none(len(out_a)), none(len(out_a)), pa.nulls(len(out_a), pa.binary())], schema=COVERED)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[standing]), none(len(standing)), none(len(standing)), pa.array(path[standing]), pa.array(reaches), b.column("sig").take(pa.array(standing))], schema=COVERED)
 
-    walked = materialise(run_groups(dealt, ["path", "slice"], ["rest", "node"], walk, "a long, b long, path long, radius long, sig binary"), "covered")
+    return materialise(run_groups(dealt, ["path", "slice"], ["rest", "node"], walk, "a long, b long, stop long, path long, radius long, sig binary"), "covered")
+
+
+def candidate_edges(reps: DataFrame, trees: int, threshold: float, most: int = MAX_DEPTH) -> DataFrame:
+    """Star edges (a, b) between documents that share a prefix in some trie and whose signatures agree enough."""
+    n, least = trees * most, least_agreement(trees * most, threshold)
+    walked = walk_tries(reps, trees, threshold, most)
     edges = walked.where("b is not null").select("a", "b")
     heads = walked.where("b is null").select("path", F.col("a").alias("node"), "radius", "sig")
     if not heads.take(1):
@@ -339,6 +354,11 @@ def common_counts(sets: list[np.ndarray], step: int = 8192) -> np.ndarray:
 VERIFIED = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
 
+def map_bits(n: int) -> int:
+    """Bits of a map of n rows, a power of two; 0 if so many would pass the most bits that the map tells little."""
+    return 0 if 2 * n > MOST_BITS else min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_PER_ROW * n).bit_length()))
+
+
 def maybe_chosen(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
     """doc_id, t1, t2, text of the rows whose key's hash is in the bitmap; some others pass too."""
     mask = len(bitmap) * 8 - 1
@@ -357,10 +377,14 @@ def maybe_chosen(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
 def without_rows(rows: DataFrame, leave: DataFrame) -> DataFrame:
     """Rows (with ``t1``, ``t2``) that are not in leave(k_doc_id, k_t1, k_t2).
 
-    Only rows that a bitmap of fixed size says may be among them are shuffled to find out; all others stay where they
-    lie, in a second pass.
+    Only rows that a bitmap sized by their count says may be among them are shuffled to find out; all others stay where
+    they lie, in a second pass.  Where so many leave that no bitmap within ``MOST_BITS`` would tell, all rows are
+    merged with the sorted keys.
     """
-    bitmap = bitmap_of(leave.select(F.xxhash64("k_t1", "k_t2").alias("hash")), BITS)
+    bits = map_bits(leave.count())
+    if not bits:
+        return rows.join(leave.hint("merge"), same_row(), "left_anti")
+    bitmap = bitmap_of(leave.select(F.xxhash64("k_t1", "k_t2").alias("hash")), bits)
     mask, keep = len(bitmap) * 8 - 1, rows.columns
 
     def part(wanted: bool) -> DataFrame:
@@ -423,11 +447,15 @@ def verified_links(docs: DataFrame, candidates: DataFrame, threshold: float) ->
     blocks = F.ceil(F.greatest(F.col("m") / F.lit(float(BLOCK_DOCS)), F.col("total") / F.lit(float(BLOCK_SHINGLES)))).cast("long")
     sized = materialise(sized.withColumn("blocks", blocks), "component-sizes")
     chosen = materialise(candidates.join(sized, "component"), "chosen")
-    # only texts that may be chosen are shuffled: a bitmap of fixed size tells most others where they lie
-    bitmap = bitmap_of(chosen.select(F.xxhash64("t1", "t2").alias("hash")), BITS)
+    # only texts that may be chosen are shuffled: a bitmap tells most others where they lie, unless most are chosen
+    bits = map_bits(chosen.count())
+    if bits:
+        maybe = maybe_chosen(docs, bitmap_of(chosen.select(F.xxhash64("t1", "t2").alias("hash")), bits))
+    else:
+        maybe = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_keys(), "text")
     mine = chosen.withColumnsRenamed({"doc_id": "c_id", "t1": "c_1", "t2": "c_2"})
     same = F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("t1") == F.col("c_1")) & (F.col("t2") == F.col("c_2"))
-    rows = maybe_chosen(docs, bitmap).hint("merge").join(mine, same).select("text", "node", "component", "copies", "m", "total", "blocks")
+    rows = maybe.hint("merge").join(mine, same).select("text", "node", "component", "copies", "m", "total", "blocks")
     sets = materialise(shingle_sets(rows), "shingle-sets")
     keep = ["component", "pair", "side", "alone", "node", "copies", "shingles"]
     dealt = in_blocks(sets.where("blocks = 1"), "component", F.lit(1), "node").select(*keep)
@@ -488,10 +516,9 @@ def named_rows(signed: DataFrame) -> DataFrame:
     return signed.withColumn("node", F.when(alone, F.col("doc_id")).otherwise(F.col("row_no") + F.lit(UNNAMED))).drop("s_id")
 
 
-def near_rows(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES) -> DataFrame:
-    """doc_id, t1, t2 (hashes of the text), class_key (one number per class), n_links, for every row."""
-    spark = docs.sparkSession
-    text_batches(spark)
+def representatives(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """All rows with their signatures, these with names (``node``), the classes of equal word sequences, and one signed row for each class."""
+    text_batches(docs.sparkSession)
     depth = depth_for(trees=trees, threshold=threshold)
     raw = materialise(signatures(docs, trees, depth).withColumn("row_no", F.monotonically_increasing_id()), "signatures")
     signed = named_rows(raw)
@@ -502,6 +529,13 @@ def near_rows(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES)
         raw.select("row_no", "doc_id", "t1", "t2", "n_shingles", "paths", "sig").join(classes.select("row_no", F.col("rep").alias("node"), "copies"), "row_no"),
         "representatives",
     )
+    return raw, signed, classes, reps
+
+
+def near_rows(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES) -> DataFrame:
+    """doc_id, t1, t2 (hashes of the text), class_key (one number per class), n_links, for every row."""
+    spark = docs.sparkSession
+    raw, signed, classes, reps = representatives(docs, threshold, trees)
     edges = candidate_edges(reps, trees, threshold)
     grouped = components(edges)
     candidates = grouped.join(reps.select("node", "doc_id", "t1", "t2", "copies", "n_shingles"), "node")
