@@ -118,19 +118,6 @@ def summary(label: Column, hz: Column, phrase: Column) -> Column:
     return clamp_text(F.when(label.isNotNull(), with_peak).otherwise(F.concat(phrase, F.lit(" vs baseline"))))
 
 
-def display_lines(state: Column, percentile: Column, evidence: Column, remaining: Column) -> dict[str, Column]:
-    """Two lines of at most 60 characters for a state of a monitored machine."""
-    known = percentile.isNotNull() & ~F.isnan(percentile) & (F.abs(percentile) < float("inf"))
-    rank = F.when(known, F.concat(F.lit("P"), F.floor(percentile + 0.5).cast("long").cast("string")))
-    wait = F.ceil(F.greatest(F.lit(0.0), remaining)).cast("long").cast("string")
-    text = F.coalesce(evidence, F.lit(""))
-    tail = F.lit(" | check")
-    fitted = F.concat(F.rtrim(F.substring(text, 1, SUMMARY_CHARS - 8)), tail)
-    first = F.when(state == "CAPTURE", "Learning baseline").when(state == "SUSPECT", F.concat_ws(" ", F.lit("Suspect"), rank)).when(state == "ALERT", F.concat_ws(" ", F.lit("ALERT"), rank)).otherwise(F.concat_ws(" ", F.lit("Listening"), rank))
-    second = F.when(state == "CAPTURE", F.concat(wait, F.lit(" s left"))).when(state == "ALERT", fitted).when(state == "SUSPECT", text).otherwise("")
-    return {"line1": F.substring(first, 1, SUMMARY_CHARS), "line2": F.substring(second, 1, SUMMARY_CHARS)}
-
-
 def wire_state(state: Column) -> Column:
     """The state to show for one that came over the wire: what is unknown or missing is shown as listening."""
     return F.when(state.isin("CAPTURING_BASELINE", "SUSPECT", "ALERT"), state).otherwise("LISTENING")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import baseline, degraded as deg, evidence, metrics, scoring, splits
+from ..operators.tables import written
 from .views import SCORES, SPLIT, clips, degraded, sql
 
 KEYS = ["machine", "machine_id"]
@@ -135,6 +136,15 @@ def determinism_check(spark, d):
     return metrics.determinism(metrics.metrics(scores_of(spark, d)), metrics.metrics(rounded(scoring.knn_scores_blocked(again), score=9)), KEYS, ["auc", "pauc"])
 
 
+@query(sql("""SELECT 'auc' AS metric, count(*) AS compared, count(*) FILTER (round(a.auc, 3) IS DISTINCT FROM round(b.auc, 3)) AS differing
+  FROM auc a FULL JOIN auc2 b ON a.machine = b.machine AND a.machine_id = b.machine_id""", SPLIT, SCORES, AUC, "fewer AS (SELECT * FROM scores WHERE machine_id < 'id_04' OR vec_id % 13 <> 0)", AUC.replace("auc AS (", "auc2 AS (", 1).replace("FROM scores", "FROM fewer")))
+def determinism_faults(spark, d):
+    """The comparison of two runs, of which the second lost some scores of some ids."""
+    scores = written(scores_of(spark, d), "scores")
+    runs = [rounded(metrics.auc(s), auc=9) for s in (scores, scores.where("machine_id < 'id_04' or vec_id % 13 <> 0"))]
+    return metrics.determinism(*runs, KEYS, ["auc"])
+
+
 @query(sql("SELECT vec_id, machine, machine_id, label FROM (SELECT *, row_number() OVER (PARTITION BY machine, machine_id, label ORDER BY path) AS n FROM clips) WHERE n <= 3"))
 def select_clips(spark, d):
     return splits.first_by_name(clips(spark, d), 3).select("vec_id", *KEYS, "label")

@@ -305,12 +305,13 @@ def baseline_tags(spark, d):
     return tags(s).join(s.groupBy("tag").agg(F.count(F.lit(1)).alias("n")), "tag").orderBy("tag")
 
 
-@query(sql("""SELECT stream_id, seq, substr(CASE state WHEN 'SUSPECT' THEN 'Suspect P' || floor(percentile + 0.5)::BIGINT WHEN 'ALERT' THEN 'ALERT P' || floor(percentile + 0.5)::BIGINT WHEN 'CAPTURE' THEN 'Learning baseline' ELSE 'Listening P' || floor(percentile + 0.5)::BIGINT END, 1, 60) AS line1,
-    substr(CASE state WHEN 'CAPTURE' THEN ceil(greatest(0, 30 - t))::BIGINT || ' s left' WHEN 'ALERT' THEN rtrim(substr(ev, 1, 52)) || ' | check' WHEN 'SUSPECT' THEN ev ELSE '' END, 1, 60) AS line2
-  FROM (SELECT *, CASE seq % 4 WHEN 0 THEN 'SUSPECT' WHEN 1 THEN 'ALERT' WHEN 2 THEN 'CAPTURE' ELSE 'other' END AS state, repeat(kind || ' ', 8) AS ev FROM ranked)""", RANKED))
+@query(sql("""SELECT stream_id, seq, CASE shown WHEN 'SUSPECT' THEN 'Suspect P' || p WHEN 'ALERT' THEN 'ALERT P' || p WHEN 'CAPTURING_BASELINE' THEN 'Learning baseline ' || greatest(0, ceil(30 - t))::BIGINT || ' s' ELSE 'Listening' END AS line1,
+    CASE WHEN shown IN ('SUSPECT', 'ALERT') THEN CASE WHEN ev = '' THEN 'tap to log' ELSE rtrim(substr(ev, 1, 47)) || ' | tap to log' END WHEN shown = 'CAPTURING_BASELINE' THEN 'keep the machine running normally' ELSE '' END AS line2
+  FROM (SELECT *, CASE seq % 5 WHEN 0 THEN 'SUSPECT' WHEN 1 THEN 'ALERT' WHEN 2 THEN 'CAPTURING_BASELINE' ELSE 'LISTENING' END AS shown, floor(percentile + 0.5)::BIGINT AS p, trim(repeat(kind || ' ', (seq % 9)::INT)) AS ev FROM ranked)""", RANKED))
 def display_cards(spark, d):
-    m = F.col("seq") % 4
-    state = F.when(m == 0, "SUSPECT").when(m == 1, "ALERT").when(m == 2, "CAPTURE").otherwise("other")
-    rows = ranked(spark, d).withColumns({"state": state, "ev": F.repeat(F.concat("kind", F.lit(" ")), F.lit(8))})
-    lines = S.display_lines(F.col("state"), F.col("percentile"), F.col("ev"), 30 - F.col("t"))
+    """States as they come over the wire, unknown and missing ones among them."""
+    m = F.col("seq") % 5
+    state = F.when(m == 0, "SUSPECT").when(m == 1, "ALERT").when(m == 2, "CAPTURING_BASELINE").when(m == 3, "REBOOTING")
+    rows = ranked(spark, d).withColumns({"state": S.wire_state(state), "ev": F.repeat(F.concat("kind", F.lit(" ")), (F.col("seq") % 9).cast("int"))})
+    lines = S.card_lines(F.col("state"), F.col("percentile"), F.col("ev"), 30 - F.col("t"))
     return rows.select("stream_id", "seq", *[c.alias(k) for k, c in lines.items()])

@@ -101,3 +101,19 @@ def test_one_path_under_two_ids_is_split_by_id(spark):
     for j, (m, i) in enumerate([("fan", "id_00"), ("pump", "id_00"), ("fan", "id_02")]):
         sides = [r.split for r in got if (r.machine, r.machine_id) == (m, i)]
         assert (sides.count("test_abnormal"), sides.count("test_normal"), sides.count("train")) == (3 + j, 3 + j, 17 - j)
+
+
+@pytest.mark.parametrize("most", [1 << 21, 9])
+def test_centroids_in_passes(spark, monkeypatch, most):
+    """Against NumPy, with all centroids at once and with one or two a pass; null classes without train rows."""
+    monkeypatch.setattr(splits, "MODEL_VALUES", most)
+    rng = np.random.default_rng(17)
+    rows = [(f"p{i}", "train" if i % 3 else "val", f"m{i % 5}", rng.normal(i % 5, 1.5, 4).tolist()) for i in range(90)]
+    names = sorted({m for _, _, m, _ in rows})
+    centres = np.array([np.mean([v for _, p, m, v in rows if p == "train" and m == c], axis=0) for c in names])
+    hit = {part: [names[int(((centres - v) ** 2).sum(axis=1).argmin())] == m for _, p, m, v in rows if p == part] for part in ("train", "val")}
+    shape = "path string, part string, machine string, v array<double>"
+    got = {r.part: (r.n, r.accuracy) for r in splits.centroid_accuracy(spark.createDataFrame(rows, shape)).collect()}
+    assert got.keys() == hit.keys() and all(got[p][0] == len(h) and abs(got[p][1] - np.mean(h)) < 1e-9 for p, h in hit.items())
+    alone = splits.centroid_accuracy(spark.createDataFrame([r for r in rows if r[1] == "val"], shape)).collect()
+    assert [(r.part, r.n, r.accuracy) for r in alone] == [("val", 30, None)]
