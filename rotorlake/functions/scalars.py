@@ -79,7 +79,8 @@ def mono(x: Column, channels: int) -> Column:
     """Mean over the channels of interleaved samples; a partial last frame is dropped."""
     n = F.floor(F.size(x) / channels).cast("int")
     frames = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(frames, lambda i: F.aggregate(F.slice(x, i * channels + 1, channels), F.lit(0.0), lambda a, v: a + v) / channels)
+    # sums start at -0.0, which leaves the sign of every first sample as it is
+    return F.transform(frames, lambda i: F.aggregate(F.slice(x, i * channels + 1, channels), F.lit(-0.0), lambda a, v: a + v) / channels)
 
 
 def resample(x: Column, src: int, dst: int) -> Column:

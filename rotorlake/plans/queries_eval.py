@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -33,12 +33,19 @@ def rounded(df: DataFrame, **places: int) -> DataFrame:
     return df.withColumns({c: F.round(c, n) for c, n in places.items()})
 
 
+def rounded_as_sql(x: Column, places: int) -> Column:
+    """SQL's round of doubles: scaled, half away from zero, and what rounds to zero keeps its sign (``F.round`` drops it)."""
+    y = x * 10.0**places
+    even = F.rint(y)
+    return F.when(F.abs(y - even) == 0.5, y + F.signum(y) * 0.5).otherwise(even) / 10.0**places
+
+
 def split_of(spark: SparkSession, d: str) -> DataFrame:
     return splits.anomaly_split(clips(spark, d))
 
 
 def rounded_mean(rows: DataFrame) -> DataFrame:
-    return baseline.mean_vector(rows, KEYS).withColumn("mean", F.transform("mean", lambda x: F.round(x, 6)))
+    return baseline.mean_vector(rows, KEYS).withColumn("mean", F.transform("mean", lambda x: rounded_as_sql(x, 6)))
 
 
 def scores_of(spark: SparkSession, d: str) -> DataFrame:
@@ -232,7 +239,7 @@ def pcm_quantize(spark, d):
 
 @query(sql("SELECT vec_id, list_transform(range(len(v) // 3), lambda i: round((v[i * 3 + 1] + v[i * 3 + 2] + v[i * 3 + 3]) / 3, 6)) AS mono FROM clips"))
 def mono_mix(spark, d):
-    return clips(spark, d).select("vec_id", F.transform(S.mono(F.col("v"), 3), lambda x: F.round(x, 6)).alias("mono"))
+    return clips(spark, d).select("vec_id", F.transform(S.mono(F.col("v"), 3), lambda x: rounded_as_sql(x, 6)).alias("mono"))
 
 
 @query(sql("""SELECT vec_id, list_transform(range(96), lambda i: round(v[floor(least(i * 2.0 / 3, 63))::INT + 1] +
