@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import math
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -39,10 +40,23 @@ def running_sums(rows: DataFrame, keys: list[str], order: list, values: list[str
     return out.select(*rows.columns, *[(F.col(f"in_{v}") + F.col(f"past_{v}")).alias(f"below_{v}") for v in values], *[f"all_{v}" for v in values])
 
 
-# folds
+# folds: summary and after put slices together; walk steps through the rows of one, run gives all its values at once
 
+#: Arrow's names of the columns that folds make.
+WIRE = {"double": pa.float64(), "long": pa.int64(), "string": pa.string()}
 
-class Smooth:
+
+class Fold:
+    def walk(self, state) -> Callable[..., tuple]:
+        """A function from a row's inputs to its values, which carries the state along."""
+        raise NotImplementedError
+
+    def run(self, state, rows: list[tuple]) -> list[tuple]:
+        step = self.walk(state)
+        return [step(*row) for row in rows]
+
+
+class Smooth(Fold):
     """EMA that starts at its first value; a slice is the affine map y -> a + b y."""
 
     inputs, schema = ["raw"], "ema double"
@@ -66,15 +80,16 @@ class Smooth:
         a, b, first = summary
         return first if state is None else a + b * state
 
-    def run(self, state, rows: list[tuple]) -> list[tuple]:
-        out = []
-        for (x,) in rows:
+    def walk(self, state):
+        def step(x: float) -> tuple:
+            nonlocal state
             state = x if state is None else self.alpha * x + (1 - self.alpha) * state
-            out.append((state,))
-        return out
+            return (state,)
+
+        return step
 
 
-class Streak:
+class Streak(Fold):
     """How many hot rows end here; a slice is its length if all are hot, or the streak it ends with."""
 
     inputs, schema = ["percentile"], "streak long"
@@ -93,15 +108,16 @@ class Streak:
         last, all_hot = summary
         return last + state if all_hot else last
 
-    def run(self, state, rows: list[tuple]) -> list[tuple]:
-        out = []
-        for (p,) in rows:
+    def walk(self, state):
+        def step(p: float) -> tuple:
+            nonlocal state
             state = state + 1 if p >= self.enter else 0
-            out.append((state,))
-        return out
+            return (state,)
+
+        return step
 
 
-class Alerts:
+class Alerts(Fold):
     """The alert policy; a slice is a table from each state that may come in to the state that goes out.
 
     What comes in is a state, a streak (beyond n all are alike) and the end of a cooldown, which matters only by the first row
@@ -148,14 +164,18 @@ class Alerts:
         kind, streak, made = table[kind, min(streak, self.n), end]
         return kind, streak, until if made is None else made, last
 
-    def run(self, state, rows: list[tuple]) -> list[tuple]:
+    def walk(self, state):
         a = AlertPolicy(**self.policy)
         a.state, a.streak, a.cooldown_until, a.last_t = state
-        return [(a.step(p, t),) for p, t in rows]
+        return lambda p, t: (a.step(p, t),)
 
 
 def fold_in_slices(rows: DataFrame, key: str, order: list[str], fold, slices: int | None = None) -> DataFrame:
-    """key, order columns and the fold's values, as a fold over each key's rows in order gives them."""
+    """key, order columns and the fold's values, as a fold over each key's rows in order gives them.
+
+    Keys are whole in a slice, but for those at its ends: at most one key for each boundary has its slices summed up.  Tasks
+    then stream through sorted rows, any number of keys one after the other, with one state at a time.
+    """
     names = list(dict.fromkeys([key, *order, *fold.inputs]))
     own = in_slices(rows.select(*names), [key], order, slices)
     kinds = {f.name: f.dataType.simpleString() for f in own.schema}
@@ -174,14 +194,28 @@ def fold_in_slices(rows: DataFrame, key: str, order: list[str], fold, slices: in
 
     kept = [key, *order]
     made = [x.split()[0] for x in fold.schema.split(", ")]
-
-    def finished(pdf: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        out = pd.DataFrame(fold.run(pickle.loads(bytes(state["held"].iloc[0])), inputs(pdf)), columns=made, index=pdf.index)
-        return pd.concat([pdf[kept], out], axis=1)
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in dict.fromkeys(kept)), fold.schema])
+
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape, at, walk = None, object(), None
+        for b in batches:
+            if shape is None:
+                shape = pa.schema([*(b.schema.field(c) for c in dict.fromkeys(kept)), *(pa.field(c, WIRE[x.split()[1]]) for c, x in zip(made, fold.schema.split(", ")))])
+            # through pandas: null numbers come as NaN, as they do in the summaries
+            values = zip(*(b.column(c).to_pandas().tolist() for c in fold.inputs))
+            out = []
+            for group, held, row in zip(zip(b.column(key).to_pylist(), b.column("slice").to_pylist()), b.column("held").to_pylist(), values):
+                if group != at:
+                    at, walk = group, fold.walk(fold.start() if held is None else pickle.loads(held))
+                out.append(walk(*row))
+            columns = zip(*out) if out else [[] for _ in made]
+            yield pa.record_batch([*(b.column(c) for c in dict.fromkeys(kept)), *(pa.array(c, shape.field(m).type, from_pandas=True) for c, m in zip(columns, made))], schema=shape)
 
     small = f"{key} {kinds[key]}, slice int, held binary"
-    starts = own.groupBy(key, "slice").applyInPandas(summed, small).groupBy(key).applyInPandas(begun, small)
-    # written: the summaries are not worked out again for each side of the cogroup
-    starts = written(starts, "starts")
-    return own.groupBy(key, "slice").cogroup(starts.groupBy(key, "slice")).applyInPandas(finished, ", ".join([*(f"{c} {kinds[c]}" for c in kept), fold.schema]))
+    # as many keys as there are boundaries between slices, at most; written: what follows reads them twice
+    cut = written(own.groupBy(key).agg(F.min("slice").alias("a"), F.max("slice").alias("z")).where("a < z").select(F.col(key).alias("_key")), "cut")
+    parts = own.join(F.broadcast(cut), F.col(key).eqNullSafe(F.col("_key")), "left_semi")
+    starts = written(parts.groupBy(key, "slice").applyInPandas(summed, small).groupBy(key).applyInPandas(begun, small), "starts")
+    known = F.broadcast(starts.select(F.col(key).alias("_key"), F.col("slice").alias("_slice"), "held"))
+    begins = own.join(known, F.col(key).eqNullSafe(F.col("_key")) & (F.col("slice") == F.col("_slice")), "left").drop("_key", "_slice")
+    return begins.repartition(key, "slice").sortWithinPartitions(key, "slice", *order).mapInArrow(finished, schema)
