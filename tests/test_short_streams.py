@@ -20,7 +20,7 @@ def expected(name, values):
     return out
 
 
-@pytest.mark.parametrize("name", ["streak", "ema"])
+@pytest.mark.parametrize("name", ["streak", "ema", "alerts"])
 def test_whole_streams_are_not_summed_up(spark, name):
     fold = {"streak": lambda: scan.Streak(70.0), "ema": scan.Smooth, "alerts": lambda: scan.Alerts(**POLICY)}[name]()
     calls = spark.sparkContext.accumulator(0)
