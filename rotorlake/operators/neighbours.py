@@ -1,8 +1,10 @@
-"""Exact nearest neighbours within keys, by blocks that the triangle inequality rules out.
+"""Exact nearest neighbours within keys, by cells that the triangle inequality rules out.
 
-The train rows of a key are cut into hash blocks, each block into cells around the key's pivots; a cell's rows become one
-packed block with its radius.  A query first visits the nearest blocks that hold k rows; the k-th distance found then bounds
-its second visit, to every block that could hold something as near.  No row is made for a pair, and no task holds a key.
+The train rows of a key are cut into hash blocks of about ``TRAIN_BLOCK`` rows (at most ``VALUES`` numbers), each packed into one
+row and sorted into cells around pivots of its own, with their radii.  A block of queries meets each of these once: in the task a
+query visits the nearest cells that hold k rows, and then every cell that could hold something as near as the k-th so far.
+Vectors travel as often as the other side has blocks, which are few, large and independent of the cells: a key's queries are cut into
+``PARTS`` blocks at most until these hold ``QUERY_WIDE`` rows.  No row is made for a pair, and no task holds a key.
 
 Distances are 1 - cosine; unit vectors a distance d apart are sqrt(2 d) apart in space, where the inequality holds.  Zero vectors are at
 distance 1 from everything and have a cell of their own.  Distances equal to 12 places are ties and go by train id.
@@ -10,16 +12,18 @@ distance 1 from everything and have a cell of their own.  Distances equal to 12
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tables import written
 
-PIVOTS, TRAIN_BLOCK, QUERY_BLOCK = 32, 4096, 1024
+PIVOTS, TRAIN_BLOCK, QUERY_BLOCK, QUERY_WIDE = 32, 32768, 1024, 16384
+#: Most query blocks of a key as long as they are not wide: enough for all cores, few enough copies of the train rows.
+PARTS = 4
+#: Numbers in a packed block, and distances that a task holds at once.
+VALUES = 1 << 21
 ZERO = -1
 PLACES = 12
 
@@ -29,9 +33,14 @@ def units(x: np.ndarray) -> np.ndarray:
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
-def spread(rows: DataFrame, keys: list[str], row_id: str, most: int, name: str) -> tuple[DataFrame, DataFrame]:
-    """rows with ``name``, the hash block of about ``most`` rows that each is in, and the number of blocks of each key."""
-    counts = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(f"n_{name}"))
+def parts(n: Column, least: int, most: int, wide: Column | int) -> Column:
+    """Blocks for n rows: of ``least`` rows while they are no more than ``most``, which grow until they hold ``wide`` rows."""
+    return F.greatest(F.lit(1), F.least(F.ceil(n / least), F.lit(most)), F.ceil(n / wide)).cast("int")
+
+
+def spread(rows: DataFrame, keys: list[str], row_id: str, n_blocks: Column, name: str) -> tuple[DataFrame, DataFrame]:
+    """rows with ``name``, the hash block that each is in, and the number of blocks of each key (``n_blocks`` aggregates its rows)."""
+    counts = rows.groupBy(*keys).agg(n_blocks.alias(f"n_{name}"))
     return rows.join(counts, keys).withColumn(name, F.pmod(F.xxhash64(row_id), F.col(f"n_{name}")).cast("int")).drop(f"n_{name}"), counts
 
 
@@ -41,99 +50,115 @@ def dealt(rows: DataFrame, counts: DataFrame, keys: list[str], name: str) -> Dat
     return out.select(*[F.col(c).alias(c) for c in out.columns])
 
 
+class Best:
+    """The k smallest (d, id) so far of each of some queries."""
+
+    def __init__(self, n: int, k: int, kind: np.dtype):
+        self.k, self.d, self.ids, self.n = k, np.full((n, k), 3.0), np.zeros((n, k), kind), np.zeros(n, int)
+
+    def meet(self, rows: np.ndarray, q: np.ndarray, t: np.ndarray, ids: np.ndarray) -> None:
+        """Queries ``q``, whose places are ``rows``, against all of ``t``."""
+        near = q @ t.T
+        least, k = 1 - self.d[rows, -1], self.k
+        if len(ids) > k and (self.n[rows] < k).any():
+            least = np.maximum(least, np.partition(near, len(ids) - k, axis=1)[:, len(ids) - k])
+        # what rounds to the k-th distance is a tie and stays in
+        i, j = np.nonzero(near >= least[:, None] - 2 * 10.0**-PLACES)
+        d, r = np.round(np.clip(1 - near[i, j], 0, 2), PLACES), rows[i]
+        better = (self.n[r] < k) | (d < self.d[r, -1]) | ((d == self.d[r, -1]) & (ids[j] < self.ids[r, -1]))
+        r, d, own = r[better], d[better], ids[j[better]]
+        if not len(r):
+            return
+        touched = np.unique(r)
+        held = np.arange(k) < self.n[touched][:, None]
+        at = np.concatenate([r, np.repeat(touched, self.n[touched])])
+        d, own = np.concatenate([d, self.d[touched][held]]), np.concatenate([own, self.ids[touched][held]])
+        order = np.lexsort((own, d, at))
+        at, d, own = at[order], d[order], own[order]
+        rank = np.arange(len(at)) - np.searchsorted(at, at)
+        first = rank < k
+        self.d[at[first], rank[first]], self.ids[at[first], rank[first]] = d[first], own[first]
+        self.n[touched] = np.minimum(k, np.bincount(np.searchsorted(touched, at)))
+
+
 class Neighbours:
-    """The blocks of train(keys, t_id, v), written once, for any number of searches."""
+    """The packed blocks of train(keys, t_id, v), written once, for any number of searches.
+
+    ``blocks`` has a row for each cell; after a search ``chosen`` has one for each cell that was visited, with its queries.
+    """
 
     def __init__(self, train: DataFrame, keys: list[str], t_id: str, vector: str = "v", pivots: int = PIVOTS):
         self.keys, self.kinds = keys, ", ".join(f"{k} {train.schema[k].dataType.simpleString()}" for k in keys)
         self.id_kind = train.schema[t_id].dataType.simpleString()
         rows = written(train.select(*keys, F.col(t_id).alias("t_id"), F.col(vector).cast("array<double>").alias("v")), "train")
-        own, counts = spread(rows, keys, "t_id", TRAIN_BLOCK, "hb")
-        # a pivot for each of some hash classes: the row with the smallest hash, by partial aggregation
-        chosen = rows.where(F.exists("v", lambda x: x != 0)).groupBy(*keys, F.pmod(F.xxhash64("t_id"), F.lit(pivots)).alias("cell")).agg(F.min_by("v", F.struct(F.xxhash64("t_id", "v"), "v")).alias("pivot"))
-        self.pivots = written(chosen.select(*keys, F.col("cell").cast("int").alias("cell"), "pivot"), "pivots")
-
-        def pack(t: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-            out = []
-            if len(t):
-                u = units(np.vstack(t["v"].to_numpy()))
-                zero = ~u.any(axis=1)
-                cells, where, far = np.full(len(u), ZERO), np.full(len(u), ZERO), np.zeros(len(u))
-                if len(p):
-                    at, centre = p["cell"].to_numpy(), units(np.vstack(p["pivot"].to_numpy()))
-                    near = (u @ centre.T).argmax(axis=1)
-                    far = np.linalg.norm(u - centre[near], axis=1)
-                    cells = np.where(zero, ZERO, at[near])
-                for c in np.unique(cells):
-                    m = cells == c
-                    out.append((*(t[k].iloc[0] for k in keys), int(c), int(t["hb"].iloc[0]), int(m.sum()), float(far[m].max()), t["t_id"].to_numpy()[m].tolist(), u[m].tobytes()))
-            return pd.DataFrame(out, columns=[*keys, "cell", "hb", "n", "radius", "ids", "u"])
-
-        packed = own.groupBy(*keys, "hb").cogroup(dealt(self.pivots, counts, keys, "hb").groupBy(*keys, "hb")).applyInPandas(pack, f"{self.kinds}, cell int, hb int, n int, radius double, ids array<{self.id_kind}>, u binary")
-        self.blocks = written(packed, "blocks")
-
-    def visits(self, queries: DataFrame, counts: DataFrame, k: int) -> DataFrame:
-        """Queries (keys, qb, q_id, v, bound) packed for each block they visit; with a null bound, the nearest blocks with k rows."""
-        keys, names = self.keys, [*self.keys, "cell", "hb", "q_ids", "q"]
-        summary = self.blocks.select(*keys, "cell", "hb", "n", "radius").join(self.pivots, [*keys, "cell"], "left")
-
-        def choose(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            out = []
-            if len(q) and len(b):
-                u = units(np.vstack(q["v"].to_numpy()))
-                zero = b["cell"].to_numpy() == ZERO
-                centre = units(np.vstack([np.zeros(u.shape[1]) if p is None else p for p in b["pivot"]]))
-                gap = np.sqrt(np.maximum(0, 2 - 2 * np.clip(u @ centre.T, -1, 1)))
-                least = np.maximum(0, gap - b["radius"].to_numpy() - 1e-7) ** 2 / 2
+        most = F.least(F.lit(TRAIN_BLOCK), F.greatest(F.lit(1), F.floor(VALUES / F.greatest(F.lit(1), F.max(F.size("v"))))))
+        own, self.counts = spread(rows, keys, "t_id", F.ceil(F.count(F.lit(1)) / most).cast("int"), "hb")
+
+        def pack(t: pd.DataFrame) -> pd.DataFrame:
+            t = t.sort_values("t_id")
+            u, ids = units(np.vstack(t["v"].to_numpy())), t["t_id"].to_numpy()
+            some = np.flatnonzero(u.any(axis=1))
+            cells, far = np.full(len(u), ZERO), np.zeros(len(u))
+            centre = u[np.sort(np.random.default_rng(0).choice(some, min(pivots, len(some)), replace=False))] if len(some) else u[:0]
+            if len(some):
+                near = u[some] @ centre.T
+                cells[some] = near.argmax(axis=1)
+                far[some] = np.linalg.norm(u[some] - centre[cells[some]], axis=1)
+            order = np.argsort(cells, kind="stable")
+            made = [{"cell": int(c), "n": int((cells == c).sum()), "radius": float(far[cells == c].max()), "pivot": centre[c].tolist() if c != ZERO else [0.0] * u.shape[1]} for c in np.unique(cells)]
+            return pd.DataFrame([(*(t[k].iloc[0] for k in keys), int(t["hb"].iloc[0]), made, ids[order].tolist(), u[order].tobytes())], columns=[*keys, "hb", "cells", "ids", "u"])
+
+        shape = f"{self.kinds}, hb int, cells array<struct<cell:int,n:int,radius:double,pivot:array<double>>>, ids array<{self.id_kind}>, u binary"
+        self.packed = written(own.groupBy(*keys, "hb").applyInPandas(pack, shape), "blocks")
+        self.blocks = self.packed.select(*keys, "hb", F.inline("cells"))
+
+    def met(self, queries: DataFrame, n_queries: DataFrame, k: int) -> DataFrame:
+        """keys, hb, q_id, near, visited of queries(keys, qb, q_id, v): the k nearest (d, t_id) in each packed block, and the cells that were visited."""
+        keys, kind = self.keys, queries.schema["q_id"].dataType.simpleString()
+        names = [*keys, "hb", "q_id", "near", "visited"]
+
+        def search(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+            if q.empty or t.empty:
+                return pd.DataFrame([], columns=names)
+            u, ids, cells = np.frombuffer(t["u"].iloc[0]).reshape(len(t["ids"].iloc[0]), -1), np.asarray(t["ids"].iloc[0]), t["cells"].iloc[0]
+            n, radius = np.array([c["n"] for c in cells]), np.array([c["radius"] for c in cells])
+            ends = np.cumsum(n)
+            zero, centre = np.array([c["cell"] == ZERO for c in cells]), np.vstack([c["pivot"] for c in cells])
+            at = [c["cell"] for c in cells]
+            x, near, visited = units(np.vstack(q["v"].to_numpy())), [], []
+            stripe = max(1, VALUES // int(n.max()))
+            for lo in range(0, len(x), stripe):
+                y = x[lo : lo + stripe]
+                gap = np.sqrt(np.maximum(0, 2 - 2 * np.clip(y @ centre.T, -1, 1)))
+                least = np.maximum(0, gap - radius - 1e-7) ** 2 / 2
                 # a zero vector is at distance 1, as query or in its own cell
                 least[:, zero] = 1.0
-                least[~u.any(axis=1)] = 1.0
-                bound = q["bound"].to_numpy(dtype=float)
+                least[~y.any(axis=1)] = 1.0
                 order = np.argsort(least, axis=1, kind="stable")
-                before = np.cumsum(b["n"].to_numpy()[order], axis=1) - b["n"].to_numpy()[order]
                 first = np.zeros(least.shape, bool)
-                np.put_along_axis(first, order, before < k, axis=1)
-                go = np.where(np.isnan(bound)[:, None], first, least <= bound[:, None] + 1e-9)
-                for j in np.flatnonzero(go.any(axis=0)):
-                    m = go[:, j]
-                    out.append((*(q[c].iloc[0] for c in keys), int(b["cell"].iloc[j]), int(b["hb"].iloc[j]), q["q_id"].to_numpy()[m].tolist(), u[m].tobytes()))
-            return pd.DataFrame(out, columns=names)
-
-        by = [*keys, "qb"]
-        kind = queries.schema["q_id"].dataType.simpleString()
-        return queries.groupBy(*by).cogroup(dealt(summary, counts, keys, "qb").groupBy(*by)).applyInPandas(choose, f"{self.kinds}, cell int, hb int, q_ids array<{kind}>, q binary")
-
-    def met(self, visits: DataFrame, k: int) -> DataFrame:
-        """keys, q_id, near: the k nearest (d, t_id) over the visited blocks."""
-        kind = visits.schema["q_ids"].dataType.elementType.simpleString()
-        keys = self.keys
-
-        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                for r in pdf.itertuples(index=False):
-                    u = np.frombuffer(r.u).reshape(len(r.ids), -1)
-                    d = np.round(np.clip(1 - np.frombuffer(r.q).reshape(len(r.q_ids), -1) @ u.T, 0, 2), PLACES)
-                    ids = np.asarray(r.ids)
-                    cut = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] > k else np.full(len(d), 3.0)
-                    out = []
-                    for i, q in enumerate(r.q_ids):
-                        j = np.flatnonzero(d[i] <= cut[i])
-                        j = j[np.lexsort((ids[j], d[i, j]))][:k]
-                        out.append((*(getattr(r, c) for c in keys), q, [{"d": float(d[i, x]), "t_id": ids[x].item()} for x in j]))
-                    yield pd.DataFrame(out, columns=[*keys, "q_id", "near"])
-
-        # one wide row of each side at a time in a batch would do: blocks are a few MB
-        pairs = visits.join(self.blocks, [*keys, "cell", "hb"]).select(*keys, "q_ids", "q", "ids", "u")
-        near = pairs.mapInPandas(work, f"{self.kinds}, q_id {kind}, near array<struct<d:double,t_id:{self.id_kind}>>")
-        return near.groupBy(*keys, "q_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+                np.put_along_axis(first, order, np.cumsum(n[order], axis=1) - n[order] < k, axis=1)
+                best, went = Best(len(y), k, ids.dtype), first.copy()
+                for again in (False, True):
+                    for j in range(len(n)):
+                        go = ~first[:, j] & (least[:, j] <= best.d[:, -1] + 1e-9) if again else first[:, j]
+                        if go.any():
+                            went[:, j] |= go
+                            rows, a, z = np.flatnonzero(go), ends[j] - n[j], ends[j]
+                            best.meet(rows, y[rows], u[a:z], ids[a:z])
+                near += [[{"d": d, "t_id": i} for d, i in zip(ds[:m], own[:m])] for ds, own, m in zip(best.d.tolist(), best.ids.tolist(), best.n.tolist())]
+                visited += [[at[j] for j in np.flatnonzero(w)] for w in went]
+            return pd.DataFrame({**{c: [q[c].iloc[0]] * len(q) for c in keys}, "hb": t["hb"].iloc[0], "q_id": q["q_id"], "near": near, "visited": visited})
+
+        by = [*keys, "qb", "hb"]
+        mine = dealt(queries, self.counts, keys, "hb").groupBy(*by)
+        return mine.cogroup(dealt(self.packed, n_queries, keys, "qb").groupBy(*by)).applyInPandas(search, f"{self.kinds}, hb int, q_id {kind}, near array<struct<d:double,t_id:{self.id_kind}>>, visited array<int>")
 
     def search(self, queries: DataFrame, q_id: str, k: int, vector: str = "v") -> DataFrame:
         """keys, q_id, near: the k nearest (d, t_id) of each of queries(keys, q_id, v), nearest first; fewer if the key has fewer."""
         keys = self.keys
         rows = written(queries.select(*keys, F.col(q_id).alias("q_id"), F.col(vector).cast("array<double>").alias("v")), "queries")
-        own, counts = spread(rows, keys, "q_id", QUERY_BLOCK, "qb")
-        first = self.met(self.visits(own.withColumn("bound", F.lit(None).cast("double")), counts, k), k)
-        bound = first.select(*keys, "q_id", F.when(F.size("near") == k, F.col("near")[k - 1]["d"]).otherwise(3.0).alias("bound"))
-        bounded = own.join(written(bound, "bounds"), [*keys, "q_id"])
-        self.chosen = written(self.visits(bounded.select(*[F.col(c).alias(c) for c in bounded.columns]), counts, k), "visits")
-        return self.met(self.chosen, k).select(*keys, F.col("q_id").alias(q_id), "near")
+        own, counts = spread(rows, keys, "q_id", parts(F.count(F.lit(1)), QUERY_BLOCK, PARTS, QUERY_WIDE), "qb")
+        met = self.met(own, counts, k)
+        self.chosen = met.select(*keys, "hb", "q_id", F.explode("visited").alias("cell")).groupBy(*keys, "hb", "cell").agg(F.collect_list("q_id").alias("q_ids"))
+        best = met.groupBy(*keys, "q_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+        return best.select(*keys, F.col("q_id").alias(q_id), "near")
