@@ -29,3 +29,13 @@ def test_a_task_holds_one_pair_of_bounded_blocks(spark, monkeypatch, capsys):
     sizes = [len(r.u) for r in neighbours.Neighbours(train, ["machine", "machine_id"], "t").packed.collect()]
     # hash blocks vary around 80 rows of 50 numbers
     assert len(sizes) == 4 and max(sizes) < 1.5 * 8 * 4000
+
+
+def test_vectors_are_not_written_for_each_cell(spark):
+    def tables():
+        return {p.name.split("-")[1] for p in Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:")).glob("rotorlake-*") if p not in before}
+
+    before = set(Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:")).glob("rotorlake-*"))
+    assert scoring.knn_scores(clips(spark, 400, 16)).count() == 100
+    # each side once as it is, the train rows once more packed; no table of visits
+    assert tables() == {"train", "blocks", "queries"}
