@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from ..functions.scalars import cosine_distance, unit
 from . import moments
 from .baseline import mean_vector
-from .neighbours import Neighbours
+from .neighbours import QUERY_WIDE, VALUES, Neighbours, parts
 
 KEYS = ["machine", "machine_id"]
+#: Most blocks of an id's test rows as long as they are not wide.
+TEST_PARTS = 8
 
 
 def knn_scores(split: DataFrame, k: int = 2, strict: bool = False) -> DataFrame:
@@ -45,19 +47,26 @@ def nearest(test: np.ndarray, train: np.ndarray, k: int) -> np.ndarray:
         n = np.linalg.norm(x, axis=1, keepdims=True)
         return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
-    d = np.clip(1 - norm(test) @ norm(train).T, 0, 2)
-    k = min(k, d.shape[1])
-    return np.sort(np.partition(d, k - 1, axis=1)[:, :k], axis=1)
+    q, t, out = norm(test), norm(train).T, []
+    k = min(k, len(train))
+    stripe = max(1, VALUES // len(train))
+    for lo in range(0, len(q), stripe):
+        far = -(q[lo : lo + stripe] @ t)
+        far.partition(k - 1, axis=1)
+        out.append(np.sort(np.clip(1 + far[:, :k], 0, 2), axis=1))
+    return np.concatenate(out)
 
 
 def knn_scores_blocked(split: DataFrame, k: int = 2, block: int = 2048) -> DataFrame:
     """The same scores by matrix products over blocks of test and train rows.
 
-    Both sides of an id are cut into blocks of about ``block`` rows, so no task holds an id whole; each pair of
-    blocks gives k distances per test row, and the k smallest over all blocks are kept.
+    Both sides of an id are cut into blocks, so no task holds an id whole; each pair of blocks gives k distances per
+    test row, and the k smallest over all blocks are kept.  Blocks have about ``block`` rows while the train side has two
+    at most and the test side ``TEST_PARTS``, and then grow to ``QUERY_WIDE`` test rows and ``VALUES`` numbers of train rows,
+    as a row travels once for each block of the other side.
     """
-    n = split.groupBy(*KEYS).agg((F.count_if(F.col("split") == "train") / block).alias("a"), (F.count_if(F.col("split") != "train") / block).alias("b"))
-    n = n.select(*KEYS, F.ceil(F.greatest("a", F.lit(1))).cast("int").alias("n_train"), F.ceil(F.greatest("b", F.lit(1))).cast("int").alias("n_test"))
+    n = split.groupBy(*KEYS).agg(F.count_if(F.col("split") == "train").alias("a"), F.count_if(F.col("split") != "train").alias("b"), F.greatest(F.lit(1), F.max(F.size("v"))).alias("size"))
+    n = n.select(*KEYS, parts(F.col("a"), block, 2, VALUES / F.col("size")).alias("n_train"), parts(F.col("b"), block, TEST_PARTS, QUERY_WIDE).alias("n_test"))
     rows = split.join(n, KEYS)
     own = lambda m: F.pmod(F.xxhash64("vec_id"), F.col(m)).cast("int")
     train = rows.where("split = 'train'").withColumn("tb", own("n_train")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("n_test") - 1)))
