@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,6 +43,11 @@ def condition_label(condition: Column, suspected_fault: Column) -> Column:
     return nonempty(condition, nonempty(suspected_fault, F.lit("unknown")))
 
 
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x worked out once; what a lambda takes from outside as an expression is worked out again for each element."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def peak(x: Column) -> Column:
     return F.array_max(F.transform(x, F.abs))
 
@@ -55,8 +62,7 @@ def dot(x: Column, y: Column) -> Column:
 
 def unit(x: Column) -> Column:
     """The vector at length one; a zero vector stays as it is."""
-    n = F.sqrt(dot(x, x))
-    return F.transform(x, lambda v: F.when(n == 0, F.lit(0.0)).otherwise(v / n))
+    return bound(F.sqrt(dot(x, x)), lambda n: F.transform(x, lambda v: F.when(n == 0, F.lit(0.0)).otherwise(v / n)))
 
 
 def cosine_distance(x: Column, y: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import power
+from ..functions.scalars import bound, peak, power
 from . import metrics
 from .tables import written
 
@@ -105,11 +105,11 @@ def noise_assignment(clips: DataFrame, snrs: list[float], n_noise: int) -> DataF
 
 def mix_at_snr(clean: Column, noise: Column, snr_db: Column) -> Column:
     """Clean plus noise scaled to the level; the whole is brought to 0.99 if its peak passes 1; no power is null."""
-    pc, pn = power(clean), power(noise)
-    scale = F.sqrt(pc / (F.pow(F.lit(10.0), snr_db / 10) * pn))
-    mixed = F.zip_with(clean, noise, lambda a, b: a + scale * b)
-    top = F.array_max(F.transform(mixed, F.abs))
-    return F.when((pc > 0) & (pn > 0), F.when(top > 1, F.transform(mixed, lambda x: x * 0.99 / top)).otherwise(mixed))
+    level = lambda p: F.sqrt(p["pc"] / (F.pow(F.lit(10.0), snr_db / 10) * p["pn"]))
+    limited = lambda m: bound(peak(m), lambda top: F.when(top > 1, F.transform(m, lambda x: x * 0.99 / top)).otherwise(m))
+    mixed = lambda scale: bound(F.zip_with(clean, noise, lambda a, b: a + scale * b), limited)
+    powers = F.struct(power(clean).alias("pc"), power(noise).alias("pn"))
+    return bound(powers, lambda p: F.when((p["pc"] > 0) & (p["pn"] > 0), bound(level(p), mixed)))
 
 
 def playlist_offsets(clips: DataFrame, chirp: int, silence: int, keys: list[str]) -> DataFrame:

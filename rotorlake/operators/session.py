@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import cosine_distance, unit
+from ..functions.scalars import bound, cosine_distance, unit
 from .baseline import calib_holdout
 
 
 def knn_mean(v: Column, train: Column, k: int = 2) -> Column:
     """Mean of the k smallest cosine distances of a vector to an array of unit vectors."""
-    near = F.slice(F.array_sort(F.transform(train, lambda t: cosine_distance(unit(v), t))), 1, k)
+    near = F.slice(F.array_sort(bound(unit(v), lambda u: F.transform(train, lambda t: cosine_distance(u, t)))), 1, k)
     return F.aggregate(near, F.lit(0.0), lambda a, d: a + d) / k
 
 
