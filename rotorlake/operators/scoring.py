@@ -13,6 +13,7 @@ from ..functions.scalars import cosine_distance, unit
 from . import moments
 from .baseline import mean_vector
 from .neighbours import QUERY_WIDE, VALUES, Neighbours, parts
+from .tables import written
 
 KEYS = ["machine", "machine_id"]
 #: Most blocks of an id's test rows as long as they are not wide.
@@ -156,10 +157,13 @@ def lw_shrinkage(train: DataFrame) -> DataFrame:
 
 
 def mean_scores(split: DataFrame) -> DataFrame:
-    """vec_id, keys, y, score: cosine distance to the mean of the id's train vectors; all in the JVM, one small row for each id."""
-    mean = mean_vector(split.where("split = 'train'"), KEYS)
+    """vec_id, keys, y, score: cosine distance to the mean of the id's train vectors; all in the JVM, one small row for each id.
+
+    The means are written: Spark then knows their size and takes small ones to the rows, which stay where they are.
+    """
+    mean = written(mean_vector(split.where("split = 'train'"), KEYS).withColumn("mean", unit(F.col("mean"))), "means")
     rows = split.where("split <> 'train'").join(mean, KEYS)
-    return rows.select("vec_id", *KEYS, (F.col("split") == "test_abnormal").cast("int").alias("y"), cosine_distance(unit(F.col("v")), unit(F.col("mean"))).alias("score"))
+    return rows.select("vec_id", *KEYS, (F.col("split") == "test_abnormal").cast("int").alias("y"), cosine_distance(unit(F.col("v")), F.col("mean")).alias("score"))
 
 
 def moment_figures(train: DataFrame) -> DataFrame:
