@@ -121,8 +121,8 @@ class Alerts(Fold):
     """The alert policy; a slice is a table from each state that may come in to the state that goes out.
 
     What comes in is a state, a streak (beyond n all are alike) and the end of a cooldown, which matters only by the first row
-    of the slice that is not before it; no cooldown reaches further than its length into the slice.  All starts step
-    together and those that meet go on as one, so a table costs little more than a fold.
+    of the slice that is not before it; no cooldown reaches further than its length into the slice, and then it is none.
+    Starts step as one from where they meet, mostly all after a few rows, so a table costs little more than a fold.
     """
 
     inputs, schema = ["percentile", "t"], "state string"
@@ -134,25 +134,42 @@ class Alerts(Fold):
     def start(self):
         return LISTENING, 0, 0.0, None
 
-    def step(self, state: tuple, p: float, t: float) -> tuple:
+    def at(self, kind: str, streak: int, until: float, seen: float | None = None) -> AlertPolicy:
         a = AlertPolicy(**self.policy)
-        a.state, a.streak, a.cooldown_until, a.last_t = state[:4]
-        a.step(p, t)
-        # whether this slice has set the end of the cooldown
-        made = state[4] or state[0] == ALERT != a.state
-        return a.state, min(a.streak, self.n), a.cooldown_until, a.last_t, made
+        a.state, a.streak, a.cooldown_until, a.last_t = kind, streak, until, seen
+        return a
+
+    def met(self, going: list, t: float) -> list:
+        """``going`` with those that cannot differ any more as one; an inherited cooldown that is over by t is none."""
+        out = {}
+        for a, made, own in going:
+            if not made and a.cooldown_until <= t:
+                a.cooldown_until = -math.inf
+            out.setdefault((a.state, min(a.streak, self.n), a.cooldown_until, made), [a, made, []])[2].extend(own)
+        return list(out.values())
 
     def summary(self, rows: list[tuple]):
         first = rows[0][1]
-        # -inf: over before the slice; inf: not over within it
+        # -inf: over before the slice; inf: not over within it, which only slices are that end sooner
         reach = min((t for _, t in rows if t > first + self.cooldown), default=math.inf)
-        ends = sorted({t for _, t in rows if first < t <= reach})
-        starts = [(s, k, e, None, False) for e in (-math.inf, *ends, math.inf) for s, k in ((LISTENING, 0), *((SUSPECT, k) for k in range(1, self.n + 1)), *((ALERT, k) for k in range(self.n + 1)))]
-        now = {s: s for s in starts}
+        ends = {t for _, t in rows if first < t <= reach}
+        # a stream begins with a cooldown until 0, which is further off for times below it
+        begun = min((t for _, t in rows if t >= 0), default=math.inf) if first < 0 else first
+        ends = sorted(e for e in {*ends, begun} if first < e < math.inf)
+        lasting = [math.inf] if math.inf in (reach, begun) else []
+        starts = [(s, k, e) for e in (-math.inf, *ends, *lasting) for s, k in ((LISTENING, 0), *((SUSPECT, k) for k in range(1, self.n + 1)), *((ALERT, k) for k in range(self.n + 1)))]
+        # a policy, whether it has set the end of the cooldown in this slice, and the starts that are there now
+        going = [[self.at(*s), False, [s]] for s in starts]
         for p, t in rows:
-            stepped = {s: self.step(s, p, t) for s in set(now.values())}
-            now = {a: stepped[b] for a, b in now.items()}
-        table = {a[:3]: (b[0], b[1], b[2] if b[4] else None) for a, b in now.items()}
+            for one in going:
+                a = one[0]
+                was = a.state
+                a.step(p, t)
+                if was == ALERT != a.state:
+                    one[1] = True
+            if len(going) > 1:
+                going = self.met(going, t)
+        table = {s: (a.state, min(a.streak, self.n), a.cooldown_until if made else None) for a, made, own in going for s in own}
         return first, rows[-1][1], ends, table
 
     def after(self, state, summary):
@@ -161,12 +178,13 @@ class Alerts(Fold):
         if seen is not None and first < seen:
             raise ValueError(f"time went back from {seen} to {first}")
         end = -math.inf if until <= first else next((e for e in ends if e >= until), math.inf)
+        if (kind, min(streak, self.n), end) not in table:
+            raise ValueError(f"time went back to {first}: a cooldown lasts until {until}")
         kind, streak, made = table[kind, min(streak, self.n), end]
         return kind, streak, until if made is None else made, last
 
     def walk(self, state):
-        a = AlertPolicy(**self.policy)
-        a.state, a.streak, a.cooldown_until, a.last_t = state
+        a = self.at(*state)
         return lambda p, t: (a.step(p, t),)
 
 
