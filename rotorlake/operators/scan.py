@@ -11,8 +11,10 @@ import math
 import pickle
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -40,7 +42,7 @@ def running_sums(rows: DataFrame, keys: list[str], order: list, values: list[str
     return out.select(*rows.columns, *[(F.col(f"in_{v}") + F.col(f"past_{v}")).alias(f"below_{v}") for v in values], *[f"all_{v}" for v in values])
 
 
-# folds: summary and after put slices together; walk steps through the rows of one, run gives all its values at once
+# folds: summary and after put slices together; walk steps through the rows of one, stretches through many at once, run gives all its values
 
 #: Arrow's names of the columns that folds make.
 WIRE = {"double": pa.float64(), "long": pa.int64(), "string": pa.string()}
@@ -51,6 +53,11 @@ class Fold:
         """A function from a row's inputs to its values, which carries the state along."""
         raise NotImplementedError
 
+    def stretches(self, state) -> Callable[..., list]:
+        """``walk`` for many rows at once: a function from lists of inputs to a list for each value."""
+        step = self.walk(state)
+        return lambda *inputs: [list(c) for c in zip(*map(step, *inputs))]
+
     def run(self, state, rows: list[tuple]) -> list[tuple]:
         step = self.walk(state)
         return [step(*row) for row in rows]
@@ -88,6 +95,18 @@ class Smooth(Fold):
 
         return step
 
+    def stretches(self, state):
+        def go(raw: list) -> list:
+            nonlocal state
+            y, a, b, out = state, self.alpha, 1 - self.alpha, []
+            for x in raw:
+                y = x if y is None else a * x + b * y
+                out.append(y)
+            state = y
+            return [out]
+
+        return go
+
 
 class Streak(Fold):
     """How many hot rows end here; a slice is its length if all are hot, or the streak it ends with."""
@@ -187,6 +206,16 @@ class Alerts(Fold):
         a = self.at(*state)
         return lambda p, t: (a.step(p, t),)
 
+    def stretches(self, state):
+        a = self.at(*state)
+        return lambda p, t: [list(map(a.step, p, t))]
+
+
+def codes(c: pa.Array) -> np.ndarray:
+    """A number for each value of a batch: equal ones are alike, and so are nulls, NaNs and both zeros, as Spark groups them."""
+    plain = pc.add(c, pa.scalar(0.0, c.type)) if pa.types.is_floating(c.type) else c
+    return plain.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+
 
 def fold_in_slices(rows: DataFrame, key: str, order: list[str], fold, slices: int | None = None) -> DataFrame:
     """key, order columns and the fold's values, as a fold over each key's rows in order gives them.
@@ -200,7 +229,7 @@ def fold_in_slices(rows: DataFrame, key: str, order: list[str], fold, slices: in
     inputs = lambda pdf: list(pdf[fold.inputs].itertuples(index=False, name=None))
 
     def summed(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({key: pdf[key].iloc[:1], "slice": pdf["slice"].iloc[:1], "held": [pickle.dumps(fold.summary(inputs(pdf.sort_values(order, kind="stable"))))]})
+        return pd.DataFrame({"_no": pdf["_no"].iloc[:1], "slice": pdf["slice"].iloc[:1], "held": [pickle.dumps(fold.summary(inputs(pdf.sort_values(order, kind="stable"))))]})
 
     def begun(pdf: pd.DataFrame) -> pd.DataFrame:
         state, out = fold.start(), []
@@ -215,25 +244,36 @@ def fold_in_slices(rows: DataFrame, key: str, order: list[str], fold, slices: in
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in dict.fromkeys(kept)), fold.schema])
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shape, at, walk = None, object(), None
+        shape = last = go = None
         for b in batches:
             if shape is None:
                 shape = pa.schema([*(b.schema.field(c) for c in dict.fromkeys(kept)), *(pa.field(c, WIRE[x.split()[1]]) for c, x in zip(made, fold.schema.split(", ")))])
+            if not b.num_rows:
+                continue
+            ids = [b.column(key), b.column("slice")]
+            # rows that begin a stretch: another key or slice than the row before, which may be in the batch before
+            seen = [pa.concat_arrays([old, c]) for old, c in zip(last, ids)] if last else ids
+            other = np.flatnonzero(np.diff(codes(seen[0])) | np.diff(codes(seen[1])))
+            fresh = set(other.tolist()) if last else {0, *(other + 1).tolist()}
             # through pandas: null numbers come as NaN, as they do in the summaries
-            values = zip(*(b.column(c).to_pandas().tolist() for c in fold.inputs))
-            out = []
-            for group, held, row in zip(zip(b.column(key).to_pylist(), b.column("slice").to_pylist()), b.column("held").to_pylist(), values):
-                if group != at:
-                    at, walk = group, fold.walk(fold.start() if held is None else pickle.loads(held))
-                out.append(walk(*row))
-            columns = zip(*out) if out else [[] for _ in made]
+            values = [b.column(c).to_pandas().tolist() for c in fold.inputs]
+            columns, edges = [[] for _ in made], sorted({0, *fresh, b.num_rows})
+            for i, j in zip(edges, edges[1:]):
+                if i in fresh:
+                    held = b.column("held")[i].as_py()
+                    go = fold.stretches(fold.start() if held is None else pickle.loads(held))
+                for column, own in zip(columns, go(*(v[i:j] for v in values))):
+                    column.extend(own)
+            last = [c.slice(b.num_rows - 1) for c in ids]
             yield pa.record_batch([*(b.column(c) for c in dict.fromkeys(kept)), *(pa.array(c, shape.field(m).type, from_pandas=True) for c, m in zip(columns, made))], schema=shape)
 
-    small = f"{key} {kinds[key]}, slice int, held binary"
-    # as many keys as there are boundaries between slices, at most; written: what follows reads them twice
-    cut = written(own.groupBy(key).agg(F.min("slice").alias("a"), F.max("slice").alias("z")).where("a < z").select(F.col(key).alias("_key")), "cut")
-    parts = own.join(F.broadcast(cut), F.col(key).eqNullSafe(F.col("_key")), "left_semi")
-    starts = written(parts.groupBy(key, "slice").applyInPandas(summed, small).groupBy(key).applyInPandas(begun, small), "starts")
-    known = F.broadcast(starts.select(F.col(key).alias("_key"), F.col("slice").alias("_slice"), "held"))
+    small = "_no long, slice int, held binary"
+    # as many keys as there are boundaries between slices, at most; written: what follows reads them twice.  Numbers stand for
+    # the keys, as null and NaN are one to pandas.
+    cut = own.groupBy(key).agg(F.min("slice").alias("a"), F.max("slice").alias("z")).where("a < z")
+    cut = written(cut.select(F.col(key).alias("_key"), F.monotonically_increasing_id().alias("_no")), "cut")
+    parts = own.join(F.broadcast(cut), F.col(key).eqNullSafe(F.col("_key"))).select("_no", "slice", *dict.fromkeys([*order, *fold.inputs]))
+    starts = written(parts.groupBy("_no", "slice").applyInPandas(summed, small).groupBy("_no").applyInPandas(begun, small), "starts")
+    known = F.broadcast(starts.join(F.broadcast(cut), "_no").select("_key", F.col("slice").alias("_slice"), "held"))
     begins = own.join(known, F.col(key).eqNullSafe(F.col("_key")) & (F.col("slice") == F.col("_slice")), "left").drop("_key", "_slice")
     return begins.repartition(key, "slice").sortWithinPartitions(key, "slice", *order).mapInArrow(finished, schema)
